@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality_rules, sharding, warc
+from . import embedding_dedup, packing, pii, quality_classifier, quality_rules, sharding, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_packing": packing.op5_packing,
     "op7_pii": pii.op7_pii,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
 }
-SQL = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL}
+SQL = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op4_embedding_dedup": embedding_dedup.SQL}
