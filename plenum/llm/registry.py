@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, packing, pii, quality_classifier, quality_rules, sharding, warc
+from . import embedding_dedup, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 SQL = {"op2_warc": warc.SQL, "op3_quality_rules": quality_rules.SQL, "op4_embedding_dedup": embedding_dedup.SQL}
