@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, warc
+from . import embedding_dedup, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
