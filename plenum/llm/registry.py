@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, minhash_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from . import embedding_dedup, minhash_dedup, packing, pii, piece_sampling, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_piece_sampling": piece_sampling.op6_piece_sampling,
     "op7_pii": pii.op7_pii,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
