@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plenum.llm.common import DOCUMENT_COLUMNS, materialize, table
+from plenum.llm.minhash_dedup import keep_one
 from plenum.llm.packing import pack_documents
 from plenum.llm.pii import redact
 from plenum.llm.quality_rules import quality_filter
+from plenum.llm.suffix_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs, DOCUMENT_COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs, DOCUMENT_COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 bytes or more that a smaller id also holds."""
+    return without_repeats(docs, DOCUMENT_COLUMNS)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind."""
     return redact(docs, DOCUMENT_COLUMNS)
@@ -28,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("personal_data", personal_data), ("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("personal_data", personal_data), ("packing", packing)]
 
 #: Tokenizing and the interleave refinement have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None

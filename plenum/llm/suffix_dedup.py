@@ -461,17 +461,17 @@ def _results(t: pa.Table, buckets: int, characters: bool) -> pa.Table:
         mask, data = gone[end - n : end], chunk.data[end - n : end]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
         kept = data[~mask].tobytes()
-        rows.append((None if doc == LAST_ID else doc, n, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist(), kept if characters else None))
+        rows.append((None if doc == LAST_ID else doc, n, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist(), kept if characters else None, hashlib.sha256(data.tobytes()).hexdigest() if characters else None))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)], schema=RESULT)
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary()), ("text_sha256", pa.string())])
 
 
 def remove_repeats(docs: DataFrame, characters: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: its removed spans (byte offsets, start and end in turn), counts, and the digest of the rest.
 
-    With `characters` no character is split, and `kept` holds the remaining bytes.
+    With `characters` no character is split, `kept` holds the remaining bytes and `text_sha256` names the whole text.
     """
     spark = docs.sparkSession
     texts = pick(docs, "doc_id", "text")
@@ -482,25 +482,25 @@ def remove_repeats(docs: DataFrame, characters: bool = False, hot: int = HOT) ->
     base = stored.filter(F.col("kind") == HEADER).unionByName(flags)
     sent = flags.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), ROW)
     replies = materialize(sent.groupBy("bucket").applyInArrow(_merge, ROW), "replies")
-    kinds = ", ".join(f"{n} {'array<bigint>' if n == 'spans' else 'string' if n == 'kept_sha256' else 'binary' if n == 'kept' else 'bigint'}" for n in RESULT.names)
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, text_sha256 string"
     return base.unionByName(replies).groupBy("chunk").applyInArrow(lambda t: _results(t, buckets, characters), kinds)
 
 
 def without_repeats(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The given columns with the repeated passages cut out of text, and n_chars to match.
 
-    Rows are carried along by a number of their own, so that repeated ids stay
-    apart. A text of which nothing is left stays as an empty document.
+    A row finds its result by id and digest of the text; rows equal in both
+    have equal results. A text of which nothing is left stays as an empty one.
     """
-    rows = materialize(pick(docs, *columns), "before-cut")
+    rows = pick(docs, *columns).withColumn("__sha", F.sha2(F.encode("text", "UTF-8"), 256))
     cut = remove_repeats(rows, characters=True).filter("n_removed > 0")
-    changed = cut.select("doc_id", F.col("n_bytes").alias("__n"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["doc_id", "__n"])
-    out = rows.join(changed, (rows["doc_id"] == changed["doc_id"]) & (F.octet_length("text") == F.col("__n")), "left").drop(changed["doc_id"])
-    out = out.withColumn("text", F.coalesce("__kept", "text"))
+    changed = cut.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__id", "__sha"])
+    out = rows.alias("r").join(changed.alias("c"), (F.col("r.__sha") == F.col("c.__sha")) & F.col("r.doc_id").eqNullSafe(F.col("c.__id")), "left")
+    out = out.select(*[F.coalesce("c.__kept", "r.text").alias("text") if c == "text" else F.col(f"r.{c}").alias(c) for c in columns])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     return out.select(*columns)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept", "text_sha256")
