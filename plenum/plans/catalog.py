@@ -8,21 +8,8 @@ from plenum.operators import agreement as ag
 from plenum.operators import power as pw
 from plenum.operators import tally as ta
 
-from .views import VOTES_SQL, table, votes
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, view: bool = True):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = f"{VOTES_SQL}{',' if sql.lstrip().startswith('#') else ''} {sql.lstrip().lstrip('#')}" if view else sql
-        return f
-
-    return add
-
+from .base import QUERIES, SQL, query  # noqa: F401
+from .views import votes
 
 EDGES = """#
  att as (select *, case when option='a_favor' then 0 when option='en_contra' then 1 else 2 end as x from votes where option <> 'ausente'),
@@ -162,3 +149,6 @@ def _power_by_term(s, d):
 
 
 query("power_by_term")(_power_by_term)
+
+
+from . import catalog_graph, catalog_people, catalog_quality, catalog_text  # noqa: E402, F401
