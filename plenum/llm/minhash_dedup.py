@@ -7,8 +7,8 @@ recursively by selected minwise tokens: the first level by one token, each
 further one by `FANOUT` tokens, so that a pair at the threshold is likely to
 stay together in some branch however deep the tree gets. Nodes of at most
 `LEAF` sets are compared exhaustively; larger ones branch again, up to `DEPTH`
-levels. What is still larger there is a group of near copies, and is compared
-in pairs of blocks of `BLOCK` sets, without any cap. Recall: a pair with
+levels or until a branch keeps most of its sets. What is still larger there is
+a group of near copies, and is compared in pairs of blocks of `BLOCK` sets, without any cap. Recall: a pair with
 similarity 0.75 meets in a tree with probability 0.75 at the first level and
 at least 0.61 at the last, so ten trees miss it with a probability between
 1e-6 and 1e-4; nearer pairs less.
@@ -16,9 +16,10 @@ at least 0.61 at the last, so ten trees miss it with a probability between
 Comparing: signatures of `COORDS` minwise hashes rule out pairs whose estimate
 lies more than four deviations below the threshold. Of the others a node
 proposes a spanning forest of its most similar pairs. The proposed links are
-confirmed on the full sets. Then every pair whose ends are still in different
-components is confirmed as well, so that no link between components is lost
-while the pairs inside a confirmed group are never all formed.
+confirmed on the full sets. Parts that a candidate pair may still link form
+families, and all pairs of a family's parts are confirmed on the full sets as
+well, by matrix products inside tasks of bounded size, so that no link between
+components is lost while pairs never become rows.
 
 Nulls: a null or blank text has an empty set and links with nothing, and so
 does a row with a null doc_id (its component is null, it is kept). Texts of
@@ -44,6 +45,8 @@ TREES = 10
 DEPTH = 5
 FANOUT = 2
 LEAF = 48
+#: A branch that keeps this share of its parent's sets parts them no further and is compared as it is.
+STALL = 0.7
 BLOCK = 512
 #: Estimates below this are more than four deviations under the threshold.
 CUT = int(COORDS * (0.75 - 4.2 * (0.75 * 0.25 / COORDS) ** 0.5))
@@ -128,13 +131,13 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """(tree, node, sid) of the next level from rows (tree, node, sid, sig); level 1 starts every tree from (sid, sig)."""
+    """(tree, node, sid, above) of the next level from rows (tree, node, sid, sig, size), above their size; level 1 starts every tree from (sid, sig)."""
     def first(batches):
         for pdf in batches:
             m = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDS)
             for t in range(TREES):
                 node = child(np.full(len(m), t, np.uint64), 1, 0, m[:, coordinate(t, 1, 0)])
-                yield pd.DataFrame({"tree": np.full(len(m), t, np.int32), "node": node.view(np.int64), "sid": pdf["sid"]})
+                yield pd.DataFrame({"tree": np.full(len(m), t, np.int32), "node": node.view(np.int64), "sid": pdf["sid"], "above": np.full(len(m), 1 << 62)})
 
     def deeper(batches):
         for pdf in batches:
@@ -142,9 +145,9 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
             tree, node = pdf["tree"].to_numpy(), pdf["node"].to_numpy().view(np.uint64)
             for b in range(FANOUT):
                 token = m[np.arange(len(m)), coordinate(tree.astype(np.int64), level, b)]
-                yield pd.DataFrame({"tree": tree, "node": child(node, level, b, token).view(np.int64), "sid": pdf["sid"]})
+                yield pd.DataFrame({"tree": tree, "node": child(node, level, b, token).view(np.int64), "sid": pdf["sid"], "above": pdf["size"]})
 
-    return rows.mapInPandas(first if level == 1 else deeper, "tree int, node long, sid binary")
+    return rows.mapInPandas(first if level == 1 else deeper, "tree int, node long, sid binary, above long")
 
 
 def leaves(sigs: DataFrame) -> DataFrame:
@@ -154,23 +157,24 @@ def leaves(sigs: DataFrame) -> DataFrame:
         nodes = materialize(_branch(rows, level), f"nodes{level}")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         shared = materialize(nodes.join(sizes, "node"), f"shared{level}")
-        here = shared.filter(F.col("size") <= LEAF) if level < DEPTH else shared
+        done = (F.col("size") <= LEAF) | (F.col("size") >= STALL * F.col("above"))
+        here = shared.filter(done) if level < DEPTH else shared
         here = here.select("node", "size", "sid")
         out = here if out is None else out.unionByName(here)
-        large = shared.filter(F.col("size") > LEAF)
+        large = shared.filter(~done)
         if level == DEPTH or large.isEmpty():
             break
-        rows = large.select("tree", "node", "sid").join(sigs.select("sid", "sig"), "sid")
+        rows = large.select("tree", "node", "sid", "size").join(sigs.select("sid", "sig"), "sid")
     return out
 
 
-def _units(found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(unit, part, sid, sig): whole nodes, and pairs of blocks of those above BLOCK."""
+def _units(found: DataFrame) -> DataFrame:
+    """(unit, block, sid): whole nodes, and pairs of blocks of those above BLOCK."""
     rows = found.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", "node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.select(unit.alias("unit"), "sid").distinct().join(sigs.select("sid", "sig"), "sid")
+    return rows.select(unit.alias("unit"), "block", "sid").distinct()
 
 
 def agreement(m: np.ndarray) -> np.ndarray:
@@ -203,23 +207,42 @@ def forest(m: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def across(m: np.ndarray, part: list) -> list[tuple[int, int]]:
-    """All pairs with CUT equal coordinates or more whose ends are in different parts."""
-    code = np.unique(np.array(part, dtype=object).astype("S16"), return_inverse=True)[1] if part else np.empty(0)
+def neighbours(m: np.ndarray, part: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest of the parts that hold a pair with CUT equal coordinates or more, as pairs of members."""
+    names = {p: k for k, p in enumerate(dict.fromkeys(part))}
+    code = np.array(list(map(names.__getitem__, part)))
     i, j = np.nonzero(np.triu(agreement(m) >= CUT, 1) & (code[:, None] != code[None, :]))
-    return list(zip(i.tolist(), j.tolist(), strict=True))
+    pairs, first = np.unique(np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j]), return_index=True)
+    root, out = list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for pair, k in zip(pairs.tolist(), first.tolist(), strict=True):
+        a, b = find(pair // len(names)), find(pair % len(names))
+        if a != b:
+            root[a] = b
+            out.append((int(i[k]), int(j[k])))
+    return out
 
 
 def _propose(units: DataFrame, crossing: bool) -> DataFrame:
-    """Pairs (a, b), a < b, from units (unit, sid, sig[, part]), run by run of the sorted partitions."""
+    """Pairs (a, b), a < b, from units (unit, sid, sig[, part]), run by run of the sorted partitions: of sets, or of parts if crossing."""
     def run(batches):
         held = None
 
         def pairs(t: pa.Table):
             m = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS)
-            sid = t.column("sid").to_pylist()
-            got = across(m, [p.ljust(16, b"\1") if p else b"" for p in t.column("part").to_pylist()]) if crossing else forest(m)
-            return [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in got]
+            name = t.column("part" if crossing else "sid").to_pylist()
+            got = neighbours(m, name) if crossing else forest(m)
+            block = t.column("block").to_pylist()
+            if not crossing and len(set(block)) > 1:
+                # an edge inside a block that a pair of blocks needs, the block by itself needs as well
+                got = [(i, j) for i, j in got if block[i] != block[j]]
+            return [(min(name[i], name[j]), max(name[i], name[j])) for i, j in got]
 
         def flush(t: pa.Table):
             unit = t.column("unit").to_numpy()
@@ -241,7 +264,7 @@ def _propose(units: DataFrame, crossing: bool) -> DataFrame:
         if held is not None and len(held):
             yield flush(held)
 
-    cols = ["unit", "sid", "sig", *(["part"] if crossing else [])]
+    cols = ["unit", "block", "sid", "sig", *(["part"] if crossing else [])]
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return units.select(*cols).repartition(n, "unit").sortWithinPartitions("unit", "sid").mapInArrow(run, "a binary, b binary").distinct()
 
@@ -269,25 +292,61 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(compute, "sid binary, s array<long>").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def _between(members: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between parts of a family, from its members (family, part, sid, s).
+
+    A family is dealt into pairs of blocks. A task counts the common shingles
+    of all its pairs by one product of incidence matrices, and returns a link
+    for each pair of parts that one holds together, never the pairs.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, sid, part = [np.asarray(x, np.int64) for x in pdf["s"]], pdf["sid"].tolist(), pdf["part"].tolist()
+        size = np.array([len(x) for x in sets])
+        token, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, len(token), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[a:b], column[a:b] - lo] = 1
+            common += m @ m.T
+        n = common.astype(np.int64)
+        code = np.unique(np.array([p.hex() for p in part]), return_inverse=True)[1]
+        near = (100 * n >= THRESHOLD * (size[:, None] + size[None, :] - n)) & (code[:, None] != code[None, :])
+        i, j = np.nonzero(np.triu(near, 1))
+        _, k = np.unique(np.minimum(code[i], code[j]) * len(sets) + np.maximum(code[i], code[j]), return_index=True)
+        return pd.DataFrame({"a": [min(sid[i[x]], sid[j[x]]) for x in k], "b": [max(sid[i[x]], sid[j[x]]) for x in k]})
+
+    return rows.select("family", "left", "right", "part", "sid", "s").groupBy("family", "left", "right").applyInPandas(confirm, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = pick(docs, "doc_id", "text")
     rows = materialize(_sets(texts), "sets")
     live = rows.filter("sid is not null and doc_id is not null")
     sigs = materialize(live.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "signatures")
-    units = materialize(_units(leaves(sigs), sigs), "units")
-    tried = materialize(_propose(units, False), "proposed")
+    units = materialize(_units(leaves(sigs)), "units")
+    tried = materialize(_propose(units.join(sigs.select("sid", "sig"), "sid"), False), "proposed")
     ends = tried.select(F.col("a").alias("sid")).union(tried.select(F.col("b").alias("sid"))).distinct()
     sets = materialize(_full_sets(texts, sigs.select("sid", "doc_id").join(ends, "sid")), "full")
     links = materialize(_confirmed(tried, sets), "confirmed")
-    parts = components(links).select(F.col("id").alias("sid"), F.col("component_id").alias("part"))
-    # sets that no proposed link holds together: every candidate pair between different parts
-    sorted_in = units.join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    mixed = sorted_in.groupBy("unit").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("unit")
-    rest = materialize(_propose(sorted_in.join(mixed, "unit", "left_semi"), True).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_confirmed(rest, sets), "more")
+    parts = _parts(links)
+    # parts that a candidate pair may still link: they form families, and those are compared on their full sets
+    known = ends.join(parts, "sid", "left").select("sid", F.coalesce("part", "sid").alias("part"))
+    placed = materialize(units.join(known, "sid"), "placed")
+    mixed = placed.groupBy("unit").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("unit")
+    open_rows = placed.join(mixed, "unit", "left_semi").join(sigs.select("sid", "sig"), "sid")
+    families = components(_propose(open_rows, True)).select(F.col("id").alias("part"), F.col("component_id").alias("family"))
+    more = materialize(_between(known.join(families, "part").join(sets, "sid")), "between")
     if not more.isEmpty():
-        parts = components(links.union(more)).select(F.col("id").alias("sid"), F.col("component_id").alias("part"))
+        parts = _parts(links.union(more))
     placed = sigs.select("sid", "doc_id").join(parts, "sid", "left").select("sid", "doc_id", F.coalesce("part", "sid").alias("part"))
     smallest = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(smallest, "part").select("sid", "component_id")
@@ -296,6 +355,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _parts(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("id").alias("sid"), F.col("component_id").alias("part"))
+
+
 def keep_one(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """One document of each group: the rows whose doc_id names their component; a repeated id is judged as one."""
     rows = pick(docs, *columns)
