@@ -85,7 +85,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     k = min(n, WORDS)
     odd = np.random.default_rng(5).integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-    h = np.full(n - k + 1, odd[WORDS] * np.uint64(k), np.uint64)
+    h = np.full(n - k + 1, odd[WORDS], np.uint64) * np.uint64(k)
     for i in range(k):
         h += mix(w[i : n - k + 1 + i]) * odd[i]
     return np.unique(mix(h))

@@ -134,8 +134,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The rows that quality_verdicts keeps, with the given columns; row by row, so repeated ids are no problem."""
-    rows = with_statistics(_keyed(pick(docs, *columns)))
-    limits = materialize(thresholds(sketches(rows.select("k_lang", "k_source", *FENCES))), "fences")
+    # stored once: the statistics serve the fences and the verdict, and the last filter is not pushed into their expressions
+    rows = materialize(with_statistics(_keyed(pick(docs, *columns))), "quality")
+    limits = thresholds(sketches(rows.select("k_lang", "k_source", *FENCES)))
     return judge(rows, limits).filter("kept").select(*columns)
 
 
