@@ -11,7 +11,7 @@ starts in a document with a smaller id.
    repeated minimizer) to the minimizer's bucket, with the smallest id. A
    minimizer with more than `HOT` passages sends its strings one by one to the
    buckets of their own hashes, so that no bucket grows with a frequent line.
-3. A bucket builds a transform per shard (group of chunks): suffix order,
+3. A bucket builds a transform per shard (group of chunks): suffix order by a bounded context,
    preceding symbols, and the row of the suffix that starts one symbol
    earlier. Symbols are pairs of bytes. The shards' transforms are merged by
    refining their interleave: each round deals the merged rows out by their
@@ -58,9 +58,22 @@ LAST_ID = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+#: Bytes hashed at a time: what fits a core's cache.
+BLOCK = 1 << 15
+
+
+def blockwise(data: np.ndarray, width: int, work) -> np.ndarray:
+    """work(data) of a function whose results look `width` bytes ahead, block by block."""
+    n = len(data) - width + 1
+    if n <= BLOCK:
+        return work(data)
+    return np.concatenate([work(data[lo : min(lo + BLOCK, n) + width - 1]) for lo in range(0, n, BLOCK)])
+
+
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all k-byte substrings, from hashes of substrings of doubling length."""
-    part, size, out, have = mix(data.astype(np.uint64) + np.uint64(1)), 1, None, 0
+    part, size, out, have = _BYTE[data], 1, None, 0
     while True:
         if k & size:
             if out is None:
@@ -94,7 +107,7 @@ class Chunk:
             self.start = self.count = self.doc = np.empty(0, np.int64)
             self.minimizer = np.empty(0, np.uint64)
             return
-        low = sliding_min(rolling(data, KMER), LENGTH - KMER + 1)
+        low = blockwise(data, LENGTH, lambda x: sliding_min(rolling(x, KMER), LENGTH - KMER + 1))
         # a string belongs to a document if its last byte does
         valid = np.zeros(len(low) + 1, bool)
         for end, n in zip(self.ends.tolist(), lengths.tolist(), strict=True):
@@ -149,7 +162,7 @@ class Chunk:
         by_hash = np.argsort(h)
         mine = flag[by_hash][np.searchsorted(h[by_hash], self.minimizer)]
         start, count, key = self.start[mine == 1], self.count[mine == 1], self.minimizer[mine == 1]
-        string = rolling(self.data, LENGTH) if len(self.data) >= LENGTH else np.empty(0, np.uint64)
+        string = blockwise(self.data, LENGTH, lambda x: rolling(x, LENGTH)) if len(self.data) >= LENGTH else np.empty(0, np.uint64)
         if (mine == 2).any():
             s, c = self.start[mine == 2], self.count[mine == 2]
             single = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
@@ -191,6 +204,10 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class Transform:
     """Burrows-Wheeler transforms of the shards of a text collection, rows shard by shard.
 
+    Rows are in order of a bounded context, the first 8 bytes of their
+    suffixes: the refinement sorts by 50 whatever order it begins with, so a
+    shard need not be sorted further.
+
     before[r]: the two bytes that precede the suffix of row r; back[r]: the row
     of the suffix that starts two bytes earlier, -1 where the passage begins
     after that.
@@ -198,19 +215,13 @@ class Transform:
 
     def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, shard: np.ndarray):
         n = len(text)
-        padded = np.append(text, np.zeros(LENGTH + 8, np.uint8)).astype(np.uint64)
+        padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
         key = padded[:-1] << np.uint64(8) | padded[1:]
         key = key[:-2] << np.uint64(16) | key[2:]
-        key = key[:-4] << np.uint64(32) | key[4:]
+        key = (key[:-4] << np.uint64(32) | key[4:])[:n]
         owner = np.repeat(shard, length)
-        # each shard's suffixes in order of their first 8, 16, 32 and 50 bytes, by doubling; shards are kept apart
-        order = np.lexsort((key[:n], owner))
-        rank = self._ranks(order, [owner, key[:n]])
-        for step in (8, 16, LENGTH - 32):
-            more = np.append(rank, np.zeros(LENGTH, np.int64))[step : step + n]
-            both = rank.astype(np.uint64) << np.uint64(32) | more.astype(np.uint64)
-            order = np.argsort(both, kind="stable")
-            rank = self._ranks(order, [both])
+        cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1), n]
+        order = np.concatenate([lo + np.argsort(key[lo:hi], kind="stable") for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
         self.suffix = order
         row = np.empty(n, np.int32)
         row[order] = np.arange(n, dtype=np.int32)
@@ -222,16 +233,6 @@ class Transform:
         pair[2:] = text[:-2].astype(np.uint16) << 8 | text[1:-1]
         self.before = pair[order]
 
-    @staticmethod
-    def _ranks(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-        new = np.zeros(len(order), bool)
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new)
-        return rank
-
 
 def repeated_intervals(bwt: Transform) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, interval) of the strings of LENGTH bytes that occur twice or more, by refining the interleave of the shards."""
@@ -313,7 +314,8 @@ def _store(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             rows = [(uri, -1, HEADER, b"")]
             for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
                 if hi > lo:
-                    rows.append((uri, int(bucket[lo]), ANCHORS, _blob(h[lo:hi], n[lo:hi].astype(np.uint32), several[lo:hi])))
+                    # half of the hash tells anchors of a bucket apart well enough: a mistake only lets a passage through to the merge
+                    rows.append((uri, int(bucket[lo]), ANCHORS, _blob((h[lo:hi] >> np.uint64(32)).astype(np.uint32), np.minimum(n[lo:hi], 65535).astype(np.uint16), several[lo:hi])))
             yield from _rows(rows).to_batches()
             ids.clear()
             texts.clear()
@@ -336,7 +338,7 @@ def _store(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
 
 def _flag(t: pa.Table, hot: int) -> pa.Table:
     """Which anchors of a bucket are in more than one document, and which are hot."""
-    blobs = [_arrays(b, np.uint64, np.uint32, bool) for b in t.column("data").to_pylist()]
+    blobs = [_arrays(b, np.uint32, np.uint16, bool) for b in t.column("data").to_pylist()]
     h, n, several = (np.concatenate(x) for x in zip(*blobs, strict=True))
     values, inverse, chunks = np.unique(h, return_inverse=True, return_counts=True)
     total = np.bincount(inverse, n)
@@ -382,7 +384,7 @@ def _merge(t: pa.Table) -> pa.Table:
     start = np.cumsum(length) - length
     source = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
     # passages that several chunks hold are merged once, in the first one's shard
-    string = rolling(text, LENGTH)
+    string = blockwise(text, LENGTH, lambda x: rolling(x, LENGTH))
     a, b = string[start], string[start + n - 1]
     order = np.lexsort((source, n, b, a, key))
     same = np.ones(len(order) - 1, bool)
@@ -432,7 +434,7 @@ def _merge(t: pa.Table) -> pa.Table:
 def _covered(t: pa.Table, buckets: int) -> tuple[Chunk, np.ndarray]:
     """The chunk and which of its bytes are covered by a string of a smaller id."""
     chunk = Chunk.load(t.column("chunk")[0].as_py())
-    edge = np.zeros(len(chunk.data) + LENGTH + 1, np.int32)
+    edge = np.zeros(len(chunk.data) + LENGTH + 1, np.int64)
     replies = sorted((b, d) for b, k, d in zip(t.column("bucket").to_pylist(), t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True) if k == REPLY)
     if replies:
         p = chunk.passages(buckets, _flags_of(t))
@@ -443,8 +445,7 @@ def _covered(t: pa.Table, buckets: int) -> tuple[Chunk, np.ndarray]:
         own = np.repeat(p.ids, p.count)
         at = np.repeat(p.start - (np.cumsum(p.count) - p.count), p.count) + np.arange(len(own))
         at = at[least < own]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
+        edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + LENGTH, minlength=len(edge))
     return chunk, np.cumsum(edge)[: len(chunk.data)] > 0
 
 
