@@ -96,7 +96,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("valid", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
     valid = rows.filter("valid")
-    reps = materialize(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    # a vector's number, fixed by storing it; ids may repeat and so cannot name vectors
+    reps = materialize(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     sizes = reps.groupBy("label", F.size("embedding").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = reps.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a block meets every block of its group; the pair of a block with itself comes once
@@ -123,7 +124,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     found = materialize(dealt.groupBy("label", "dim", "left", "right").applyInPandas(search, "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    known = reps.join(links, "rep", "left").join(parts, "rep", "left").select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    placed = reps.join(links, "rep", "left").join(parts, "rep", "left").withColumn("part", F.coalesce("component_id", "rep"))
+    named = placed.groupBy("part").agg(F.min("first").alias("smallest"))
+    known = placed.join(named, "part").select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("smallest").alias("component_id"))
     linked_rows = valid.select("vec_id", "label", "embedding").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked_rows.unionByName(alone)
