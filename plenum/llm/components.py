@@ -1,33 +1,16 @@
-"""Connected components of an edge table by the smallest id, with pointer jumping."""
+"""Connected components of an edge table by the smallest id."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Rounds halve the distances to the smallest id; 64 rounds suffice for any graph of 64-bit size.
-MAX_ROUNDS = 64
+from plenum.operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for every id in edges (a, b): the smallest id that it reaches.
 
-    Each round every id takes the smallest label among its own and its
-    neighbours', then the label of that label. Labels are stored in the shared
-    folder after each round. Nothing but one count per round comes to the
-    driver.
+    Rounds go on until no edge is left between two labels. Nothing but the
+    answer to that comes to the driver.
     """
-    edges = edges.select("a", "b").filter("a <> b").distinct()
-    both = materialize(edges.union(edges.select("b", "a")), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component_id")), "labels")
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component_id").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component_id").alias("old"), F.least("component_id", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("component_id").alias("beyond"))
-        done = materialize(step.join(jump, "new", "left").select("id", "old", F.least("new", F.coalesce("beyond", "new")).alias("component_id")), "labels")
-        labels = done.select("id", "component_id")
-        if done.filter("old <> component_id").isEmpty():
-            break
-    return labels
+    return graph.components(edges.select("a", "b").filter("a <> b")).toDF("id", "component_id")

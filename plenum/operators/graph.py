@@ -22,18 +22,35 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest node that each reaches over edges (a, b)."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("to"))
-        new = stored(step.join(label.select(F.col("node").alias("to"), F.col("component").alias("further")), "to", "left").select("node", "old", F.least("to", F.coalesce("further", "to")).alias("component")))
-        label = new.select("node", "component")
-        if new.filter("old <> component").isEmpty():
-            break
-    return label
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each reaches over edges (a, b).
+
+    In each round every node points to its smallest neighbour. The trees that
+    this makes have one pair that point to each other, which holds the tree's
+    smallest node, the root. Pointers are doubled until all point to roots, and
+    the edges between different roots are the next round's. Each root with an
+    edge left merges with another one, so that n nodes take log2(n) rounds of
+    log2(n) doublings at most, whatever the shape; there is no other limit.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a is not null").distinct())
+    maps = []
+    while not maps or not both.isEmpty():
+        # a node with no other neighbour is its own root
+        first = both.groupBy("a").agg(F.coalesce(F.min(F.when(F.col("a") != F.col("b"), F.col("b"))), F.first("a")).alias("to"))
+        back = first.select(F.col("a").alias("to"), F.col("to").alias("back"))
+        up = stored(first.join(back, "to", "left").select(F.col("a").alias("node"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("to")), F.col("a")).otherwise(F.col("to")).alias("to")))
+        while True:
+            new = stored(up.withColumnRenamed("to", "old").join(up.select(F.col("node").alias("old"), "to"), "old").select("node", "old", "to"))
+            up = new.select("node", "to")
+            if new.filter("old <> to").isEmpty():
+                break
+        maps.append(up)
+        a, b = up.select(F.col("node").alias("a"), F.col("to").alias("ra")), up.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        both = stored(both.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    label = maps.pop()
+    while maps:
+        label = stored(maps.pop().join(label.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+    return label.withColumnRenamed("to", "component")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenum.functions import rules
+from plenum.llm import components
 from plenum.operators import agreement, graph, panel, power, quality, resolve, scaling, stats, tally, windows
 from plenum.sources import pages, store
 from plenum.streaming import ingest
@@ -137,3 +138,14 @@ def test_quality_and_panel(spark, blocks):
     assert quality.keep_first(blocks.union(blocks), ["vote_event_id", "voter_id"], ["option"]).count() == 240
     d = panel.discipline(blocks)
     assert d.filter("discipline <> 1").count() == 0 and d.count() == 12
+
+
+def test_components_of_a_long_chain(spark):
+    """A small id at each end: the smaller one must come all the way."""
+    chain = [10, *range(1000, 1100), 5]
+    pairs = list(zip(chain, chain[1:])) + [(2000, 2001), (3000, 3000)]
+    e = spark.createDataFrame(pairs, "a long, b long")
+    want = dict.fromkeys(chain, 5) | {2000: 2000, 2001: 2000}
+    assert {r["node"]: r["component"] for r in graph.components(e).collect()} == want | {3000: 3000}
+    assert {r["id"]: r["component_id"] for r in components.components(e).collect()} == want
+    assert components.components(e.limit(0)).count() == 0
