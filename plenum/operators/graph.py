@@ -60,13 +60,25 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return c.join(F.broadcast(top), "component", "left_semi").select("node")  # one row
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 4) -> DataFrame:
+def _height(place: DataFrame, ends: DataFrame, resolution: float, total: float) -> float:
+    """Modularity of the places (x, k, c) times the edges' total weight."""
+    inner = ends.join(place.select("x", F.col("c").alias("cx")), "x").join(place.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").filter("cx = cy").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inner"))
+    size = place.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot")).alias("square"))
+    got = inner.crossJoin(size).collect()[0]  # one row each
+    return got["inner"] / 2 - resolution * got["square"] / (4 * total)
+
+
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, community) by local moving and aggregation on modularity.
 
     In each round every node looks at the communities of its neighbours and
     moves to the one with the largest gain, ties to the smallest label. Nodes
-    of one hash parity move per round, so that two neighbours cannot swap for
-    ever. When a level settles, communities become the nodes of the next.
+    of one hash class move per round, of two at first. Where moves at the same
+    time do not raise the modularity together they are taken back and the
+    classes are made smaller, in the end one node, the one that gains most. So
+    it rises with each round, and a level ends only when no node gains by
+    moving. Communities become the nodes of the next level, until a level moves
+    nothing.
     """
     level_edges = stored(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
     total = level_edges.agg(F.sum("w").alias("m")).collect()[0]["m"]
@@ -74,13 +86,14 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, lev
     member = stored(nodes.select("node", F.col("node").alias("at")))
     if not total:
         return member.select("node", F.col("at").alias("community"))
-    for _ in range(levels):
+    while True:
         # a loop (a = b) counts twice in the degree, as a community's inner weight does
         ends = stored(level_edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(level_edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "w")))
         degree = stored(ends.groupBy("x").agg(F.sum("w").alias("k")))
         place = stored(degree.select("x", "k", F.col("x").alias("c")))
-        moved_any, still = False, 0
-        for r in range(rounds):
+        most, height = degree.count(), _height(place, ends, resolution, total)
+        moved_any, classes = False, 2
+        while True:
             size = place.groupBy("c").agg(F.sum("k").alias("tot"))
             near = ends.filter("x <> y").join(place.select(F.col("x").alias("y"), F.col("c").alias("to")), "y").groupBy("x", "to").agg(F.sum("w").alias("into"))
             options = near.join(place, "x").join(size.select(F.col("c").alias("to"), "tot"), "to")
@@ -91,14 +104,21 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, lev
             alone = place.join(size, "c").select("x", (F.col("tot") - F.col("k")).alias("others"), "k", "c")
             choice = best.join(alone, ["x", "c"])
             stay = F.coalesce("own", -resolution * F.col("others") * F.col("k") / (2.0 * total))
-            turn = F.pmod(F.xxhash64("x", F.lit(0)), F.lit(2)) == r % 2
-            moves = choice.filter(turn & (-F.col("m.loss") > stay + 1e-9)).select("x", F.col("m.to").alias("to"))
-            new = stored(place.join(moves, "x", "left").select("x", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            moved = not new.filter("moved").isEmpty()
-            place = new.select("x", "k", "c")
-            moved_any, still = moved_any or moved, 0 if moved else still + 1
-            if still == 2:  # neither parity moves
+            moves = stored(choice.filter(-F.col("m.loss") > stay + 1e-8).select("x", F.col("m.to").alias("to"), (-F.col("m.loss") - stay).alias("more")))
+            if moves.isEmpty():
                 break
+            top = moves.withColumn("h", F.xxhash64("x", F.lit(0))).orderBy(F.desc("more"), "x").first()
+            while True:
+                # the class of the node that gains most
+                one = classes > 2 * most
+                some = moves.filter(F.col("x") == top["x"]) if one else moves.filter(F.pmod(F.xxhash64("x", F.lit(0)), F.lit(classes)) == top["h"] % classes)
+                new = stored(place.join(some, "x", "left").select("x", "k", F.coalesce("to", "c").alias("c")))
+                higher = _height(new, ends, resolution, total)
+                # one node's gain is known by itself, also where it is too small to see in the sum
+                if one or higher > height + 1e-6:
+                    break
+                classes *= 2
+            place, height, moved_any, classes = new, higher, True, max(2, classes // 2)
         if not moved_any:
             break
         name = place.groupBy("c").agg(F.min("x").alias("name"))
@@ -115,32 +135,51 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
 
     Breadth-first from all sources at once: a row per source and node with
     distance and number of paths, one join per level; then dependencies are
-    summed back level by level.
+    summed back level by level. Each step goes from the end with fewer edges:
+    from the nodes just reached or from those not reached yet, and from the
+    upper or the lower level. So a dense graph does not cost its edges for each
+    source and node.
     """
     both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
-    nodes = both.select(F.col("x").alias("node")).distinct()
-    n = nodes.count()
-    start = sources if sources is not None else nodes
-    front = stored(start.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
-    seen, levels = front, [front]
+    degree = stored(both.groupBy("x").agg(F.count(F.lit(1)).alias("k")))
+    nodes = degree.select(F.col("x").alias("node"))
+    n, ends = degree.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).collect()[0]
+    start = stored(sources.select("node").distinct()) if sources is not None else nodes
+    begun = start.count()
+
+    def spread(level: DataFrame) -> int:
+        """Edges that leave the level's nodes, over all sources."""
+        return level.join(degree, level["v"] == degree["x"]).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).collect()[0]["k"]
+
+    front = stored(start.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))
+    seen, levels, wide = front, [front], [spread(front)]
     while True:
-        nxt = front.join(both, front["v"] == both["x"]).groupBy("s", F.col("y").alias("v")).agg(F.sum("paths").alias("paths")).join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        front = stored(nxt.select("s", "v", F.lit(len(levels)).alias("d"), "paths"))
+        unseen = begun * ends - sum(wide)
+        if begun * n + unseen < wide[-1]:
+            rest = start.select(F.col("node").alias("s")).crossJoin(nodes.select(F.col("node").alias("v"))).join(seen.select("s", "v"), ["s", "v"], "left_anti")
+            nxt = rest.join(both, rest["v"] == both["x"]).select("s", "v", F.col("y").alias("u")).join(front.select("s", F.col("v").alias("u"), "paths"), ["s", "u"]).groupBy("s", "v").agg(F.sum("paths").alias("paths"))
+        else:
+            nxt = front.join(both, front["v"] == both["x"]).groupBy("s", F.col("y").alias("v")).agg(F.sum("paths").alias("paths")).join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        front = stored(nxt.select("s", "v", "paths"))
         if front.isEmpty():
             break
         levels.append(front)
+        wide.append(spread(front))
         seen = seen.unionByName(front)
     below, out = None, None
-    for level in reversed(levels[1:]):
-        here = level.select("s", "v", "paths", F.lit(0.0).alias("dep")) if below is None else level.join(below, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep"))
+    for d in range(len(levels) - 1, 0, -1):
+        here = levels[d].withColumn("dep", F.lit(0.0)) if below is None else levels[d].join(below, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep"))
         here = stored(here)
         out = here.select("v", "dep") if out is None else out.unionByName(here.select("v", "dep"))
-        up = levels[levels.index(level) - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("up"))
-        share = here.join(both, F.col("v") == both["x"]).join(up, (here["s"] == up["s"]) & (F.col("y") == F.col("u"))).select(here["s"], F.col("u").alias("v"), (F.col("up") / F.col("paths") * (1 + F.col("dep"))).alias("part"))
-        below = stored(share.groupBy("s", "v").agg(F.sum("part").alias("dep")))
+        up = levels[d - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("up"))
+        if wide[d - 1] < wide[d]:
+            links = up.join(both, F.col("u") == both["x"]).select("s", "u", "up", F.col("y").alias("v")).join(here, ["s", "v"])
+        else:
+            links = here.join(both, F.col("v") == both["x"]).select("s", "paths", "dep", F.col("y").alias("u")).join(up, ["s", "u"])
+        below = stored(links.groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("up") / F.col("paths") * (1 + F.col("dep"))).alias("dep")))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     dep = out.groupBy(F.col("v").alias("node")).agg(F.sum("dep").alias("dep")) if out is not None else nodes.select("node", F.lit(0.0).alias("dep"))
-    whole = n / max(1, start.count()) if sources is not None else 1.0
+    whole = n / max(1, begun) if sources is not None else 1.0
     return nodes.join(dep, "node", "left").select("node", F.round(F.coalesce("dep", F.lit(0.0)) * scale * whole, 6).alias("betweenness"))
 
 

@@ -17,27 +17,25 @@ from .catalog_people import pan
 from .views import table, votes
 
 
-def _backbone(s, d):
-    return gr.stored(ag.backbone(ag.edges(votes(s, d))))
+def _agreement(s, d):
+    return gr.stored(ag.edges(votes(s, d)))
 
 
 @query("communities")
 def communities(s, d):
-    return gr.communities(_backbone(s, d))
+    return gr.communities(_agreement(s, d))
 
 
 @query("community_modularity")
 def community_modularity(s, d):
-    e = _backbone(s, d)
+    e = _agreement(s, d)
     return ag.modularity(e, gr.communities(e).select(F.col("node").alias("voter_id"), F.col("community").alias("part")))
 
 
 @query("betweenness")
 def betweenness(s, d):
-    """Paths begin at a sample of voters: those whose number is divisible by 20, or all of a small table."""
-    e = _backbone(s, d)
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return gr.ranked(gr.betweenness(e, nodes.filter("node % 20 = 0")), "betweenness", 20)
+    """Over the shortest paths between all voters."""
+    return gr.ranked(gr.betweenness(_agreement(s, d)), "betweenness", 20)
 
 
 query("components", """with recursive e as (select s_suppkey as a, s_nationkey + 1000000 as b from supplier where s_suppkey%3=0), f as (select a, b from e union select b, a from e),

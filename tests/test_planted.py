@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plenum.functions import rules
 from plenum.llm import components
 from plenum.operators import agreement, graph, panel, power, quality, resolve, scaling, stats, tally, windows
+from plenum.plans import catalog, catalog_graph
 from plenum.sources import pages, store
 from plenum.streaming import ingest
 
@@ -149,3 +150,58 @@ def test_components_of_a_long_chain(spark):
     assert {r["node"]: r["component"] for r in graph.components(e).collect()} == want | {3000: 3000}
     assert {r["id"]: r["component_id"] for r in components.components(e).collect()} == want
     assert components.components(e.limit(0)).count() == 0
+
+
+def all_betweenness(pairs):
+    """By counting shortest paths through each node for each pair of ends."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    far = {}
+    for s in near:
+        d, paths, line = {s: 0}, {s: 1}, [s]
+        for v in line:
+            for u in near[v]:
+                if u not in d:
+                    d[u], paths[u] = d[v] + 1, 0
+                    line.append(u)
+                if d[u] == d[v] + 1:
+                    paths[u] += paths[v]
+        far[s] = (d, paths)
+    n, got = len(near), dict.fromkeys(near, 0.0)
+    for s, (d, paths) in far.items():
+        for t in d:
+            for v in d:
+                if s != t and v not in (s, t) and t in far[v][0] and d[v] + far[v][0][t] == d[t]:
+                    got[v] += paths[v] * far[v][1][t] / paths[t]
+    return {v: x / ((n - 1) * (n - 2)) for v, x in got.items()}
+
+
+def test_betweenness_of_dense_and_thin_parts(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(a, b) for a in range(24) for b in range(a + 1, 24) if rng.random() < 0.8} | {(23, 24), (24, 25), (3, 24)}
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert got == pytest.approx(all_betweenness(pairs), abs=2e-6)
+
+
+def test_graph_queries_use_all_agreement(spark, monkeypatch):
+    """Two events that share voter 5, and voter 10 that agrees with voter 9 alone, in one event of two."""
+    import datetime
+
+    sides = [(0, v, "a_favor") for v in range(1, 6)] + [(1, v, "a_favor") for v in range(5, 10)] + [(2, 9, "a_favor"), (2, 10, "a_favor"), (3, 9, "a_favor"), (3, 10, "en_contra")]
+    rows = [(e, v, o, 0, 0, datetime.date(2020, 1, 1), "D", "mayoria_simple") for e, v, o in sides]
+    monkeypatch.setattr(catalog_graph, "votes", lambda s, d: spark.createDataFrame(rows, VOTE))
+    pairs = [(a, b) for g in (range(1, 6), range(5, 10)) for a in g for b in g if a < b] + [(9, 10)]
+    got = {r["node"]: r["betweenness"] for r in catalog.QUERIES["betweenness"](spark, "").collect()}
+    assert got == pytest.approx(all_betweenness(pairs), abs=2e-6) and got[5] > 0.5
+    parts = {r["node"]: r["community"] for r in catalog.QUERIES["communities"](spark, "").collect()}
+    assert set(parts) == set(range(1, 11)) and len({parts[v] for v in range(1, 5)}) == len({parts[v] for v in range(6, 11)}) == 1 and parts[1] != parts[9]
+
+
+def test_communities_rise_until_none_moves(spark):
+    """Forty cliques in a ring."""
+    pairs = [(5 * c + i, 5 * c + j, 1.0) for c in range(40) for i in range(5) for j in range(i + 1, 5)] + [(5 * c, (5 * c + 7) % 200, 1.0) for c in range(40)]
+    e = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in pairs], "a long, b long, weight double")
+    parts = graph.communities(e).select(F.col("node").alias("voter_id"), F.col("community").alias("part"))
+    assert agreement.modularity(e, parts).first()["modularity"] > 0.86
