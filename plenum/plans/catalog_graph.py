@@ -13,7 +13,6 @@ from plenum.operators import scaling as sc
 from plenum.streaming import ingest as ing
 
 from .base import query
-from .catalog_people import pan
 from .views import table, votes
 
 
@@ -49,18 +48,26 @@ query("area_chain", "select n.n_name as id, r_name as up1, cast(null as varchar)
 @query("scaled_voters")
 def scaled_voters(s, d):
     b = sc.binary(votes(s, d), least_votes=5, least_voters=5)
-    voters, _, _ = sc.scale(b, iterations=1, power_rounds=3)
+    voters, _, _ = sc.scale(b)
     return voters.select("voter_id", F.get("x", F.lit(0)).alias("dim_1"), F.get("x", F.lit(1)).alias("dim_2"))
 
 
 @query("aligned_terms")
 def aligned_terms(s, d):
-    p = gr.stored(pan(s, d).select("leg", "voter_id", F.col("discipline").alias("d1"), F.log("n_votes").alias("d2")))
-    terms = [p.filter(F.col("leg") == k).drop("leg") for k in range(7)]  # the calendar's seven terms
-    out = [t.withColumn("leg", F.lit(k).cast("long")) for k, t in enumerate(sc.align_chain(terms))]
-    got = out[0]
-    for t in out[1:]:
-        got = got.unionByName(t)
+    """Each term scaled by itself and turned onto the one before; terms without enough votes are left out."""
+    v = gr.stored(votes(s, d))
+    legs, terms = [], []
+    for k in range(7):  # the calendar's seven terms
+        try:
+            b = sc.binary(v.filter(F.col("leg") == k), least_votes=5, least_voters=5)
+        except ValueError:
+            continue
+        voters, _, _ = sc.scale(b)
+        legs.append(k)
+        terms.append(voters.select("voter_id", F.get("x", F.lit(0)).alias("d1"), F.get("x", F.lit(1)).alias("d2")))
+    got = s.createDataFrame([], "voter_id long, d1 double, d2 double, leg long")
+    for k, t in zip(legs, sc.align_chain(terms) if terms else []):
+        got = got.unionByName(t.withColumn("leg", F.lit(k).cast("long")))
     return got
 
 

@@ -205,3 +205,26 @@ def test_communities_rise_until_none_moves(spark):
     e = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in pairs], "a long, b long, weight double")
     parts = graph.communities(e).select(F.col("node").alias("voter_id"), F.col("community").alias("part"))
     assert agreement.modularity(e, parts).first()["modularity"] > 0.86
+
+
+def test_scaling_queries_go_on_until_it_settles(spark, monkeypatch):
+    """Two terms; the scaling is replaced by one that notes how it was called and turns the second term."""
+    import datetime
+
+    rows = [(20 * g + e, v, "a_favor" if (v < 12) == (e % 2 == 0) else "en_contra", 0, g, datetime.date(2020, 1, 1), "D", "mayoria_simple") for g in (2, 3) for e in range(10) for v in range(24)]
+    monkeypatch.setattr(catalog_graph, "votes", lambda s, d: spark.createDataFrame(rows, VOTE))
+    calls = []
+
+    def scale(b, dims=2, **options):
+        calls.append((options, {r["leg"] for r in b.select("leg").distinct().collect()}))
+        side = -1.0 if calls[-1][1] == {3} else 1.0
+        x, y = (F.col("voter_id") - 11.5) * side, (F.col("voter_id") % 5) * side
+        return b.select("voter_id").distinct().select("voter_id", F.array(x.cast("double"), y.cast("double")).alias("x")), None, {}
+
+    defaults = scaling.scale.__defaults__
+    monkeypatch.setattr(scaling, "scale", scale)
+    got = {(r["leg"], r["voter_id"]): (r["d1"], r["d2"]) for r in catalog.QUERIES["aligned_terms"](spark, "").collect()}
+    assert [c[1] for c in calls] == [{2}, {3}] and len(got) == 48
+    assert all(got[3, v] == pytest.approx(got[2, v]) for v in range(24))
+    catalog.QUERIES["scaled_voters"](spark, "")
+    assert all(not c[0] for c in calls) and defaults[1:3] == (100, 1e-5)
