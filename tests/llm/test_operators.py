@@ -389,3 +389,11 @@ def test_near_documents(spark, odd, none, monkeypatch, leaf):
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(near_components(rows))
     assert minhash_dedup.near_duplicates(none).count() == 0
+
+
+def test_ibans_before_upper_case_words(spark):
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    rows = [f"{one} BIC COBADEFF", f"{one} {two} {one} X", f"AB12 {two} 7", f"{one}1 A", f"NO93 8601 1117 947 {one}x", "DE89370400440532013000 TO GB82WEST12345698765432"]
+    want = ["0:27", "0:27,28:55,56:83", "5:32", "", "0:18", "0:22,26:48"]
+    got = pii.pii_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [",".join(x[5:] for x in r["spans"].split(",") if x.startswith("iban")) for r in got] == want
