@@ -17,19 +17,24 @@ def similarity(a, b):
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def fuzzy(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", least: float = 0.85) -> DataFrame:
+def fuzzy(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name", least: float = 0.85, initial: bool = False) -> DataFrame:
     """(id_left, id_right, score): the most similar name that shares the first token; ties to the smaller id.
 
-    The block is the first token with the initial of the last, so that a very
-    frequent given name is parted further.
+    Distinct names are compared. The left names of a block are dealt into parts
+    of about a thousand, and each part gets all right names of the block. With
+    `initial`, names must also share the initial of the last token.
     """
     tok = F.split(F.col(name), " ")
-    block = F.concat_ws(" ", F.get(tok, F.lit(0)), F.substring(F.element_at(tok, -1), 1, 1))
-    l = left.select(F.col(id_left), F.col(name).alias("ln"), block.alias("block"))
-    r = right.select(F.col(id_right), F.col(name).alias("rn"), block.alias("block"))
-    j = l.join(r, "block").withColumn("score", F.round(similarity(F.col("ln"), F.col("rn")), 6)).filter(F.col("score") >= least)
-    best = j.groupBy(id_left).agg(F.min(F.struct((-F.col("score")).alias("far"), F.col(id_right))).alias("m"))
-    return best.select(id_left, F.col(f"m.{id_right}").alias(id_right), (-F.col("m.far")).alias("score"))
+    first = F.get(tok, F.lit(0))
+    block = F.concat_ws(" ", first, F.substring(F.element_at(tok, -1), 1, 1)) if initial else first
+    l = left.select(F.col(name).alias("ln"), block.alias("block")).distinct()
+    r = right.groupBy(F.col(name).alias("rn"), block.alias("block")).agg(F.min(id_right).alias(id_right))
+    parts = l.groupBy("block").agg((F.floor(F.count(F.lit(1)) / 1000) + 1).alias("parts"))
+    l = l.join(parts, "block").select("ln", "block", F.pmod(F.xxhash64("ln"), F.col("parts")).alias("part"))
+    r = r.join(parts, "block").select("rn", id_right, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    j = l.join(r, ["block", "part"]).withColumn("score", F.round(similarity(F.col("ln"), F.col("rn")), 6)).filter(F.col("score") >= least)
+    best = j.groupBy("ln").agg(F.min(F.struct((-F.col("score")).alias("far"), F.col(id_right))).alias("m"))
+    return left.join(best, left[name] == best["ln"]).select(id_left, F.col(f"m.{id_right}").alias(id_right), (-F.col("m.far")).alias("score"))
 
 
 def overlap(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name") -> DataFrame:

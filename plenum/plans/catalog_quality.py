@@ -65,6 +65,8 @@ def _others(s, d):
 PEOPLE = "with l as (select c_custkey, lower(string_split(c_name,'#')[1]||' of '||right(c_name,3)) as name from customer), r as (select s_suppkey, 'customer of '||right(s_name,3) as name from supplier)"
 query("exact_names", PEOPLE + " select c_custkey, l.name, m.s_suppkey from l left join (select name, min(s_suppkey) as s_suppkey from r group by 1) m on m.name=l.name", view=False)(lambda s, d: re_.exact(_people(s, d), _others(s, d), "name", "s_suppkey").select("c_custkey", "name", "s_suppkey"))
 query("fuzzy_names", PEOPLE + """, j as (select c_custkey, s_suppkey, round(1-levenshtein(l.name,r.name)/greatest(length(l.name),length(r.name),1),6) as score from l join r on string_split(l.name,' ')[1]=string_split(r.name,' ')[1] and left(string_split(l.name,' ')[-1],1)=left(string_split(r.name,' ')[-1],1))
+ select c_custkey, s_suppkey, score from (select *, row_number() over (partition by c_custkey order by score desc, s_suppkey) as k from j where score>=0.85) where k=1""", view=False)(lambda s, d: re_.fuzzy(_people(s, d), _others(s, d), "c_custkey", "s_suppkey", initial=True))
+query("fuzzy_names_whole", PEOPLE + """, j as (select c_custkey, s_suppkey, round(1-levenshtein(l.name,r.name)/greatest(length(l.name),length(r.name),1),6) as score from l join r on string_split(l.name,' ')[1]=string_split(r.name,' ')[1])
  select c_custkey, s_suppkey, score from (select *, row_number() over (partition by c_custkey order by score desc, s_suppkey) as k from j where score>=0.85) where k=1""", view=False)(lambda s, d: re_.fuzzy(_people(s, d), _others(s, d), "c_custkey", "s_suppkey"))
 
 

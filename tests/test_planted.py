@@ -228,3 +228,13 @@ def test_scaling_queries_go_on_until_it_settles(spark, monkeypatch):
     assert all(got[3, v] == pytest.approx(got[2, v]) for v in range(24))
     catalog.QUERIES["scaled_voters"](spark, "")
     assert all(not c[0] for c in calls) and defaults[1:3] == (100, 1e-5)
+
+
+def test_fuzzy_names_of_other_initials(spark):
+    """More names in a block than a part holds; the one of another last initial is the best."""
+    left = spark.createDataFrame([(i, f"customer of {i:04d}") for i in range(2500)] + [(9000, "ana lopez r"), (9001, "customer of 0007")], "c long, name string")
+    right = spark.createDataFrame([(1, "customer of 9007"), (2, "customer of 9007"), (3, "ana lopez q"), (4, "eva lopez r")], "k long, name string")
+    got = {r["c"]: (r["k"], r["score"]) for r in resolve.fuzzy(left, right, "c", "k").collect()}
+    assert got[7] == got[9001] == (1, 0.9375) and got[9000] == (3, round(10 / 11, 6))
+    near = [i for i in range(2500) if sum(a != b for a, b in zip(f"{i:04d}", "9007")) <= 2]
+    assert set(near) <= set(got)
