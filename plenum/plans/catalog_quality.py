@@ -80,8 +80,8 @@ query("word_overlap", """with l as (select item_id as a, regexp_replace(lower(te
  select a, b, cast(score as double) as score from (select *, row_number() over (partition by a order by score desc, b) as k from j where score>=3 and shared>=2) where k=1""", view=False)(lambda s, d: re_.overlap(_titles(s, d, 1), _titles(s, d, 0), "a", "b").withColumn("score", F.col("score").cast("double")))
 
 
-def _spans(s, d):
-    o = table(s, d, "orders").filter("o_orderkey % 5 = 0")
+def _spans(s, d, every=5):
+    o = table(s, d, "orders").filter(F.col("o_orderkey") % every == 0)
     day = F.col("o_orderdate").cast("date")
     return o.select(F.col("o_custkey").alias("who"), day.alias("start"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add(day, 400)).alias("end"), F.col("o_orderkey").alias("org"))
 
@@ -93,6 +93,13 @@ query("membership_as_of", """with p as (select o_orderkey, o_custkey as who, cas
     lambda s, d: re_.as_of(table(s, d, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("day")), _spans(s, d), "who", "day"))
 
 
+query("membership_as_of_whole", """with p as (select o_orderkey, o_custkey as who, cast(o_orderdate as date) as day from orders),
+ sp as (select o_custkey as who, cast(o_orderdate as date) as st, case when o_orderkey%3=0 then cast(o_orderdate as date)+400 end as en, o_orderkey as org from orders),
+ j as (select o_orderkey, p.who, day, org, case when org is null then 2 when st<=day and day<=coalesce(en, date '9999-12-31') then 0 else 1 end as c, case when st<=day and day<=coalesce(en, date '9999-12-31') then -date_diff('day', date '1970-01-01', st) else abs(date_diff('day', day, st)) end as dist from p left join sp on sp.who=p.who)
+ select o_orderkey, who, day, org, case c when 0 then 'inside' when 1 then 'nearest' else 'none' end as how from (select *, row_number() over (partition by o_orderkey order by c, dist, org) as k from j) where k=1""", view=False)(
+    lambda s, d: re_.as_of(table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("day")), _spans(s, d, 1), "who", "day"))
+
+
 def _calendar(s):
     return s.range(7).select(F.col("id").alias("leg"), F.date_add(F.lit("1992-01-01").cast("date"), (F.col("id") * 365).cast("int")).alias("start"), F.date_add(F.lit("1992-01-01").cast("date"), (F.col("id") * 365 + 364).cast("int")).alias("end"))
 
@@ -105,6 +112,7 @@ query("new_ids", "select n_nationkey, 'O'||lpad(cast(row_number() over (order by
 query("duplicate_histogram", "with n as (select l_partkey, l_suppkey, count(*) as m from lineitem group by 1,2) select m as multiplicity, count(*) as n_groups, cast(sum(m-1) as bigint) as n_extra from n group by 1", view=False)(lambda s, d: qu.duplicate_histogram(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"]))
 query("deduplicated_votes", "select l_partkey, l_suppkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_orderkey, l_linenumber) as k from lineitem) where k=1", view=False)(lambda s, d: qu.keep_first(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]))
 query("orphans", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey%3<>0)", view=False)(lambda s, d: qu.orphans(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(s, d, "customer").filter("c_custkey % 3 <> 0"), "c_custkey").select("o_orderkey", "o_custkey"))
+query("orphans_whole", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer)", view=False)(lambda s, d: qu.orphans(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(s, d, "customer"), "c_custkey").select("o_orderkey", "o_custkey"))
 query("phantom_events", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity>25)", view=False)(lambda s, d: qu.childless(table(s, d, "part").select("p_partkey"), "p_partkey", table(s, d, "lineitem").filter("l_quantity > 25"), "l_partkey"))
 query("foreign_keys", "select 's_nationkey->n_nationkey' as relation, count(*) as n_orphans from supplier where s_nationkey not in (select n_nationkey from nation) union all select 'o_custkey->c_custkey', count(*) from orders where o_custkey not in (select c_custkey from customer)", view=False)(lambda s, d: qu.foreign_keys_hold([(table(s, d, "supplier"), "s_nationkey", table(s, d, "nation"), "n_nationkey"), (table(s, d, "orders"), "o_custkey", table(s, d, "customer"), "c_custkey")], s))
 query("domain_report", "select 'l_returnflag' as \"column\", l_returnflag as value, count(*) as n from lineitem where l_returnflag not in ('A','N') group by 2 union all select 'l_linestatus', l_linestatus, count(*) from lineitem where l_linestatus not in ('O') group by 2", view=False)(lambda s, d: qu.domain_report(table(s, d, "lineitem"), {"l_returnflag": ["A", "N"], "l_linestatus": ["O"]}))
@@ -121,12 +129,16 @@ def _fill(s, d):
 query("filled_attributes", "with p as (select c_custkey, case when c_custkey%3>0 then c_custkey%2 end as flag from customer), u as (select o_custkey, min(o_orderkey%2) as nw from orders group by 1) select c_custkey, coalesce(flag,nw) as flag, coalesce(flag<>nw,false) as conflict from p left join u on o_custkey=c_custkey", view=False)(_fill)
 
 
+def _tokens(s, d):
+    return table(s, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("token"), F.when(F.col("doc_id") % 2 == 0, "M").otherwise("F").alias("genero"))
+
+
 def _dictionary(s, d):
-    n = table(s, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("token"), F.when(F.col("doc_id") % 2 == 0, "M").otherwise("F").alias("genero")).filter("length(token) = 4")
-    return qu.majority_dictionary(n, least=3)
+    return qu.majority_dictionary(_tokens(s, d).filter("length(token) = 4"), least=3)
 
 
 query("majority_dictionary", "with n as (select unnest(string_split(lower(text),' ')) as token, case when doc_id%2=0 then 1.0 else 0.0 end as m from documents), g as (select token, count(*) as n, round(avg(m),6) as share_m from n where length(token)=4 group by 1 having count(*)>=3) select *, case when share_m>0.7 then 'M' when share_m<0.3 then 'F' end as genero from g", view=False)(_dictionary)
+query("majority_dictionary_whole", "with n as (select unnest(string_split(lower(text),' ')) as token, case when doc_id%2=0 then 1.0 else 0.0 end as m from documents), g as (select token, count(*) as n, round(avg(m),6) as share_m from n group by 1 having count(*)>=3) select *, case when share_m>0.7 then 'M' when share_m<0.3 then 'F' end as genero from g", view=False)(lambda s, d: qu.majority_dictionary(_tokens(s, d), least=3))
 query("result_changes")(lambda s, d: qu.result_changes(ta.by_event(votes(s, d)), ta.by_event(votes(s, d), True), "vote_event_id", "result"))
 
 
