@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -25,16 +26,43 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plenum-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/plenum/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/plenum/{tag}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
+
+
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """The list of scratch folders that are named meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders in the shared store; those that are gone already are no problem."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,7 +70,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize has stored for these, once nothing reads them any more."""
+    for df in frames:
+        delete(df.sparkSession, df.stored_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,34 +8,46 @@ further one by `FANOUT` tokens, so that a pair at the threshold is likely to
 stay together in some branch however deep the tree gets. Nodes of at most
 `LEAF` sets are compared exhaustively; larger ones branch again, up to `DEPTH`
 levels or until a branch keeps most of its sets. What is still larger there is
-a group of near copies, and is compared in pairs of blocks of `BLOCK` sets, without any cap. Recall: a pair with
+mostly a group of near copies; it is dealt into blocks of `BLOCK` sets, without any cap. Recall: a pair with
 similarity 0.75 meets in a tree with probability 0.75 at the first level and
 at least 0.61 at the last, so ten trees miss it with a probability between
 1e-6 and 1e-4; nearer pairs less.
 
 Comparing: signatures of `COORDS` minwise hashes rule out pairs whose estimate
-lies more than four deviations below the threshold. Of the others a node
-proposes a spanning forest of its most similar pairs. The proposed links are
-confirmed on the full sets. Parts that a candidate pair may still link form
-families, and all pairs of a family's parts are confirmed on the full sets as
-well, by matrix products inside tasks of bounded size, so that no link between
-components is lost while pairs never become rows.
+lies more than four deviations below the threshold.
+
+1. Each block proposes a spanning forest of its candidate pairs. A node's
+   smallest set is its hub: it joins every block of the node, and what lies
+   close to it is proposed with it, the same pair in every tree and block. So
+   a group of n near copies proposes about n pairs. They are confirmed on the
+   full sets, and what they link are parts.
+2. Nodes that hold several parts are looked at again. The blocks of a node's
+   largest part meet the blocks of the rest, and those of the rest each other,
+   but two blocks of one part never meet. Parts with a candidate pair form
+   families.
+3. The parts of a family are compared on their full sets in the same pairs of
+   blocks, by matrix products inside tasks of bounded size. A task returns a
+   link for two parts that a pair holds together, never the pairs.
 
 Nulls: a null or blank text has an empty set and links with nothing, and so
 does a row with a null doc_id (its component is null, it is kept). Texts of
-fewer than five words are one shingle. Repeated rows have equal sets and
-link. An empty table gives an empty result.
+fewer than five words are one shingle; very long texts are sets like others.
+Repeated rows have equal sets and link; of equal ids the smallest names the
+component. Other columns are ignored, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, table
+from .common import discard, materialize, pick, shuffle_width, table
 from .components import components
 
 WORDS = 5
@@ -50,7 +62,11 @@ STALL = 0.7
 BLOCK = 512
 #: Estimates below this are more than four deviations under the threshold.
 CUT = int(COORDS * (0.75 - 4.2 * (0.75 * 0.25 / COORDS) ** 0.5))
+#: Pairs with a hub from this estimate on are proposed as such.
+HUB = int(COORDS * 0.8)
 WORD_CACHE = 400_000
+#: Bytes of text whose shingles are hashed together.
+GROUP = 1 << 20
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -76,29 +92,63 @@ class WordHashes(dict):
         return h
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, ASCII letters lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(n, WORDS)
-    odd = np.random.default_rng(5).integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-    h = np.full(n - k + 1, odd[WORDS], np.uint64) * np.uint64(k)
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _windows(m: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k words from the mixed hashes of the words."""
+    h = np.full(len(m) - k + 1, _ODD[WORDS], np.uint64) * np.uint64(k)
     for i in range(k):
-        h += mix(w[i : n - k + 1 + i]) * odd[i]
-    return np.unique(mix(h))
+        h += m[i : len(m) - k + 1 + i] * _ODD[i]
+    return mix(h)
+
+
+def shingle_sets(texts: list[str | None], hashes: WordHashes):
+    """For each text its sorted distinct shingle hashes, ASCII letters lower-cased."""
+    group: list[list[bytes]] = []
+    held = 0
+    for i, text in enumerate(texts, 1):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        group.append(words)
+        held += len(text or "")
+        if held < GROUP and i < len(texts):
+            continue
+        n = [len(w) for w in group]
+        m = mix(np.fromiter(map(hashes.__getitem__, chain.from_iterable(group)), np.uint64, sum(n)))
+        h = _windows(m, WORDS) if len(m) >= WORDS else m[:0]
+        at = 0
+        for k in n:
+            s = np.sort(h[at : at + k - WORDS + 1] if k >= WORDS else _windows(m[at : at + k], k) if k else h[:0])
+            yield s[np.append(True, s[1:] != s[:-1])] if k > 1 else s
+            at += k
+        group, held = [], 0
+
+
+def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return next(shingle_sets([text], hashes))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """COORDS minwise hashes of a set, 32 bits each."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """COORDS minwise hashes of each set, 32 bits each; the sets are not empty."""
     rng = np.random.default_rng(10)
-    a = rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, COORDS, np.uint64)
-    out = np.empty(COORDS, np.uint32)
-    for k in range(COORDS):
-        out[k] = ((s * a[k] + b[k]) >> np.uint64(32)).min()
+    a = rng.integers(0, 1 << 31, COORDS, np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, COORDS, np.uint32)
+    out = np.empty((len(sets), COORDS), np.uint32)
+    size = np.cumsum([len(s) for s in sets])
+    lo = 0
+    while lo < len(sets):
+        # as many sets at a time as fit a core's cache
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 14), side="right")))
+        x = np.concatenate(sets[lo:hi])
+        x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
+        starts = np.append(0, np.cumsum([len(s) for s in sets[lo : hi - 1]])).astype(np.int64)
+        buffer = np.empty_like(x)
+        for k in range(COORDS):
+            np.multiply(x, a[k], out=buffer)
+            np.add(buffer, b[k], out=buffer)
+            out[lo:hi, k] = np.minimum.reduceat(buffer, starts)
+        lo = hi
     return out
 
 
@@ -119,13 +169,11 @@ def _sets(docs: DataFrame) -> DataFrame:
 
         hashes = WordHashes()
         for batch in batches:
-            n, sid, sig = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, hashes)
-                n.append(len(s))
-                sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "sid", "sig"])
+            sets = list(shingle_sets(batch.column("text").to_pylist(), hashes))
+            sid = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            made = iter(signatures([s for s in sets if len(s)]))
+            sig = [next(made).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "sid", "sig"])
 
     return docs.mapInArrow(compute, "doc_id long, n_shingles long, sid binary, sig binary")
 
@@ -151,30 +199,53 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
 
 
 def leaves(sigs: DataFrame) -> DataFrame:
-    """(node, size, sid): the nodes to compare, of two sets or more."""
-    out, rows = None, sigs.select("sid", "sig")
+    """(node, size, hub, sid): the nodes to compare, of two sets or more, with their smallest set."""
+    out, rows, spent = None, sigs.select("sid", "sig"), []
     for level in range(1, DEPTH + 1):
         nodes = materialize(_branch(rows, level), f"nodes{level}")
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("hub")).filter("size > 1")
         shared = materialize(nodes.join(sizes, "node"), f"shared{level}")
+        discard(nodes)
+        spent.append(shared)
         done = (F.col("size") <= LEAF) | (F.col("size") >= STALL * F.col("above"))
         here = shared.filter(done) if level < DEPTH else shared
-        here = here.select("node", "size", "sid")
+        here = here.select("node", "size", "hub", "sid")
         out = here if out is None else out.unionByName(here)
         large = shared.filter(~done)
         if level == DEPTH or large.isEmpty():
             break
         rows = large.select("tree", "node", "sid", "size").join(sigs.select("sid", "sig"), "sid")
-    return out
+    found = materialize(out, "leaves")
+    discard(*spent)
+    return found
 
 
 def _units(found: DataFrame) -> DataFrame:
-    """(unit, block, sid): whole nodes, and pairs of blocks of those above BLOCK."""
+    """(unit, sid): the blocks of the nodes, each with the node's hub."""
     rows = found.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", "node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.select(unit.alias("unit"), "block", "sid").distinct()
+    own = rows.select(F.xxhash64("node", F.pmod(F.xxhash64("sid", "node"), F.col("blocks")).cast("int")).alias("unit"), "sid")
+    hubs = rows.filter("blocks > 1 and sid = hub").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.unionByName(hubs.select(F.xxhash64("node", "block").alias("unit"), "sid"))
+
+
+def _meetings(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows (key, part, sid, ...) plus unit, once for each unit: members of different parts of a key meet in a unit.
+
+    A key of at most `block` rows is one unit. Of larger ones the largest part
+    is told apart: its blocks meet those of the other parts, which also meet
+    each other. Keys with one part have no unit.
+    """
+    parts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy(key).agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
+    ceil = lambda n: F.ceil(n / block).cast("int")
+    small = F.col("n") <= block
+    sizes = sizes.select(key, F.col("top.part").alias("main"), F.when(small, 0).otherwise(ceil(F.col("top.n"))).alias("mains"), F.when(small, 1).otherwise(ceil(F.col("n") - F.col("top.n"))).alias("others"))
+    got = rows.join(sizes, key)
+    place = F.xxhash64("sid", F.lit("block"))
+    is_main = (F.col("part") == F.col("main")) & (F.col("mains") > 0)
+    got = got.withColumn("__own", F.when(is_main, F.pmod(place, F.col("mains"))).otherwise(F.col("mains") + F.pmod(place, F.col("others"))).cast("int"))
+    got = got.withColumn("__met", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
+    return got.withColumn("unit", F.xxhash64(key, F.least("__own", "__met"), F.greatest("__own", "__met"))).drop("main", "mains", "others", "__own", "__met")
 
 
 def agreement(m: np.ndarray) -> np.ndarray:
@@ -186,9 +257,8 @@ def agreement(m: np.ndarray) -> np.ndarray:
 
 
 def forest(m: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with CUT equal coordinates or more, the most similar first."""
+    """A spanning forest of the pairs with CUT equal coordinates or more: the first row with all close to it, then the most similar pairs first."""
     same = agreement(m)
-    i, j = np.nonzero(np.triu(same >= CUT, 1))
     root, edges = list(range(len(m))), []
 
     def find(x: int) -> int:
@@ -197,6 +267,14 @@ def forest(m: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
+    close = np.flatnonzero(same[0, 1:] >= HUB) + 1
+    for k in close.tolist():
+        root[k] = 0
+        edges.append((0, k))
+    near = same >= CUT
+    joined = np.append(0, close)
+    near[joined[:, None], joined[None, :]] = False
+    i, j = np.nonzero(np.triu(near, 1))
     for e in np.argsort(-same[i, j].astype(np.int16), kind="stable"):
         a, b = find(i[e]), find(j[e])
         if a != b:
@@ -238,10 +316,6 @@ def _propose(units: DataFrame, crossing: bool) -> DataFrame:
             m = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS)
             name = t.column("part" if crossing else "sid").to_pylist()
             got = neighbours(m, name) if crossing else forest(m)
-            block = t.column("block").to_pylist()
-            if not crossing and len(set(block)) > 1:
-                # an edge inside a block that a pair of blocks needs, the block by itself needs as well
-                got = [(i, j) for i, j in got if block[i] != block[j]]
             return [(min(name[i], name[j]), max(name[i], name[j])) for i, j in got]
 
         def flush(t: pa.Table):
@@ -264,9 +338,8 @@ def _propose(units: DataFrame, crossing: bool) -> DataFrame:
         if held is not None and len(held):
             yield flush(held)
 
-    cols = ["unit", "block", "sid", "sig", *(["part"] if crossing else [])]
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.select(*cols).repartition(n, "unit").sortWithinPartitions("unit", "sid").mapInArrow(run, "a binary, b binary").distinct()
+    cols = ["unit", "sid", "sig", *(["part"] if crossing else [])]
+    return units.select(*cols).repartition(shuffle_width(units.sparkSession), "unit").sortWithinPartitions("unit", "sid").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -285,7 +358,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         hashes = WordHashes()
         for batch in batches:
-            out = [(xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)) for s in (shingles(t, hashes) for t in batch.column("text").to_pylist())]
+            sets = list(shingle_sets(batch.column("text").to_pylist(), hashes))
+            out = [(xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["sid", "s"])
 
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -295,13 +369,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _between(members: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between parts of a family, from its members (family, part, sid, s).
 
-    A family is dealt into pairs of blocks. A task counts the common shingles
-    of all its pairs by one product of incidence matrices, and returns a link
-    for each pair of parts that one holds together, never the pairs.
+    A task counts the common shingles of all pairs of a unit by one product of
+    incidence matrices, and returns a link for each pair of parts that one
+    holds together, never the pairs.
     """
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("blocks"))
-    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    rows = _meetings(members, "family", BLOCK // 2)
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         sets, sid, part = [np.asarray(x, np.int64) for x in pdf["s"]], pdf["sid"].tolist(), pdf["part"].tolist()
@@ -323,7 +395,7 @@ def _between(members: DataFrame) -> DataFrame:
         _, k = np.unique(np.minimum(code[i], code[j]) * len(sets) + np.maximum(code[i], code[j]), return_index=True)
         return pd.DataFrame({"a": [min(sid[i[x]], sid[j[x]]) for x in k], "b": [max(sid[i[x]], sid[j[x]]) for x in k]})
 
-    return rows.select("family", "left", "right", "part", "sid", "s").groupBy("family", "left", "right").applyInPandas(confirm, "a binary, b binary")
+    return rows.select("unit", "part", "sid", "s").groupBy("unit").applyInPandas(confirm, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -332,19 +404,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(_sets(texts), "sets")
     live = rows.filter("sid is not null and doc_id is not null")
     sigs = materialize(live.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "signatures")
-    units = materialize(_units(leaves(sigs)), "units")
-    tried = materialize(_propose(units.join(sigs.select("sid", "sig"), "sid"), False), "proposed")
+    bare = sigs.select("sid", "sig")
+    found = leaves(sigs)
+    tried = materialize(_propose(_units(found).join(bare, "sid"), False), "proposed")
     ends = tried.select(F.col("a").alias("sid")).union(tried.select(F.col("b").alias("sid"))).distinct()
     sets = materialize(_full_sets(texts, sigs.select("sid", "doc_id").join(ends, "sid")), "full")
     links = materialize(_confirmed(tried, sets), "confirmed")
     parts = _parts(links)
-    # parts that a candidate pair may still link: they form families, and those are compared on their full sets
+    # a node that is one block has shown all its candidates; of larger ones every set is looked at again
     known = ends.join(parts, "sid", "left").select("sid", F.coalesce("part", "sid").alias("part"))
-    placed = materialize(units.join(known, "sid"), "placed")
-    mixed = placed.groupBy("unit").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("unit")
-    open_rows = placed.join(mixed, "unit", "left_semi").join(sigs.select("sid", "sig"), "sid")
-    families = components(_propose(open_rows, True)).select(F.col("id").alias("part"), F.col("component_id").alias("family"))
-    more = materialize(_between(known.join(families, "part").join(sets, "sid")), "between")
+    placed = found.join(known, "sid", "left").filter(f"part is not null or size > {BLOCK}").select("node", "sid", F.coalesce("part", "sid").alias("part"))
+    again = _meetings(materialize(placed, "placed"), "node", BLOCK)
+    families = components(_propose(again.join(bare, "sid"), True)).select(F.col("id").alias("part"), F.col("component_id").alias("family"))
+    members = sigs.select("sid", "doc_id").join(parts, "sid", "left").select("sid", "doc_id", F.coalesce("part", "sid").alias("part")).join(families, "part")
+    members = materialize(members, "members")
+    late = members.join(sets.select("sid"), "sid", "left_anti").select("sid", "doc_id")
+    if not late.isEmpty():
+        sets = sets.unionByName(materialize(_full_sets(texts, late), "late"))
+    more = materialize(_between(members.drop("doc_id").join(sets, "sid")), "between")
+    discard(found, tried)
     if not more.isEmpty():
         parts = _parts(links.union(more))
     placed = sigs.select("sid", "doc_id").join(parts, "sid", "left").select("sid", "doc_id", F.coalesce("part", "sid").alias("part"))
