@@ -25,7 +25,8 @@ Scores of unigram models are log weights as they are.
 Nulls: a null or empty text has one segmentation, the empty one. A null key
 seeds like an empty one. Texts with fewer than k segmentations give as many as
 they have. Repeated rows give equal samples. An empty table gives an empty
-result. Memory is bounded by GROUP or one text.
+result. Very long texts are sampled whole; memory is bounded by GROUP or one
+text. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ from .minhash_dedup import mix
 
 SAMPLES = 3
 #: Characters of text that are sampled together.
-GROUP = 1 << 20
+GROUP = 1 << 21
+#: Steps of a path that are looked at together.
+STEPS = 512
 MARK = "▁"
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,6 +84,9 @@ class Vocabulary:
                 whole[self._hash(points)] = i
                 heads.update(self._hash(points[:k]) for k in range(1, len(points) + 1))
                 pairs.update(a << 21 | b for a, b in zip(points, points[1:]))
+        self.size_of = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.begin_of = np.cumsum(self.size_of) - self.size_of
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.heads = np.array(sorted(heads), np.uint64)
         self.piece_of = np.array([whole.get(h, -1) for h in self.heads.tolist()], np.int64)
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -111,9 +118,14 @@ class Vocabulary:
             live, h = live[more], h[more]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids."""
+        size = self.size_of[ids]
+        return self.all_bytes[np.repeat(self.begin_of[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+
     def decode(self, ids) -> str:
         """The text of ids: their bytes without the space that encoding puts in front."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        raw = self.raw(np.asarray(ids, np.int64))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -197,7 +209,7 @@ class Group:
         beta = np.zeros(n + len(at))
         far = np.zeros(n + len(at), np.int64)
         far[state] = room
-        order = np.lexsort((source, far[source]))
+        order = np.argsort(far[source] << 32 | source << 4 | np.minimum(target - source, 15), kind="stable")
         source, target, piece, weight, follow = (x[order] for x in (source, target, piece, weight, follow))
         logp = np.empty(len(source))
         heads = np.flatnonzero(np.append(True, source[1:] != source[:-1])) if len(source) else np.zeros(0, np.int64)
@@ -216,7 +228,8 @@ class Group:
         if chain:
             c = list(zip(*chain, strict=True))
             source, piece, follow, logp = np.append(source, c[0]), np.append(piece, c[1]), np.append(follow, c[2]), np.append(logp, np.zeros(len(chain)))
-        order = np.lexsort((-logp, source))  # the likeliest edge of a state first
+        # the likeliest edge of a state first, to 20 bits
+        order = np.argsort(source << 32 | np.minimum(-logp * (1 << 20), (1 << 32) - 1).astype(np.int64), kind="stable")
         source, self.piece, self.following, self.logp = source[order], piece[order], follow[order], logp[order]
         self.p = np.exp(self.logp)
         self.first = np.append(0, np.cumsum(np.bincount(source, minlength=states)))
@@ -240,7 +253,7 @@ class Group:
         end = np.concatenate([self.end[t][w:] for t, _, w, _ in jobs])
         number = np.concatenate([np.arange(w, len(self.start[t])) for t, _, w, _ in jobs])
         sizes = np.array([len(self.start[t]) - w for t, _, w, _ in jobs])
-        own = np.repeat(np.array([mix(np.array([self.seeds[t]], np.uint64) * np.uint64(4) + np.uint64(s))[0] for t, s, _, _ in jobs], np.uint64), sizes)
+        own = np.repeat(mix(self.seeds[[t for t, *_ in jobs]] * np.uint64(4) + np.array([s for _, s, *_ in jobs], np.uint64)), sizes)
         own = mix(own ^ (number.astype(np.uint64) * np.uint64(BASE)))
         live = np.flatnonzero(state != end)
         here, goal, seed = state[live], end[live], own[live]
@@ -259,36 +272,69 @@ class Group:
         cuts = np.append(place, len(edge))[np.cumsum(sizes)[:-1]]
         return list(zip(np.split(edge, cuts), np.split(np.repeat(number, steps), cuts), strict=True))
 
-    def children(self, t: int, sample: int, edge: np.ndarray, begin: int, banned: tuple[int, ...], value: float, keep: int):
-        """The `keep` best subtrees that leave the path at step begin or later: (value, step, edges not to take).
+    def children(self, jobs: list[tuple[int, int, np.ndarray, int, tuple[int, ...], float]], keep: int) -> list[list[tuple[float, int, tuple[int, ...]]]]:
+        """For each job (text, sample, path, begin, banned, value) the `keep` best subtrees that leave the path at step begin or later: (value, step, edges not to take).
 
         A subtree's value is at most its log mass plus 37, the largest Gumbel
         that a number of 52 bits gives, and at least that less 4. Log masses
         fall along the path, so steps 45 below the keep-th mass cannot be among
-        the best and need not be looked at.
+        the best and need not be looked at: all paths are looked at STEPS steps
+        deep, and those that need it deeper again.
         """
-        size, prefix = 256, float(self.logp[edge[:begin]].sum())
-        while True:
-            part = edge[begin : begin + size]
-            upto = prefix + np.cumsum(self.logp[part])
-            gone = self.p[part]
-            owner = self.owner[part]
+        out: list = [None] * len(jobs)
+        todo, size = list(range(len(jobs))), STEPS
+        while todo:
+            parts = [jobs[i][2][jobs[i][3] : jobs[i][3] + size] for i in todo]
+            many = np.array([len(p) for p in parts])
+            part = np.concatenate(parts)
+            first = np.cumsum(many) - many
+            row = np.repeat(np.arange(len(todo)), many)
+            step = np.arange(len(part)) - first[row]
+            run = np.cumsum(self.logp[part])
+            prefix = np.array([jobs[i][5] for i in todo])
+            before = np.append(0.0, run)[first]
+            upto = run - before[row]
+            gone, owner = self.p[part], self.owner[part]
             ways = self.first[owner + 1] - self.first[owner]
-            if len(part) and banned:
-                gone[0] += self.p[list(banned)].sum()
-                ways[0] -= len(banned)
+            for r, i in enumerate(todo):
+                banned = jobs[i][4]
+                if banned and many[r]:
+                    gone[first[r]] += self.p[list(banned)].sum()
+                    ways[first[r]] -= len(banned)
+            heads = np.array([float(self.logp[jobs[i][2][: jobs[i][3]]].sum()) if jobs[i][3] else 0.0 for i in todo])
+            upto += heads[row]
             at = np.flatnonzero(ways > 1)  # a single way on leaves nothing, whatever the rounding
             mass = upto[at] - self.logp[part[at]] + np.log(np.maximum(1.0 - gone[at], 1e-300))
-            if begin + size >= len(edge) or len(mass) >= keep and upto[-1] < np.partition(mass, -keep)[-keep] - 45:
-                break
-            size *= 4
-        if not len(at):
-            return []
-        u = uniform(self.seeds[t], np.uint64(sample), (at + begin).astype(np.uint64), np.uint64(7))
-        # Gumbel at mass, truncated at value; log-sum in a form that does not overflow
-        g = mass - np.logaddexp(mass - value, np.log(-np.log(u)))
-        best = np.argsort(-g, kind="stable")[:keep]
-        return [(float(g[b]), int(at[b]) + begin, (*(banned if at[b] == 0 else ()), int(part[at[b]]))) for b in best]
+            owner_row = row[at]
+            begins = np.array([jobs[i][3] for i in todo])
+            seeds = self.seeds[np.array([jobs[i][0] for i in todo])]
+            samples = np.array([jobs[i][1] for i in todo], np.uint64)
+            u = uniform(seeds[owner_row], samples[owner_row], (step[at] + begins[owner_row]).astype(np.uint64), np.uint64(7))
+            # Gumbel at mass, truncated at value; log-sum in a form that does not overflow
+            g = mass - np.logaddexp(mass - prefix[owner_row], np.log(-np.log(u)))
+            cuts = np.searchsorted(owner_row, np.arange(len(todo) + 1))
+            # the keep-th largest of the first masses is at most that of all
+            head = keep + 24
+            enough = np.diff(cuts) >= head
+            low = np.full(len(todo), -np.inf)
+            low[enough] = np.partition(mass[cuts[:-1][enough][:, None] + np.arange(head)], head - keep, axis=1)[:, head - keep]
+            last = np.append(upto, 0.0)[np.maximum(first + many - 1, 0)]
+            more = (many == size) & (begins + size < np.array([len(jobs[i][2]) for i in todo])) & ~(enough & (last < low - 45))
+            ranked, h, full = np.full((len(todo), keep), -1), g.copy(), np.diff(cuts) > 0
+            for j in range(keep if full.any() else 0):
+                top = np.full(len(todo), -np.inf)
+                top[full] = np.maximum.reduceat(h, cuts[:-1][full])
+                hit = np.flatnonzero((h == top[owner_row]) & (h > -np.inf))
+                of, where = np.unique(owner_row[hit], return_index=True)
+                ranked[of, j] = hit[where]
+                h[hit[where]] = -np.inf
+            deeper = [i for i, m in zip(todo, more.tolist(), strict=True) if m]
+            for r, i in enumerate(todo):
+                if not more[r]:
+                    best = ranked[r][ranked[r] >= 0]
+                    out[i] = [(v, n + jobs[i][3], (*(jobs[i][4] if n == 0 else ()), e)) for v, n, e in zip(g[best].tolist(), step[at[best]].tolist(), part[at[best]].tolist(), strict=True)]
+            todo, size = deeper, size * 4
+        return out
 
     def sample(self, k: int):
         """For each text a list of (edges, log probability, perturbed value) in falling order, and kappa."""
@@ -303,25 +349,25 @@ class Group:
                     kappa[t] = state[t][0]
                 break
             paths = self.complete(jobs) if jobs else []
-            nxt = []
+            nxt, opened = [], []
             for (t, _, _, _), (tail, tail_words) in zip(jobs, paths, strict=True):
                 value, begin, banned, head, head_words = state[t]
-                edge, word = np.append(head, tail), np.append(head_words, tail_words)
+                edge, word = (np.append(head, tail), np.append(head_words, tail_words)) if len(head) else (tail, tail_words)
                 found[t].append((edge, float(self.logp[edge].sum()), value))
                 runs_of[t].append(word)
-                for g, step, ban in self.children(t, number, edge, begin, banned, value, k - number):
+                opened.append((t, number, edge, begin, banned, value))
+            popped = []
+            for (t, *_), subtrees in zip(opened, self.children(opened, k - number) if opened else [], strict=True):
+                for g, step, ban in subtrees:
                     heapq.heappush(queues[t], (-g, len(found[t]), step, ban))
-                if not queues[t]:
-                    continue
-                g, origin, step, ban = heapq.heappop(queues[t])
-                if origin == len(found[t]):
-                    src_edge, src_word = edge, word
-                else:
-                    src_edge, src_word = found[t][origin - 1][0], runs_of[t][origin - 1]
+                if queues[t]:
+                    popped.append((t, *heapq.heappop(queues[t])))
+            us = uniform(self.seeds[[x[0] for x in popped]], np.uint64(number), np.array([x[3] for x in popped], np.uint64), np.uint64(13)).tolist() if popped else []
+            for (t, g, origin, step, ban), u in zip(popped, us, strict=True):
+                src_edge, src_word = found[t][origin - 1][0], runs_of[t][origin - 1]
                 s = int(self.owner[src_edge[step]])
                 options = np.array([e for e in range(self.first[s], self.first[s + 1]) if e not in ban])
                 weights = np.cumsum(self.p[options])
-                u = float(uniform(self.seeds[t], np.uint64(number), np.uint64(step), np.uint64(13))[0])
                 e = int(options[min(np.searchsorted(weights, u * weights[-1], side="right"), len(options) - 1)])
                 w = int(src_word[step])
                 state[t] = (-g, step, ban, np.append(src_edge[:step], e), src_word[: step + 1])
@@ -346,26 +392,32 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str | None = N
                 pieces = group.piece[edge]
                 x = logp - kappa[t]
                 inclusion = 0.0 if kappa[t] == -math.inf else (x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0)))))
-                row = (doc, j, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), round(logp, 6), round(value, 6), round(inclusion, 6), voc.decode(pieces.tolist()) == text)
+                row = (doc, j, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), round(logp, 6), round(value, 6), round(inclusion, 6), voc.decode(pieces) == text)
                 yield row + (pieces,) if with_ids else row
 
+    schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
+
     def work(batches):
         voc = vocabulary(path)
-        names = [c.split()[0] for c in RESULT.split(", ")] + (["ids"] if with_ids else [])
-        for pdf in batches:
-            ids, texts, held = [], [], 0
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+
+        def made(ids: list, texts: list[str]):
+            rows = list(rows_of(voc, ids, texts))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 if texts and held + len(text) > GROUP:
-                    yield pd.DataFrame(list(rows_of(voc, ids, texts)), columns=names).astype({"doc_id": "Int64"})
+                    yield made(ids, texts)
                     ids, texts, held = [], [], 0
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(doc)
                 texts.append(text)
                 held += len(text)
-            if texts:
-                yield pd.DataFrame(list(rows_of(voc, ids, texts)), columns=names).astype({"doc_id": "Int64"})
+        if texts:
+            yield made(ids, texts)
 
-    return pick(docs, "doc_id", "text").mapInPandas(work, RESULT + (", ids array<int>" if with_ids else ""))
+    return pick(docs, "doc_id", "text").mapInArrow(work, RESULT + (", ids array<int>" if with_ids else ""))
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", into: str = "text", path: str | None = None) -> DataFrame:
