@@ -11,21 +11,24 @@ starts in a document with a smaller id.
    repeated minimizer) to the minimizer's bucket, with the smallest id. A
    minimizer with more than `HOT` passages sends its strings one by one to the
    buckets of their own hashes, so that no bucket grows with a frequent line.
-3. A bucket builds a transform per shard (group of chunks): suffix order by a bounded context,
-   preceding symbols, and the row of the suffix that starts one symbol
-   earlier. Symbols are pairs of bytes. The shards' transforms are merged by
-   refining their interleave: each round deals the merged rows out by their
-   symbol, stably, which sorts them by one symbol more; a new group begins
-   where the symbols or the groups before the round differ, so common prefixes
-   come with the rounds. Rows alone in their group repeat nothing and leave.
-   After 25 rounds the groups are the repeated intervals of 50 bytes, and the
-   smallest id of an interval is that of its members' passages.
+3. A bucket builds the transform of each shard (group of chunks): its suffixes
+   in the order of their first 50 bytes. The interleave of the shards starts
+   as a merge of these orders by contexts of 8 bytes. Each round refines only
+   intervals that hold several suffixes still: in the order of their shards,
+   their keys (own interval, interval of the suffix 8, 16, 18 bytes on) are
+   sorted runs already, and merging the runs takes the interleave to a depth of
+   16, 32 and 50. A new interval begins where a key changes, so the common
+   prefix of neighbours is known by the round that parts them. Suffixes alone
+   in their interval are settled. The intervals of the last round are the
+   repeated strings, and the smallest id of an interval is that of its members'
+   passages.
 4. The smallest ids return to the chunks, which mark the covered bytes.
 
 Nulls: a null text is empty. A row with a null doc_id comes after all others:
 nothing is removed on its account, and what others hold is removed from it.
 Rows with equal ids remove nothing from each other. Texts under 50 bytes stay.
 An empty table gives an empty result. Very long texts form chunks of their own.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, scratch_path, table
+from .common import discard, materialize, pick, scratch_path, shuffle_width, table
 from .minhash_dedup import mix
 from .warc import filesystem
 
@@ -201,71 +204,91 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return data[skip + np.arange(total)]
 
 
-class Transform:
-    """Burrows-Wheeler transforms of the shards of a text collection, rows shard by shard.
+#: Bytes of context that the shards' transforms are merged by at first.
+CONTEXT = 8
+#: Of each round, the depth that it takes the interleave to, and how many bytes on the suffix lies whose interval it joins.
+ROUNDS = ((16, 8), (32, 16), (LENGTH, LENGTH - 32))
 
-    Rows are in order of a bounded context, the first 8 bytes of their
-    suffixes: the refinement sorts by 50 whatever order it begins with, so a
-    shard need not be sorted further.
 
-    before[r]: the two bytes that precede the suffix of row r; back[r]: the row
-    of the suffix that starts two bytes earlier, -1 where the passage begins
-    after that.
-    """
+def contexts(text: np.ndarray) -> np.ndarray:
+    """The CONTEXT bytes at each position as a number that sorts like them."""
+    padded = np.append(text, np.zeros(CONTEXT, np.uint8)).astype(np.uint64)
+    key = padded[:-1] << np.uint64(8) | padded[1:]
+    key = key[:-2] << np.uint64(16) | key[2:]
+    return (key[:-4] << np.uint64(32) | key[4:])[: len(text)]
+
+
+def _begins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a new interval begins in sorted keys, and which rows share theirs with others."""
+    new = np.ones(len(key) + 1, bool)
+    new[1:-1] = key[1:] != key[:-1]
+    return new[:-1], ~(new[:-1] & new[1:])
+
 
-    def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, shard: np.ndarray):
-        n = len(text)
-        padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
-        key = padded[:-1] << np.uint64(8) | padded[1:]
-        key = key[:-2] << np.uint64(16) | key[2:]
-        key = (key[:-4] << np.uint64(32) | key[4:])[:n]
-        owner = np.repeat(shard, length)
-        cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1), n]
-        order = np.concatenate([lo + np.argsort(key[lo:hi], kind="stable") for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
-        self.suffix = order
-        row = np.empty(n, np.int32)
-        row[order] = np.arange(n, dtype=np.int32)
-        inside = np.arange(n) - np.repeat(start, length) >= 2
-        back = np.full(n, -1, np.int32)
-        back[inside] = row[np.flatnonzero(inside) - 2]
-        self.back = back[order]
-        pair = np.zeros(n, np.uint16)
-        pair[2:] = text[:-2].astype(np.uint16) << 8 | text[1:-1]
-        self.before = pair[order]
-
-
-def repeated_intervals(bwt: Transform) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix, interval) of the strings of LENGTH bytes that occur twice or more, by refining the interleave of the shards."""
-    rows = np.arange(len(bwt.back), dtype=np.int32)
-    group = np.zeros(len(rows), np.int32)
-    for _ in range(LENGTH // 2):
-        inner = bwt.back[rows] >= 0
-        rows, group = rows[inner], group[inner]
-        symbol = bwt.before[rows]
-        dealt = np.argsort(symbol, kind="stable")
-        symbol, group = symbol[dealt], group[dealt]
-        new = np.ones(len(rows) + 1, bool)
-        new[1:-1] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
-        shared = ~(new[:-1] & new[1:])
-        rows = bwt.back[rows[dealt]][shared]
-        group = np.cumsum(new[:-1], dtype=np.int32)[shared]
-        if not len(rows):
+def _keys(interval: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    return interval[rows] << 32 | interval[rows + step]
+
+
+def transform(key: np.ndarray, left: np.ndarray, lo: int, hi: int, interval: np.ndarray) -> np.ndarray:
+    """The suffixes of the shard at lo..hi in the order of their first LENGTH bytes, or of as many as their passages have left.
+
+    interval is scratch space of the length of the text.
+    """
+    order = lo + np.flatnonzero(left[lo:hi] >= CONTEXT)
+    order = order[np.argsort(key[order])]
+    new, shared = _begins(key[order])
+    interval[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    slots = np.flatnonzero(shared)
+    for depth, step in ROUNDS:
+        slots = slots[left[order[slots]] >= depth]
+        if not len(slots):
             break
-    return bwt.suffix[rows], group
+        rows = order[slots]
+        k = _keys(interval, rows, step)
+        dealt = np.argsort(k)
+        rows = order[slots] = rows[dealt]
+        new, shared = _begins(k[dealt])
+        interval[rows] = slots[new][np.cumsum(new) - 1]
+        slots = slots[shared]
+    return order
+
+
+def repeated_intervals(text: np.ndarray, length: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, interval), by interval, of the strings of LENGTH bytes that occur twice or more in passages of the given lengths."""
+    n = len(text)
+    key, interval = contexts(text), np.empty(n, np.int64)
+    left = np.repeat(np.cumsum(length), length) - np.arange(n)
+    ends = np.cumsum(np.bincount(shard, length, minlength=int(shard.max()) + 1).astype(np.int64))
+    merged = np.concatenate([transform(key, left, lo, hi, interval) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)])
+    rows = merged[np.argsort(key[merged], kind="stable")]  # merges the sorted runs of the shards
+    new, shared = _begins(key[rows])
+    interval[rows] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    open_ = np.zeros(n, bool)
+    open_[rows] = shared
+    for depth, step in ROUNDS:
+        live = merged = merged[open_[merged] & (left[merged] >= depth)]
+        if not len(live):
+            return live, live
+        k = _keys(interval, live, step)
+        dealt = np.argsort(k, kind="stable")
+        rows, k = live[dealt], k[dealt]
+        new, shared = _begins(k)
+        old = _begins(k >> 32)[0]
+        # an interval keeps its place among the others: its parts are numbered on from it
+        at = np.flatnonzero(new)[np.cumsum(new) - 1] - np.flatnonzero(old)[np.cumsum(old) - 1]
+        interval[rows] = (k >> 32) + at
+        open_[rows] = shared
+    return rows[shared], interval[rows[shared]]
 
 
 def smallest_ids(text: np.ndarray, length: np.ndarray, low: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """For each string of each passage, in order, the smallest id of the passages that hold it."""
+    """For each string of each passage, in order, the smallest id of the passages that hold it; shard: of each passage, ascending."""
     start = np.cumsum(length) - length
     count = length - LENGTH + 1
     offset = np.cumsum(count) - count
     out = np.repeat(low, count)
     if len(text):
-        # one more byte each, whatever it is: the row of the empty suffix, where the rounds begin
-        text = gather(np.append(text, np.uint8(0)), start, length + 1)
-        start = start + np.arange(len(start))
-        length = length + 1
-        suffix, group = repeated_intervals(Transform(text, start, length, shard))
+        suffix, group = repeated_intervals(text, length, shard)
         if len(suffix):
             passage = np.searchsorted(start, suffix, side="right") - 1
             heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -479,12 +502,16 @@ def remove_repeats(docs: DataFrame, characters: bool = False, hot: int = HOT) ->
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
     buckets = max(8, -(-total // BUCKET))
     stored = materialize(_store(texts, scratch_path(spark, "chunks"), buckets), "anchors")
+    headers = materialize(stored.filter(F.col("kind") == HEADER), "headers")
     flags = materialize(stored.filter(F.col("kind") == ANCHORS).groupBy("bucket").applyInArrow(lambda t: _flag(t, hot), ROW), "flags")
-    base = stored.filter(F.col("kind") == HEADER).unionByName(flags)
-    sent = flags.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), ROW)
+    discard(stored)
+    # chunks are few rows and much work, so their number, not their bytes, says how many tasks there are
+    tasks = max(1, min(headers.count(), 8 * shuffle_width(spark)))
+    sent = flags.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), ROW)
     replies = materialize(sent.groupBy("bucket").applyInArrow(_merge, ROW), "replies")
+    chunks = headers.unionByName(flags).unionByName(replies).repartition(tasks, "chunk")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, text_sha256 string"
-    return base.unionByName(replies).groupBy("chunk").applyInArrow(lambda t: _results(t, buckets, characters), kinds)
+    return chunks.groupBy("chunk").applyInArrow(lambda t: _results(t, buckets, characters), kinds)
 
 
 def without_repeats(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
