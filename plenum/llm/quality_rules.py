@@ -3,14 +3,17 @@
 Per document the operator derives integer statistics. For each language and
 source it keeps a mergeable quantile sketch of every ratio: counts per bucket
 of fixed resolution, so that two sketches merge by adding counts and a
-language's sketch is the sum of its sources'. The fences come from the
-quartiles of the sketch of (language, source); a group of fewer than
-`MIN_ROWS` rows takes the language's, and that in turn all documents'.
-A document outside a fence, or failing the base rules, is not kept.
+language's sketch is the sum of its sources'. The threshold of a feature is the
+`LEVEL` percent quantile of the sketch of (language, source), to which the
+language's sketch is added with a weight of `PRIOR` rows: a source with few
+rows takes its language's thresholds, one with many its own, with no step
+between. A document above a threshold, or failing the base rules, is not kept.
 
 Nulls: a null text has no words and fails the base rules; null language or
-source form groups of their own. Empty texts: as null. An empty table gives an
+source form groups of their own. Empty texts: as null. Very long texts are
+counted whole. Values equal to a threshold are inside. An empty table gives an
 empty result. Repeated rows are judged one by one and count in the sketches.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ from pyspark.sql.window import Window
 from .common import SPACE, materialize, pick
 
 WINDOW = 8
-MIN_ROWS = 200
-#: Feature: (fence is upper quartile plus the larger of 3 interquartile ranges and this many buckets).
-FENCES = {"symbol_pm": 60, "dup_line_pm": 450, "repeat_pm": 250, "stutter_pm": 200, "upper_pm": 300, "mean_len": 40}
+#: Percent of the rows of a group that lie at or below a threshold.
+LEVEL = 98
+#: Rows of its language that count with a source's own.
+PRIOR = 100
+FEATURES = ("symbol_pm", "dup_line_pm", "repeat_pm", "stutter_pm", "upper_pm", "mean_len")
+#: Groups whose thresholds are broadcast at most, some 100 bytes each.
+MAX_BROADCAST = 50_000
 TOP = 1000
 ALL = "\u0001all"
 NONE = "\u0001none"
@@ -77,44 +84,42 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(k_lang, k_source, feature, bucket, n): the sketch of each group, of each language and of all.
+    """(k_lang, k_source, feature, bucket, n): the sketch of each group, and of each language under the source ALL.
 
     Columns of stats: k_lang, k_source and the features. The fine sketches are
     counted with map-side combining; the coarser ones merge them.
     """
-    long = stats.select("k_lang", "k_source", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("bucket")) for f in FENCES])).alias("x"))
+    long = stats.select("k_lang", "k_source", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("bucket")) for f in FEATURES])).alias("x"))
     fine = long.groupBy("k_lang", "k_source", F.col("x.feature").alias("feature"), F.col("x.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.array(F.struct("k_lang", "k_source"), F.struct(F.col("k_lang"), F.lit(ALL).alias("k_source")), F.struct(F.lit(ALL).alias("k_lang"), F.lit(ALL).alias("k_source")))
-    return fine.select(F.explode(levels).alias("k"), "feature", "bucket", "n").groupBy(F.col("k.k_lang").alias("k_lang"), F.col("k.k_source").alias("k_source"), "feature", "bucket").agg(F.sum("n").alias("n"))
+    both = fine.withColumn("k_source", F.explode(F.array("k_source", F.lit(ALL))))
+    return both.groupBy("k_lang", "k_source", "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per group with its row count and the upper fence of every feature."""
-    w = Window.partitionBy("k_lang", "k_source", "feature")
-    at = sketch.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    q = at.groupBy("k_lang", "k_source", "feature").agg(
-        F.max("total").alias("rows"),
-        F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-    )
-    return q.groupBy("k_lang", "k_source").agg(
-        F.max("rows").alias("rows"),
-        *[F.max(F.when(F.col("feature") == f, F.col("q3") + F.greatest(3 * (F.col("q3") - F.col("q1")), F.lit(m)))).alias(f"max_{f}") for f, m in FENCES.items()],
-    )
+    """One row per group with the threshold of every feature, max_<feature>."""
+    own, lang = sketch.filter(F.col("k_source") != ALL), sketch.filter(F.col("k_source") == ALL).drop("k_source")
+    rows = lang.groupBy("k_lang", "feature").agg(F.sum("n").alias("rows"))
+    # counts times the rows of the language, so that the prior needs no division
+    weighed = own.join(rows, ["k_lang", "feature"]).select("k_lang", "k_source", "feature", "bucket", (F.col("n").cast("double") * F.col("rows")).alias("w"))
+    prior = own.select("k_lang", "k_source").distinct().join(lang, "k_lang").select("k_lang", "k_source", "feature", "bucket", (F.col("n").cast("double") * PRIOR).alias("w"))
+    mixed = weighed.unionByName(prior).groupBy("k_lang", "k_source", "feature", "bucket").agg(F.sum("w").alias("w"))
+    group = Window.partitionBy("k_lang", "k_source", "feature")
+    at = mixed.withColumn("upto", F.sum("w").over(group.orderBy("bucket"))).withColumn("total", F.sum("w").over(group))
+    inside = at.filter(100 * F.col("upto") >= LEVEL * F.col("total"))
+    return inside.groupBy("k_lang", "k_source").agg(*[F.min(F.when(F.col("feature") == f, F.col("bucket"))).alias(f"max_{f}") for f in FEATURES])
 
 
 def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
-    """stats plus `kept`: the fences of the finest group with enough rows, joined by language and source."""
-    fences = [f"max_{f}" for f in FENCES]
-    own = limits.filter((F.col("rows") >= MIN_ROWS) & (F.col("k_source") != ALL)).select("k_lang", "k_source", F.struct(*fences).alias("own"))
-    lang = limits.filter((F.col("rows") >= MIN_ROWS) & (F.col("k_source") == ALL) & (F.col("k_lang") != ALL)).select("k_lang", F.struct(*fences).alias("of_lang"))
-    whole = F.broadcast(limits.filter(F.col("k_lang") == ALL).select(F.struct(*fences).alias("of_all")))  # one row
-    got = stats.join(own, ["k_lang", "k_source"], "left").join(lang, ["k_lang"], "left").join(whole, F.lit(True), "left")
-    got = got.withColumn("fence", F.coalesce("own", "of_lang", "of_all"))
+    """stats plus `kept`: at or below the thresholds of its group, joined by language and source.
+
+    limits is a stored table. It is broadcast up to MAX_BROADCAST groups; beyond them the join shuffles, and Spark splits a hot group.
+    """
+    if limits.count() <= MAX_BROADCAST:
+        limits = F.broadcast(limits)
     within = F.lit(True)
-    for f in FENCES:
-        within = within & (F.col(f) <= F.col("fence")[f"max_{f}"])
-    return got.withColumn("kept", ~F.col("__q_failed") & within).drop("own", "of_lang", "of_all", "fence")
+    for f in FEATURES:
+        within = within & (F.col(f) <= F.col(f"max_{f}"))
+    return stats.join(limits, ["k_lang", "k_source"]).withColumn("kept", ~F.col("__q_failed") & within)
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -124,11 +129,11 @@ def _keyed(df: DataFrame) -> DataFrame:
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id with its statistics, the base verdict and the adaptive verdict, one row per input row."""
     stats = materialize(with_statistics(_keyed(pick(docs, "doc_id", "text", "lang", "source"))).drop("text"), "quality")
-    got = judge(stats, thresholds(sketches(stats)))
+    got = judge(stats, materialize(thresholds(sketches(stats)), "limits"))
     return got.select(
         "doc_id", F.col("__q_words").alias("n_words"), F.col("__q_chars").alias("word_chars"), F.col("__q_symbols").alias("n_symbols"),
         F.col("__q_dup_lines").alias("n_dup_lines"), F.col("__q_repeat").alias("n_repeat_words"), F.col("__q_failed").alias("base_failed"), "kept",
-        *FENCES,
+        *FEATURES, *[f"max_{f}" for f in FEATURES],
     )
 
 
@@ -136,14 +141,14 @@ def quality_filter(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The rows that quality_verdicts keeps, with the given columns; row by row, so repeated ids are no problem."""
     # stored once: the statistics serve the fences and the verdict, and the last filter is not pushed into their expressions
     rows = materialize(with_statistics(_keyed(pick(docs, *columns))), "quality")
-    limits = thresholds(sketches(rows.select("k_lang", "k_source", *FENCES)))
+    limits = materialize(thresholds(sketches(rows.select("k_lang", "k_source", *FEATURES))), "limits")
     return judge(rows, limits).filter("kept").select(*columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return quality_verdicts(table(spark, sf_dir, "documents")).drop(*FENCES)
+    return quality_verdicts(table(spark, sf_dir, "documents")).drop(*FEATURES, *[f"max_{f}" for f in FEATURES])
 
 
 def _sql() -> str:
@@ -152,8 +157,8 @@ def _sql() -> str:
 
     features = {"symbol_pm": ratio("n_symbols", "word_chars"), "dup_line_pm": ratio("n_dup_lines", "n_lines"), "repeat_pm": ratio("n_repeat_words", "n_words"), "stutter_pm": ratio("n_stutter", "n_words"), "upper_pm": ratio("n_upper", "word_chars"), "mean_len": ratio("word_chars", "n_words", 10)}
     longs = " union all ".join(f"select k_lang, k_source, '{f}' as feature, {f} as bucket from f" for f in features)
-    fences = ", ".join(f"max(case when feature = '{f}' then q3 + greatest(3 * (q3 - q1), {m}) end) as max_{f}" for f, m in FENCES.items())
-    within = " and ".join(f"f.{f} <= case when o.k_lang is not null then o.max_{f} when l.k_lang is not null then l.max_{f} else a.max_{f} end" for f in FENCES)
+    limits = ", ".join(f"min(case when feature = '{f}' then bucket end) as max_{f}" for f in FEATURES)
+    within = " and ".join(f"f.{f} <= l.max_{f}" for f in FEATURES)
     return f"""
 with t as (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(lang, chr(1) || 'none') as k_lang, coalesce(source, chr(1) || 'none') as k_source from documents),
 w as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t),
@@ -167,14 +172,16 @@ s as (select w.r, doc_id, k_lang, k_source, cast(len(w) as bigint) as n_words, c
  from w left join cov using (r)),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {", ".join(f"{e} as {f}" for f, e in features.items())} from s),
 x as ({longs}),
-y as (select k_lang, k_source, feature, bucket, count(*) as n from x group by all union all select k_lang, chr(1) || 'all', feature, bucket, count(*) from x group by all union all select chr(1) || 'all', chr(1) || 'all', feature, bucket, count(*) from x group by feature, bucket),
-z as (select *, sum(n) over (partition by k_lang, k_source, feature order by bucket) as cum, sum(n) over (partition by k_lang, k_source, feature) as total from y),
-q as (select k_lang, k_source, feature, max(total) as n, min(case when 4 * cum >= total then bucket end) as q1, min(case when 4 * cum >= 3 * total then bucket end) as q3 from z group by all),
-lim as (select k_lang, k_source, max(n) as n, {fences} from q group by all)
+own as (select k_lang, k_source, feature, bucket, count(*) as n from x group by all),
+lang as (select k_lang, feature, bucket, sum(n) as n from own group by all),
+total as (select k_lang, feature, sum(n) as n from lang group by all),
+mix as (select own.k_lang, k_source, feature, bucket, cast(own.n as double) * total.n as w from own join total using (k_lang, feature)
+ union all select g.k_lang, g.k_source, feature, bucket, cast(n as double) * {PRIOR} from (select distinct k_lang, k_source from own) g join lang using (k_lang)),
+y as (select k_lang, k_source, feature, bucket, sum(w) as w from mix group by all),
+z as (select *, sum(w) over (partition by k_lang, k_source, feature order by bucket) as upto, sum(w) over (partition by k_lang, k_source, feature) as total from y),
+lim as (select k_lang, k_source, {limits} from z where 100 * upto >= {LEVEL} * total group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {within} as kept
-from f left join lim o on o.k_lang = f.k_lang and o.k_source = f.k_source and o.n >= {MIN_ROWS}
-left join lim l on l.k_lang = f.k_lang and l.k_source = chr(1) || 'all' and l.n >= {MIN_ROWS}
-join lim a on a.k_lang = chr(1) || 'all'
+from f join lim l using (k_lang, k_source)
 """
 
 
