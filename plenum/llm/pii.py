@@ -1,23 +1,29 @@
 """Personal data: patterns propose spans, checksums confirm them, context moves their score.
 
-Kinds `email`, `ip`, `card` (Luhn) and `phone` are the base; `iban` (mod 97)
-and `ssn` are added. A span is reported when its score reaches `ACCEPT`. Base
-spans that pass their check score at least that much without any context. A
-social-security pattern alone does not: it needs one of its context words in
-the `NEAR` code points before or after it. Spans are in code points, end
-exclusive, leftmost and non-overlapping within a kind; a match that fails its
-check is dropped without another try inside it, but for `iban`: of its 15 to
-34 letters and digits, the longest that ends with a word and passes counts. Redaction replaces the union
-of the spans, so that overlapping kinds are replaced once.
+Kinds `email`, `ip`, `card` (Luhn) and `phone` are the base. `iban` (mod 97),
+`routing` (bank routing numbers, weighted mod 10), `ssn`, `birth` (dates) and
+`secret` (keys and tokens) are added. A span is reported when its score reaches
+`ACCEPT`. Base spans that pass their check score at least that much without any
+context. Words nearby move the score of any span: those that name its kind
+raise it, those that mark samples lower that of added kinds. So an IBAN stands
+on its checksum unless called an example, and the other added kinds need to be
+named. `NEAR` code points before and after a span count, as far as no other
+match of the kind lies there. Spans are in code points, end exclusive, leftmost
+and non-overlapping within a kind; a match that fails its check is dropped
+without another try inside it, but for `iban`: of its 15 to 34 letters and
+digits, the longest that ends with a word and passes counts. Redaction replaces
+the union of the spans, so that overlapping kinds are replaced once.
 
 All work is done with SQL functions. The pieces between matches and the
 matches themselves come from one split and one extraction with the same
-pattern, and their summed lengths are the positions. Patterns are written with
+pattern, and their summed lengths, by blocks, are the positions. Patterns are written with
 possessive repetition and a look at the character before, so that each is
 linear in the length of the text.
 
 Nulls: a null text is empty and has no spans (redaction leaves it null).
-Repeated rows are handled one by one; an empty table gives an empty result.
+Very long texts are searched whole. Repeated rows are handled one by one; an
+empty table gives an empty result. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -34,20 +40,31 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
+    "routing": r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "birth": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9/-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{16,}+=*",
 }
 #: What a text must hold for a kind to be possible at all; cheap to test.
-HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+HINTS = {
+    "email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "routing": r"[0-9]{9}", "ssn": r"[0-9]-[0-9]{2}-[0-9]",
+    "birth": r"[0-9][./-][0-9]{1,2}[./-][0-9]", "secret": r"(?i)token|secret|passw|key|credential|bearer",
+}
 BASE = ("email", "ip", "card", "phone")
-#: Score of a span whose check passed, and what a context word nearby adds.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+ADDED = ("iban", "routing", "ssn", "birth", "secret")
+#: Score of a span whose check passed, and what context words nearby add or take.
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "routing": 0.3, "ssn": 0.3, "birth": 0.2, "secret": 0.3}
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|contact|write)\b", "ip": r"(?i)\b(?:ip|address|host|server)\b", "card": r"(?i)\b(?:card|visa|mastercard|credit|cvv)\b",
-    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax)\b", "iban": r"(?i)\b(?:iban|account|bank)\b", "ssn": r"(?i)\b(?:ssn|social|security)\b",
+    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax)\b", "iban": r"(?i)\b(?:iban|account|bank)\b", "routing": r"(?i)\b(?:routing|aba|rtn|bank)\b", "ssn": r"(?i)\b(?:ssn|social|security)\b",
+    "birth": r"(?i)\b(?:born|birth|birthday|dob|geboren|nacido|nacida|née?)\b", "secret": r"(?i)(?:token|secret|passw(?:or)?d|credential|bearer|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|\bkey)\b",
 }
+SAMPLE = r"(?i)\b(?:example|sample|dummy|fake|placeholder)\b"
 BOOST = 0.3
 ACCEPT = 0.5
 NEAR = 40
+#: Lengths that are summed together.
+BLOCK = 128
 
 
 def _digits(m: Column) -> Column:
@@ -78,18 +95,35 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
         return _mod97(m)
+    if kind == "routing":
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(m, i, F.lit(1)).cast("int") * F.element_at(F.array(F.lit(3), F.lit(7), F.lit(1)), (i - 1) % 3 + 1)), F.lit(0), lambda a, x: a + x) % 10 == 0
+    if kind == "secret":
+        # letters and digits mixed, and not one character over and over
+        return m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 8)
     return F.lit(True)
 
 
-def _located(kind: str) -> Column:
-    """All matches of the kind in __p_t with the code point where each begins; null where the hint is absent."""
-    t = F.col("__p_t")
-    gaps = F.transform(F.split(t, PATTERNS[kind], -1), lambda g: F.length(g))
-    pairs = F.filter(F.arrays_zip(F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
-    start = F.lit(None).cast("struct<at:int,out:array<struct<m:string,b:int>>>")
-    start = F.coalesce(start, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,b:int>>").alias("out")))
-    placed = F.aggregate(pairs, start, lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), (a["at"] + x["g"]).alias("b")))).alias("out")))
-    return F.when(t.rlike(HINTS[kind]), placed["out"])
+def _located(df: DataFrame, kind: str) -> DataFrame:
+    """df plus __p_<kind>: all matches of the kind in __p_t (m), the code point where each begins (b) and the text on both sides (l, r); null where the hint is absent.
+
+    Ends are running sums of the lengths of gaps and matches: over blocks, and
+    inside each block from its offset.
+    """
+    gaps, found, steps, offsets = (f"__p_{kind}_{x}" for x in ("gaps", "found", "steps", "offsets"))
+    add = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    t, possible = F.col("__p_t"), F.col("__p_t").rlike(HINTS[kind])
+    df = df.withColumns({gaps: F.when(possible, F.split(t, PATTERNS[kind], -1)), found: F.when(possible, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)))})
+    df = df.withColumn(steps, F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i))))
+    blocks = F.when(F.size(steps) > 0, F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))).when(F.col(steps).isNotNull(), F.array().cast("array<int>"))
+    sums = F.transform(blocks, lambda j: add(F.slice(steps, j * BLOCK + 1, BLOCK)))
+    df = df.withColumn(offsets, sums).withColumn(offsets, F.transform(offsets, lambda _, j: add(F.slice(offsets, 1, j))))
+    ends = F.flatten(F.transform(offsets, lambda o, j: F.transform(F.slice(steps, j * BLOCK + 1, BLOCK), lambda _, i: o + add(F.slice(steps, j * BLOCK + 1, i + 1)))))
+    df = df.withColumn(steps, ends)
+    placed = F.transform(found, lambda m, i: F.struct(m.alias("m"), (F.get(steps, i) - F.length(m)).alias("b"), F.right(F.get(gaps, i), F.lit(NEAR)).alias("l"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("r")))
+    return df.withColumn(f"__p_{kind}", placed).drop(gaps, found, steps, offsets)
+
+
+MATCHES = "array<struct<m:string,b:int,l:string,r:string>>"
 
 
 def _ibans() -> Column:
@@ -97,25 +131,23 @@ def _ibans() -> Column:
     t = F.col("__p_t")
 
     def whole(x: Column) -> Column:
-        w = t.substr(x["b"] + 1, F.lit(68))  # 34 characters with a space between each two, and the one after
+        w = t.substr(x["b"] + 1, F.lit(68 + NEAR))  # 34 characters with a space between each two, and what follows
         part = lambda k: w.substr(F.lit(1), k)
         ends = F.filter(F.sequence(F.lit(15), F.least(F.length(w), F.lit(67))), lambda k: ~w.substr(k + 1, F.lit(1)).rlike("[A-Za-z0-9]") & part(k).rlike(r"^[A-Z0-9]++(?:\x20[A-Z0-9]++)*+$") & F.length(F.regexp_replace(part(k), " ", "")).between(15, 34) & _mod97(part(k)))
-        return F.struct(part(F.get(ends, F.size(ends) - 1)).alias("m"), x["b"].alias("b"))
+        m = part(F.get(ends, F.size(ends) - 1))
+        return F.struct(m.alias("m"), x["b"].alias("b"), x["l"].alias("l"), w.substr(F.length(m) + 1, F.lit(NEAR)).alias("r"))
 
     found = F.filter(F.transform("__p_iban", whole), lambda x: x["m"].isNotNull())
-    apart = F.aggregate(found, F.array().cast("array<struct<m:string,b:int>>"), lambda a, x: F.when((F.size(a) > 0) & (x["b"] < F.get(a, F.size(a) - 1)["b"] + F.length(F.get(a, F.size(a) - 1)["m"])), a).otherwise(F.concat(a, F.array(x))))
+    apart = F.aggregate(found, F.array().cast(MATCHES), lambda a, x: F.when((F.size(a) > 0) & (x["b"] < F.get(a, F.size(a) - 1)["b"] + F.length(F.get(a, F.size(a) - 1)["m"])), a).otherwise(F.concat(a, F.array(x))))
     return F.when(F.col("__p_iban").isNotNull(), apart)
 
 
 def _scored(kind: str) -> Column:
     """array<struct<kind, b, e, score>> of the valid matches that reach ACCEPT."""
-    t = F.col("__p_t")
-
     def score(x: Column) -> Column:
-        end = x["b"] + F.length(x["m"])
-        before = t.substr(F.greatest(x["b"] - NEAR, F.lit(0)) + 1, F.least(x["b"], F.lit(NEAR)))
-        near = before.rlike(CONTEXT[kind]) | t.substr(end + 1, F.lit(NEAR)).rlike(CONTEXT[kind])
-        return F.struct(F.lit(kind).alias("kind"), x["b"].alias("b"), end.alias("e"), (F.lit(SCORE[kind]) + F.when(near, BOOST).otherwise(0.0)).alias("score"))
+        says = lambda words: F.coalesce(x["l"].rlike(words) | x["r"].rlike(words), F.lit(False))
+        moved = F.lit(SCORE[kind]) + F.when(says(CONTEXT[kind]), BOOST).otherwise(0.0) - (F.when(says(SAMPLE), BOOST).otherwise(0.0) if kind in ADDED else F.lit(0.0))
+        return F.struct(F.lit(kind).alias("kind"), x["b"].alias("b"), (x["b"] + F.length(x["m"])).alias("e"), F.round(moved, 2).alias("score"))
 
     checked = F.transform(F.filter(f"__p_{kind}", lambda x: _valid(kind, x["m"])), score)
     empty = F.array().cast("array<struct<kind:string,b:int,e:int,score:double>>")
@@ -125,7 +157,9 @@ def _scored(kind: str) -> Column:
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus __s_<kind>: the accepted spans of each kind in order of their start."""
     df = docs.withColumn("__p_t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({f"__p_{k}": _located(k) for k in PATTERNS}).withColumn("__p_iban", _ibans())
+    for kind in PATTERNS:
+        df = _located(df, kind)
+    df = df.withColumn("__p_iban", _ibans())
     df = df.withColumns({f"__s_{k}": _scored(k) for k in PATTERNS})
     return df.drop("__p_t", *[f"__p_{k}" for k in PATTERNS])
 
@@ -136,9 +170,10 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts per kind, the digest of the base spans and all spans; one row per input row."""
+    """doc_id, the counts per kind, the digest of the base spans, all spans with their scores and their number; one row per input row."""
     df = with_spans(pick(docs, "doc_id", "text"))
-    return df.select("doc_id", *[F.size(f"__s_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(F.encode(_listed(BASE), "UTF-8"), 256).alias("base_sha256"), _listed(tuple(PATTERNS)).alias("spans"))
+    every = F.concat(*[F.col(f"__s_{k}") for k in PATTERNS])
+    return df.select("doc_id", *[F.size(f"__s_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(F.encode(_listed(BASE), "UTF-8"), 256).alias("base_sha256"), _listed(tuple(PATTERNS)).alias("spans"), F.transform(every, lambda x: x["score"]).alias("scores"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
