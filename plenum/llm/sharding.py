@@ -1,21 +1,24 @@
 """Hierarchical weighted hash tree: region, rack, shard.
 
-Every shard draws an exponential variable from a hash of (doc_id, shard),
-divided by its weight. A rack's draw is the smallest of its shards', a
-region's the smallest of its racks'; the smallest of exponentials is again one
-with the summed weight, so each level chooses among subtrees in proportion to
-their weights. A document descends: region with the smallest draw, rack in it,
-shard in it. A changed weight changes the draws of the subtrees that contain
-it and of no others: rows move only into a subtree that grew or out of one
-that shrank, and an added shard takes rows only into itself.
-
-Law: `key`. The slot is the row's gapless number in its shard by (bucket of the
-id, id, then content); numbering runs per (shard, bucket), and the buckets'
-offsets come from their counts, so no task holds a shard.
+A document descends the tree. At each node every child draws an exponential
+variable from a hash of (doc_id, child), divided by the child's weight, which
+is the sum of those below it; the smallest draw wins, so children are chosen in
+proportion to their weights. Only the children of the chosen node are hashed: a
+draw for each region, then for each rack of one region, then for each shard of
+one rack. A changed weight changes the draws of the subtrees that contain it
+and of no others: rows move only into subtrees that grew and out of those that
+shrank. `grown` adds a shard as a region of its own, the one subtree whose
+weight changes, so that the new shard takes rows only into itself.
+
+Law: `key`. Stored rows have numbers; the slot is the row's gapless number in
+its shard by (bucket of the number, number); numbering runs per (shard,
+bucket), and the buckets' offsets come from their counts, so no task holds a
+shard, not even if all rows have one id.
 
 Nulls: a null doc_id hashes as the word "null"; a null text has size 1 and the
 CRC of no bytes. Equal rows get different slots and, as the key decides, the
-same shard. An empty table gives an empty result.
+same shard. Very long texts are measured whole. An empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ Tree = dict[str, dict[str, dict[int, float]]]
 
 
 def even_tree(n_shards: int, racks: int = 2, per_rack: int = 4) -> Tree:
-    """Shards 0..n-1 of weight 1 filled rack by rack; growing n only appends."""
+    """Shards 0..n-1 of weight 1 filled rack by rack."""
     tree: Tree = {}
     for s in range(n_shards):
         rack = s // per_rack
@@ -39,46 +42,64 @@ def even_tree(n_shards: int, racks: int = 2, per_rack: int = 4) -> Tree:
     return tree
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
+def grown(tree: Tree) -> Tree:
+    """The tree with one more shard of weight 1, in a region of its own."""
+    shards = [s for racks in tree.values() for rack in racks.values() for s in rack]
+    return tree | {f"region{len(tree)}": {f"rack{sum(map(len, tree.values()))}": {max(shards, default=-1) + 1: 1.0}}}
+
+
+def _draw(key: Column, name: str, weight: float) -> Column:
     """-ln(u) / weight, u in (0, 1) from 52 bits of the hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(f"shard/{shard}"), key), 12)
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 12)
     return -F.log((bits.cast("double") + 0.5) / float(1 << 52)) / weight
 
 
-def descend(key: Column, tree: Tree) -> Column:
-    """Column (region, rack, shard) that the key reaches."""
-    def smallest(options: list[Column]) -> Column:
-        return options[0] if len(options) == 1 else F.least(*options)
+def _choose(key: Column, weights: dict) -> Column:
+    """The name of the child with the smallest draw; children without weight take nothing."""
+    draws = [F.struct(_draw(key, str(n), w).alias("d"), F.lit(n).alias("n")) for n, w in weights.items() if w > 0]
+    return (F.least(*draws) if len(draws) > 1 else draws[0])["n"]
+
 
-    def leaf(region: str, rack: str) -> Column:
-        return smallest([F.struct(_draw(key, s, w).alias("d"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(s).alias("shard")) for s, w in tree[region][rack].items() if w > 0])
+def descend(rows: DataFrame, key: Column, tree: Tree) -> DataFrame:
+    """rows plus region, rack and shard that the key reaches, level by level."""
+    weight = {r: {k: sum(s.values()) for k, s in racks.items()} for r, racks in tree.items()}
+    live = {r: racks for r, racks in weight.items() if sum(racks.values()) > 0}
 
-    def region_best(region: str) -> Column:
-        return smallest([leaf(region, rack) for rack in tree[region] if any(w > 0 for w in tree[region][rack].values())])
+    def among(column: str, options: dict[str, Column]) -> Column:
+        out = None
+        for name, choice in options.items():
+            here = F.col(column) == name
+            out = F.when(here, choice) if out is None else out.when(here, choice)
+        return out
 
-    best = smallest([region_best(r) for r in tree if any(w > 0 for k in tree[r].values() for w in k.values())])
-    return best
+    rows = rows.withColumn("region", _choose(key, {r: sum(racks.values()) for r, racks in live.items()}))
+    rows = rows.withColumn("rack", among("region", {r: _choose(key, racks) for r, racks in live.items()}))
+    return rows.withColumn("shard", among("rack", {k: _choose(key, tree[r][k]) for r, racks in live.items() for k, w in racks.items() if w > 0}))
 
 
-def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, region, rack, shard, slot and, with a grown tree, grown_shard."""
+def assign(docs: DataFrame, tree: Tree, other: Tree | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, region, rack, shard, slot and, with a second tree, the shard there as grown_shard. Names of nodes are unique in a tree."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = rows.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), descend(key, tree).alias("at"), (descend(key, grown)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"))
-    rows = rows.select("doc_id", "size", "text_crc32", F.col("at.region").alias("region"), F.col("at.rack").alias("rack"), F.col("at.shard").alias("shard"), "grown_shard")
-    rows = materialize(rows, "shards")
+    rows = rows.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    if other:
+        rows = descend(rows, key, other).drop("region", "rack").withColumnRenamed("shard", "grown_shard")
+    else:
+        rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    rows = materialize(descend(rows, key, tree).withColumn("row", F.monotonically_increasing_id()), "shards")
     buckets = max(8, shuffle_width(spark))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("shard").orderBy("bucket")
     offsets = counts.select("shard", "bucket", (F.sum("n").over(w) - F.col("n")).alias("base"))
-    own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
+    own = Window.partitionBy("shard", "bucket").orderBy("row")
     placed = rows.withColumn("place", F.row_number().over(own) - 1).join(offsets, ["shard", "bucket"])
     return placed.select("doc_id", "size", "text_crc32", "region", "rack", "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"), "grown_shard")
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    got = assign(table(spark, sf_dir, "documents"), even_tree(16), even_tree(17))
+    tree = even_tree(16)
+    got = assign(table(spark, sf_dir, "documents"), tree, grown(tree))
     return got.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
