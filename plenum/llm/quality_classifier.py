@@ -14,7 +14,9 @@ Labels are read only for rows whose crc32(doc_id) mod 3 is 0 (the ridge) or 2
 Nulls: a null text is empty and is scored as such; a null doc_id counts as an
 empty id for the remainder and carries no label; null labels are not used, nor
 are ids with contradicting labels. Without training rows every score is 0.5.
-Repeated rows are scored each. An empty table gives an empty result.
+Repeated rows are scored each; equal texts have equal scores. Very long texts
+are counted whole. An empty table gives an empty result. Other columns of
+either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +69,12 @@ def statistics(text: str) -> list[float]:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, fold (crc32 of the id mod 3) and x, the statistics."""
     def compute(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fold": pdf["fold"], "x": [statistics(t or "") for t in pdf["text"]]})
+        for batch in batches:
+            x = [statistics(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "fold", "x"])
 
     rows = pick(docs, "doc_id", "text").withColumn("fold", F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(3)).cast("int"))
-    return rows.mapInPandas(compute, "doc_id long, fold int, x array<double>")
+    return rows.mapInArrow(compute, "doc_id long, fold int, x array<double>")
 
 
 class Kernel:
@@ -82,8 +86,8 @@ class Kernel:
         self.w = rng.standard_normal((len(mean), FEATURES)) / WIDTH
         self.b = rng.uniform(0, 2 * np.pi, FEATURES)
 
-    def __call__(self, x: pd.Series) -> np.ndarray:
-        z = np.clip((np.array(x.tolist(), np.float64) - self.mean) / self.sd, -8, 8)
+    def __call__(self, x: list[list[float]]) -> np.ndarray:
+        z = np.clip((np.array(x, np.float64).reshape(-1, len(self.mean)) - self.mean) / self.sd, -8, 8)
         out = np.ones((len(z), FEATURES + 1))
         out[:, :FEATURES] = np.sqrt(2 / FEATURES) * np.cos(z @ self.w + self.b)
         return out
@@ -112,7 +116,7 @@ def fit_ridge(rows: DataFrame) -> tuple[Kernel, np.ndarray] | None:
         total = np.zeros((FEATURES + 1, FEATURES + 2))
         seen = False
         for pdf in batches:
-            z = kernel(pdf["x"])
+            z = kernel(pdf["x"].tolist())
             total[:, :-1] += z.T @ z
             total[:, -1] += z.T @ pdf["y"].to_numpy(np.float64)
             seen = True
@@ -140,12 +144,12 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.select("doc_id", (F.col("fold") == 1).alias("held_out"), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     kernel, weights = fitted
 
-    def bin_of(x: pd.Series) -> np.ndarray:
+    def bin_of(x: list[list[float]]) -> np.ndarray:
         return np.clip(np.floor((kernel(x) @ weights + 0.5) * BINS / 2), 0, BINS - 1).astype(np.int64)
 
     def binned(batches):
         for pdf in batches:
-            yield pd.DataFrame({"bin": bin_of(pdf["x"]), "y": pdf["y"]})
+            yield pd.DataFrame({"bin": bin_of(pdf["x"].tolist()), "y": pdf["y"]})
 
     counts = train.filter("fold = 2").select("x", "y").mapInPandas(binned, "bin long, y int").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).collect()  # BINS rows at most
     counts = sorted(counts, key=lambda r: r["bin"])
@@ -157,13 +161,13 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         at, level = np.array([0.0, BINS - 1.0]), np.array([0.0, 1.0])
 
     def score(batches):
-        for pdf in batches:
-            raw = np.clip((kernel(pdf["x"]) @ weights + 0.5) / 2, 0, 1)
+        for batch in batches:
+            raw = np.clip((kernel(batch.column("x").to_pylist()) @ weights + 0.5) / 2, 0, 1)
             # a trace of the raw score keeps the order inside a pooled block
             s = np.round(0.999 * np.interp(raw * BINS - 0.5, at, level) + 0.001 * raw, 6)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["fold"] == 1, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(batch.column("fold").to_numpy() == 1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
