@@ -15,12 +15,16 @@ unless the range begins there, and then it fails the header check.
 Nulls: a null payload is empty; a null page_id is written as an empty id and
 read back as null; a null url is written without a target. Equal payloads of
 `MIN_REVISIT` bytes or more become revisits of the one with the smallest id;
-repeated ids with equal payload give a response each. An empty table gives no
-archive and an empty result.
+repeated ids with equal payload give a response each, and every record has an
+id of its own. Payloads of any length are written and read whole. Records of
+other writers are read with the fields that they have. An empty table gives no
+archive and an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -58,7 +62,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     revisit = refers_to is not None
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}/{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
@@ -124,17 +128,26 @@ def _inflate(source, at: int, want_all: bool) -> tuple[bytes, int] | None:
 
 
 def parse(data: bytes) -> dict:
+    """The fields of a record; of records that this writer has not made, those that they have."""
     head, _, body = data.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
         fields[k.strip().lower()] = v.strip()
-    body = body[: int(fields["content-length"])]
-    ident = lambda k: (lambda s: int(s) if s else None)(fields[k].removeprefix("<urn:page:").removesuffix(">")) if k in fields else None
+    length = fields.get("content-length", "")
+    body = body[: int(length)] if length.isdigit() else body
+
+    def ident(name: str) -> int | None:
+        found = re.fullmatch(r"<urn:page:(-?[0-9]+)(?:/[0-9a-f-]+)?>", fields.get(name, ""))
+        return int(found[1]) if found else None
+
+    kind = fields.get("warc-type")
+    payload = (body.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else body) if kind == "response" else None
+    algorithm, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
+    size = fields.get("x-payload-length", "")
     return {
-        "page_id": ident("warc-record-id"), "record_type": fields["warc-type"], "refers_to": ident("warc-refers-to"),
-        "payload_digest": fields["warc-payload-digest"].removeprefix("sha256:"), "payload_bytes": int(fields["x-payload-length"]),
-        "target": fields.get("warc-target-uri"), "payload": body.partition(b"\r\n\r\n")[2] if fields["warc-type"] == "response" else None,
+        "page_id": ident("warc-record-id"), "record_type": kind, "refers_to": ident("warc-refers-to"), "payload_digest": digest if algorithm.lower() in ("", "sha256") and digest else None,
+        "payload_bytes": int(size) if size.isdigit() else None if payload is None else len(payload), "target": fields.get("warc-target-uri"), "payload": payload,
     }
 
 
