@@ -135,14 +135,35 @@ def test_quality_base(odd, none):
     assert quality_rules.quality_verdicts(none).count() == 0
 
 
-def test_quality_fences_follow_the_groups(spark):
-    """A source that is full of symbols keeps its usual ones; elsewhere the same document goes."""
-    rows = [(i, prose(i, 50) + (" ### $$$" * 8 if i % 2 else ""), "en", "code" if i % 2 else "web", 0) for i in range(2 * quality_rules.MIN_ROWS)]
-    rows.append((9999, prose(5, 50) + " ### $$$" * 8, "en", "web", 0))
+def mixed_quantile(own, lang):
+    """The LEVEL percent quantile of own values and of the language's, these weighing PRIOR rows in all."""
+    top, at = sorted(set(own) | set(lang)), 0
+    for v in top:
+        at = sum(x <= v for x in own) * len(lang) + quality_rules.PRIOR * sum(x <= v for x in lang)
+        if 100 * at >= quality_rules.LEVEL * len(lang) * (len(own) + quality_rules.PRIOR):
+            return v
+    return None
+
+
+def test_quality_thresholds_follow_the_groups(spark):
+    """Sources of different size and habit: every threshold is the mixed quantile of its group, and kept follows."""
+    rows = []
+    for source, n, every in (("code", 300, 1), ("web", 300, 40), ("tiny", 3, 1), (None, 2, 2)):
+        for k in range(n):
+            rows.append((len(rows), prose(len(rows), 50) + (" ### $$$" * (1 + k % 7) if k % every == 0 else "") + ("\nsame line\nsame line" if k % 50 == 3 else ""), "en" if k % 3 else "de", source, 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(docs).collect()}
-    assert not kept.pop(9999) and all(kept.values())
-    assert quality_rules.quality_filter(docs, ("doc_id", "text", "lang", "source", "n_chars")).count() == len(rows) - 1
+    got = [r.asDict() | {"key": (rows[r["doc_id"]][2], rows[r["doc_id"]][3])} for r in quality_rules.quality_verdicts(docs).collect()]
+    limits = {}
+    for r in got:
+        inside = True
+        for f in quality_rules.FEATURES:
+            if (r["key"], f) not in limits:
+                limits[r["key"], f] = mixed_quantile([x[f] for x in got if x["key"] == r["key"]], [x[f] for x in got if x["key"][0] == r["key"][0]])
+            assert r[f"max_{f}"] == limits[r["key"], f]
+            inside &= r[f] <= r[f"max_{f}"]
+        assert r["kept"] == (not r["base_failed"] and inside)
+    assert len({limits[k, f] for k, f in limits if f == "symbol_pm"}) > 2
+    assert quality_rules.quality_filter(docs, ("doc_id", "text", "lang", "source", "n_chars")).count() == sum(r["kept"] for r in got) < len(rows)
 
 
 def cosine_links(rows):
@@ -333,21 +354,31 @@ def test_isotonic():
 
 
 def test_sharding(spark, odd, none):
-    rows = sharding.assign(odd, sharding.even_tree(16), sharding.even_tree(17)).collect()
-    assert len(rows) == len(texts())
+    tree = sharding.even_tree(16)
+    rows = sharding.assign(odd, tree, sharding.grown(tree)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
     for s in range(16):
         slots = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert slots == list(range(len(slots)))
     many = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    got = sharding.assign(many, sharding.even_tree(16), sharding.even_tree(17)).collect()
+    got = sharding.assign(many, tree, sharding.grown(tree)).collect()
     assert all(r["grown_shard"] in (r["shard"], 16) for r in got)
     moved = sum(r["grown_shard"] == 16 for r in got)
     assert abs(moved - 20000 / 17) < 150 and max(Counter(r["shard"] for r in got).values()) < 1.15 * 1250
+    for r in got:
+        assert r["region"] == f"region{r['shard'] // 8}" and r["rack"] == f"rack{r['shard'] // 4}"
+    one_id = sharding.assign(many.withColumn("doc_id", F.lit(None).cast("long")), tree).collect()
+    assert len({r["shard"] for r in one_id}) == 1 and sorted(r["slot"] for r in one_id) == list(range(20000))
+    # a heavier shard moves rows into its region, its rack and itself, and none between others
     heavier = sharding.even_tree(16)
     heavier["region0"]["rack1"][5] = 3.0
-    changed = many.select(sharding.descend(F.col("doc_id").cast("string"), sharding.even_tree(16)).alias("a"), sharding.descend(F.col("doc_id").cast("string"), heavier).alias("b")).filter("a.shard <> b.shard").select("b.shard").distinct().collect()
-    assert [r["shard"] for r in changed] == [5]
-    assert sharding.assign(none, sharding.even_tree(16)).count() == 0
+    key = F.col("doc_id").cast("string")
+    a, b = (sharding.descend(many.select("doc_id"), key, t).toDF("doc_id", *[f"{c}_{n}" for c in ("region", "rack", "shard")]) for t, n in ((tree, "a"), (heavier, "b")))
+    changed = a.join(b, "doc_id").filter("shard_a <> shard_b").collect()
+    assert changed and all(r["region_b"] == "region0" for r in changed)
+    assert all(r["rack_b"] == "rack1" for r in changed if r["region_a"] == "region0") and all(r["shard_b"] == 5 for r in changed if r["rack_a"] == "rack1")
+    assert sharding.assign(none, tree).count() == 0
 
 
 def shingle_set(t):
@@ -391,6 +422,44 @@ def test_near_documents(spark, odd, none, monkeypatch, leaf):
     assert minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_context_moves_scores(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'x token = "{token}" y'), (2, f"commit {token} of today"), (3, "IBAN DE89 3704 0044 0532 0130 00"), (4, "for example DE89 3704 0044 0532 0130 00"), (5, "routing 021000021 ok"), (6, "number 021000021 ok"), (7, "routing 021000022 no"), (8, "born 1980-02-03 in"), (9, "on 1980-02-03 in"), (10, "mail a@b.cd as an example")]
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (f"secret:11:{11 + 40}", [0.6]) and got[2] == ("", []) and got[3] == ("iban:5:32", [1.0]) and got[4] == ("", [])
+    assert got[5] == ("routing:8:17", [0.6]) and got[6] == got[7] == ("", []) and got[8][0] == "birth:5:15" and got[9] == ("", []) and got[10][0] == "email:5:11"
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than a block of running sums, with positions beyond the first plane."""
+    text = " ".join(f"𝄞u{i}@h.de" for i in range(1000))
+    want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    r = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert r["spans"] == ",".join(f"email:{a}:{b}" for a, b in want) and r["n_email"] == r["n_spans"] == 1000
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None]
+    df = spark.createDataFrame([(i, f"some words here {k}", 1) for k, i in enumerate(ids)], "doc_id long, text string, quality int").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack_documents(df).collect()} == {r["doc_id"] for r in piece_sampling.sample_segmentations(df).collect()} == {r["doc_id"] for r in quality_classifier.score_quality(df, df.select("doc_id", "quality")).collect()} == set(ids)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies around the threshold over many blocks: the components are those of brute force."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "LEAF", 8)
+    rng = np.random.default_rng(8)
+    base, rows = prose(1, 130).split(), []
+    for i in range(150):
+        words = list(base)
+        for k in rng.choice(130, int(rng.integers(0, 9)), replace=False):
+            words[k] = f"w{int(rng.integers(0, 1 << 30))}"
+        rows.append((i, " ".join(words)))
+    want = near_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, _, c in want} and 3 < len(set(got.values())) < 100
+
+
 def test_ibans_before_upper_case_words(spark):
     one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
     rows = [f"{one} BIC COBADEFF", f"{one} {two} {one} X", f"AB12 {two} 7", f"{one}1 A", f"NO93 8601 1117 947 {one}x", "DE89370400440532013000 TO GB82WEST12345698765432"]
