@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm.common import DOCUMENT_COLUMNS, materialize, table
+from plenum.llm.common import DOCUMENT_COLUMNS, delete, materialize, recorded, table
 from plenum.llm.minhash_dedup import keep_one
 from plenum.llm.packing import pack_documents
 from plenum.llm.pii import redact
@@ -14,32 +15,55 @@ from plenum.llm.quality_rules import quality_filter
 from plenum.llm.suffix_dedup import without_repeats
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch folders of the last stage that ran.
+_spent: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """f, which first deletes the scratch of the stage before: its result is stored by now, and docs is that result."""
+    @functools.wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _spent else []
+        delete(spark, *[p for p in _spent if not any(p.rpartition("/")[2] in x for x in files)])
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _spent[:] = paths
+        return out
+
+    return call
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the base rules and the fences of their language and source."""
+    """Documents inside the base rules and the thresholds of their language and source."""
     return quality_filter(docs, DOCUMENT_COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return keep_one(docs, DOCUMENT_COLUMNS)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that a smaller id also holds."""
     return without_repeats(docs, DOCUMENT_COLUMNS)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind."""
     return redact(docs, DOCUMENT_COLUMNS)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in the sequences."""
     return pack_documents(docs)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("personal_data", personal_data), ("packing", packing)]
 
 #: Tokenizing and the interleave refinement have no SQL form; tests compare with a brute-force version.
