@@ -52,12 +52,12 @@ def motion_class(title: Column) -> Column:
 
 
 def spelled_date(text: Column) -> Column:
-    """ISO prefix, `d Month yyyy` and d/m/yyyy as ISO text; blank as ''; anything else unchanged."""
+    """An ISO, `d Month yyyy` or d/m/yyyy beginning as ISO text; blank as ''; anything else unchanged."""
     t = F.trim(text)
     iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1)
-    words = r"^(\d{1,2})[\s-]+([^\W\d]+)[\s-]+(\d{4})$"
+    words = r"^(\d{1,2})[\s-]+([^\W\d]+)[\s-]+(\d{4})"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name_key(F.regexp_extract(t, words, 2)))
-    slash = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+    slash = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
     def iso_of(y: Column, m: Column, d: Column) -> Column:
         return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
     return (
@@ -79,7 +79,7 @@ def option_of_deputy(text: Column) -> Column:
 
 
 def option_of_senator(text: Column) -> Column:
-    k = F.upper(text)
+    k = F.upper(F.translate(F.regexp_replace(text, r"(?i)&([aeiou])acute;", "$1"), MARKED, PLAIN))
     return F.when(k.contains("PRO") & ~k.contains("ABSTEN"), "a_favor").when(k.contains("CONTRA"), "en_contra").when(k.contains("ABSTEN"), "abstencion").when(k.contains("AUSENTE"), "ausente").otherwise("abstencion")
 
 
@@ -109,3 +109,105 @@ def percent(part: Column, total: Column, digits: int = 2) -> Column:
 
 def percent_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "%", "")).try_cast("double")
+
+
+TITLE = r"(?i)^(?:Dip\.\s*|Sen\.\s*|Senadora\s+|Diputada\s+|Diputado\s+)"
+PARTICLES = ("de", "del", "la", "las", "los", "el", "van", "von", "di", "da")
+TERMS = ("LX", "LXI", "LXII", "LXIII", "LXIV", "LXV", "LXVI")
+
+
+def plain_name(name: Column) -> Column:
+    """The name as written, without title, leave or death notes, commas and points."""
+    n = F.regexp_replace(F.regexp_replace(F.trim(name), TITLE, ""), r"(?i)\s*\((?:LICENCIA|DECESO)\)\s*", "")
+    return F.trim(F.regexp_replace(F.translate(n, ",.", "  "), r"\s+", " "))
+
+
+def third_token(name: Column) -> Column:
+    """The token after two surnames, leading particles skipped; null for names with a comma, shorter ones, and particles."""
+    n = F.regexp_replace(F.regexp_replace(F.trim(name), TITLE, ""), r"(?i)\s*\((?:LICENCIA|DECESO)\)\s*", "")
+    tokens = F.filter(F.split(n, r"\s+"), lambda t: t != "")
+    skipped = F.array_position(F.transform(tokens, lambda t: F.lower(t).isin(*PARTICLES)), False) - 1
+    got = F.btrim(F.get(tokens, skipped + 2), F.lit(".,"))
+    return F.when(n.contains(",") | (skipped < 0) | F.lower(got).isin(*PARTICLES), F.lit(None)).otherwise(got)
+
+
+def clean_senator_name(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(name, r"(?i)^Sen\.\s*", "")), r"\s*,\s*", ", "), r"\s{2,}", " "))
+
+
+def _month_number(name: Column) -> Column:
+    return F.lpad(F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)), F.lit(0).cast("long")).cast("string"), 2, "0")
+
+
+def natural_date(text: Column) -> Column:
+    """`d de Month de yyyy` anywhere in the text as ISO text, an unknown month as 01; else ''."""
+    p = r"(?i)(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})"
+    part = lambda k: F.regexp_extract(text, p, k)
+    return F.when(text.rlike(p), F.concat_ws("-", part(3), F.coalesce(_month_number(part(2)), F.lit("01")), F.lpad(part(1), 2, "0"))).otherwise("")
+
+
+def profile_date(text: Column) -> Column:
+    """`d-month - yyyy` as ISO text; null if it is none."""
+    p = r"^(\d{1,2})\s*-\s*(\w+)\s*[- ]+\s*(\d{4})"
+    part = lambda k: F.regexp_extract(F.trim(text), p, k)
+    month = _month_number(part(2))
+    return F.when(F.trim(text).rlike(p) & month.isNotNull(), F.concat_ws("-", part(3), month, F.lpad(part(1), 2, "0")))
+
+
+def stamp_date(text: Column) -> Column:
+    """The date of `+yyyy-mm-ddT...`; null if it is none."""
+    day = F.get(F.split(F.regexp_replace(text, r"^\++", ""), "T"), F.lit(0))
+    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
+
+
+def term_in_text(text: Column) -> Column:
+    return F.upper(F.regexp_extract(text, r"(?i)\b([LXVI]+)\s+LEGISLATURA\b", 1))
+
+
+def session_year(text: Column) -> Column:
+    t = F.upper(text)
+    return F.when(t.contains("PRIMER"), 1).when(t.contains("SEGUNDO"), 2).when(t.contains("TERCER"), 3).otherwise(0)
+
+
+def session_period(text: Column) -> Column:
+    """The period named by ordinal and kind; else any `word PERIODO words` without AÑO; else ''."""
+    named = F.upper(F.regexp_extract(text, r"(?i)((?:PRIMER|SEGUNDO|TERCER|CUARTO|QUINTO)\s+PERIODO\s+(?:ORDINARIO|EXTRAORDINARIO|PERMANENTE))", 1))
+    loose = F.upper(F.regexp_extract(text, r"(?iU)(\w+\s+PERIODO\s+\w+(?:\s+\w+)?)", 1))
+    return F.when(named != "", named).when(~loose.contains("AÑO"), loose).otherwise("")
+
+
+def term_ordinal(term: Column, unknown: int = 0) -> Column:
+    k = F.array_position(F.array(*[F.lit(t) for t in TERMS]), term)
+    return F.when(k > 0, k + 59).otherwise(unknown).cast("int")
+
+
+def gender_of_name(name: Column, female: list[str]) -> Column:
+    """F if a token is in the list of female names, else null."""
+    return F.when(F.arrays_overlap(F.split(F.lower(F.trim(name)), r"\s+"), F.array(*[F.lit(x) for x in female])), "F")
+
+
+def gender_of_label(label: Column) -> Column:
+    k = F.lower(F.trim(label))
+    return F.when(k.isin("masculino", "male", "hombre"), "M").when(k.isin("femenino", "female", "mujer"), "F").when(k == "intersex", "NB")
+
+
+def seat_of_principle(text: Column) -> Column:
+    """Seat type of an election principle, also where letters with marks were lost."""
+    k = F.lower(F.trim(text))
+    return F.when(k.contains("mayor") & k.contains("relativa"), "mayoria_relativa").when(k.contains("representaci") & k.contains("proporcional"), "plurinominal").when(k.contains("primera minor"), "mayoria_relativa")
+
+
+def label_flags(label: Column) -> tuple[Column, Column, Column]:
+    """Whether a label names the national list, a state, a substitute."""
+    k = F.coalesce(F.lower(label), F.lit(""))
+    listed = k.contains("lista nacional")
+    return listed, ~listed & F.coalesce(label, F.lit("")).rlike(r"por\s+[A-ZÁÉÍÓÚÑa-záéíóúñÃ]"), ~listed & k.contains("suplente")
+
+
+def with_identifier(identifiers: Column, scheme: str, value: Column) -> Column:
+    """JSON object of identifiers with one more; a list of {scheme, identifier} becomes an object, malformed text an empty one."""
+    listed = F.from_json(identifiers, "array<struct<scheme:string,identifier:string>>")
+    mapped = F.from_json(identifiers, "map<string,string>")
+    of_list = F.map_from_entries(F.transform(F.filter(listed, lambda x: x["scheme"].isNotNull()), lambda x: F.struct(x["scheme"], F.coalesce(x["identifier"], F.lit("")))))
+    known = F.coalesce(F.when(F.trim(identifiers).startswith("["), of_list).when(F.trim(identifiers).startswith("{"), mapped), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(known, lambda k, _: k != scheme), F.create_map(F.lit(scheme), value.cast("string"))))

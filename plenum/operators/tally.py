@@ -53,14 +53,22 @@ def empirical_power(votes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def running_power(votes: DataFrame) -> DataFrame:
-    """(grp, seq, vote_event_id, running) per month-free sequence: share of events so far in which the party was pivotal.
+    """(grp, seq, vote_event_id, running): for every party and event in order of date, the share of all events so far in which the party was pivotal.
 
-    Sequences run within a party and chamber-wide date order; a party has one row per event of its own.
+    Counts run within a month and go on from the months before, so that no task
+    orders all events.
     """
-    when = votes.groupBy("vote_event_id").agg(F.min("start_date").alias("start_date"))
-    c = critical_parties(votes).join(when, "vote_event_id")
-    w = Window.partitionBy("grp").orderBy("start_date", "vote_event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("grp", "vote_event_id", F.row_number().over(Window.partitionBy("grp").orderBy("start_date", "vote_event_id")).cast("long").alias("seq"), F.round(F.avg(F.col("critical").cast("double")).over(w), 6).alias("running"))
+    events = votes.groupBy("vote_event_id").agg(F.min("start_date").alias("start_date")).withColumn("month", F.date_trunc("month", "start_date"))
+    parties = F.broadcast(votes.select("grp").distinct())  # the list of parties
+    hits = critical_parties(votes).select("vote_event_id", "grp", F.col("critical").cast("long").alias("hit"))
+    grid = events.crossJoin(parties).join(hits, ["vote_event_id", "grp"], "left").na.fill(0, ["hit"])
+    by_month = Window.partitionBy("grp").orderBy("month")
+    months = grid.groupBy("grp", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
+    before = months.select("grp", "month", (F.sum("n").over(by_month) - F.col("n")).alias("n0"), (F.sum("h").over(by_month) - F.col("h")).alias("h0"))
+    inside = Window.partitionBy("grp", "month").orderBy("start_date", "vote_event_id")
+    upto = grid.select("grp", "month", "vote_event_id", F.row_number().over(inside).alias("i"), F.sum("hit").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("c")).join(before, ["grp", "month"])
+    seq = F.col("n0") + F.col("i")
+    return upto.select("grp", "vote_event_id", seq.cast("long").alias("seq"), F.round((F.col("h0") + F.col("c")) / seq, 6).alias("running"))
 
 
 def vote_detail(votes: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None, view: bool = True):
     """Register a query; sql goes on from the roll-call view (after a comma if it begins with #), or stands alone."""
+    if sql == "":
+        raise ValueError(f"{name}: give SQL or leave it out")
+
     def add(f):
         QUERIES[name] = f
         if sql:

@@ -92,7 +92,7 @@ query("party_position", TALLY + " select * from pos")(lambda s, d: ta.positions(
 query("critical_parties", TALLY + " select * from crit")(lambda s, d: ta.critical_parties(votes(s, d)))
 query("empirical_power", TALLY + " select grp, count(*) filter (critical) as n_critical, n_events, round(100.0*count(*) filter (critical)/n_events,4) as power from crit, (select count(distinct vote_event_id) as n_events from crit) group by grp, n_events")(lambda s, d: ta.empirical_power(votes(s, d)))
 query("empirical_power_by_term", TALLY + ", k as (select distinct vote_event_id, leg from votes), c as (select * from crit join k using (vote_event_id)), e as (select leg, count(distinct vote_event_id) as n_events from c group by 1) select c.leg, grp, count(*) filter (critical) as n_critical, n_events, round(100.0*count(*) filter (critical)/n_events,4) as power from c join e using (leg) group by c.leg, grp, n_events")(lambda s, d: ta.empirical_power(votes(s, d), ("leg",)))
-query("running_power", TALLY + ", w as (select vote_event_id, min(start_date) as sd from votes group by 1) select grp, vote_event_id, row_number() over (partition by grp order by sd, vote_event_id) as seq, round(avg(case when critical then 1.0 else 0 end) over (partition by grp order by sd, vote_event_id rows unbounded preceding),6) as running from crit join w using (vote_event_id)")(lambda s, d: ta.running_power(votes(s, d)))
+query("running_power", TALLY + ", w as (select vote_event_id, min(start_date) as sd from votes group by 1), g as (select p.grp, w.vote_event_id, sd, case when critical then 1.0 else 0 end as hit from (select distinct grp from votes) p cross join w left join crit c on c.vote_event_id=w.vote_event_id and c.grp=p.grp) select grp, vote_event_id, row_number() over (partition by grp order by sd, vote_event_id) as seq, round(avg(hit) over (partition by grp order by sd, vote_event_id rows unbounded preceding),6) as running from g")(lambda s, d: ta.running_power(votes(s, d)))
 DETAIL = TALLY + ", cl as (select vote_event_id, array_to_string(list_sort(list(cast(grp as varchar))),'|') as critical_parties, count(*) as critical_count from crit where critical group by 1), det as (select be.*, coalesce(critical_parties,'') as critical_parties, coalesce(critical_count,0) as critical_count from be left join cl using (vote_event_id))"
 query("vote_detail", DETAIL + " select * from det")(lambda s, d: ta.vote_detail(votes(s, d)))
 query("qualified_criticals", DETAIL + " select grp, count(*) as n from (select unnest(string_split(critical_parties,'|')) as grp from det where requirement='mayoria_calificada' and critical_parties<>'') group by 1")(lambda s, d: ta.listed_criticals(ta.vote_detail(votes(s, d))))
@@ -151,4 +151,4 @@ def _power_by_term(s, d):
 query("power_by_term")(_power_by_term)
 
 
-from . import catalog_graph, catalog_people, catalog_quality, catalog_text  # noqa: E402, F401
+from . import catalog_graph, catalog_pages, catalog_people, catalog_quality, catalog_repair, catalog_rules, catalog_text  # noqa: E402, F401

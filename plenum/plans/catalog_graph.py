@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -37,10 +36,6 @@ def betweenness(s, d):
     return gr.ranked(gr.betweenness(_agreement(s, d)), "betweenness", 20)
 
 
-query("components", """with recursive e as (select s_suppkey as a, s_nationkey + 1000000 as b from supplier where s_suppkey%3=0), f as (select a, b from e union select b, a from e),
- r(o, n) as (select a, b from f union select r.o, f.b from r join f on f.a=r.n)
- select o as node, least(o, min(n)) as component from r group by 1""", view=False)(lambda s, d: gr.components(table(s, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("long").alias("a"), (F.col("s_nationkey") + 1000000).cast("long").alias("b"))))
-query("largest_component", "with g as (select s_nationkey, count(*) as n, min(s_suppkey) as m from supplier where s_suppkey%3=0 group by 1), t as (select s_nationkey from g order by n desc, m limit 1) select s_suppkey as node from supplier where s_suppkey%3=0 and s_nationkey in (select * from t) union all select s_nationkey+1000000 from t", view=False)(lambda s, d: gr.largest_component(table(s, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("long").alias("a"), (F.col("s_nationkey") + 1000000).cast("long").alias("b"))))
 
 
 def _located(s, d):
@@ -48,8 +43,8 @@ def _located(s, d):
 
 
 # a nation and its suppliers are a component, as no supplier has two
-query("components_whole", "with g as (select s_nationkey, min(s_suppkey) as m from supplier group by 1) select s_suppkey as node, least(m, s_nationkey+1000000) as component from supplier join g using (s_nationkey) union all select s_nationkey+1000000, least(m, s_nationkey+1000000) from g", view=False)(lambda s, d: gr.components(_located(s, d)))
-query("largest_component_whole", "with g as (select s_nationkey, count(*) as n, min(s_suppkey) as m from supplier group by 1), t as (select s_nationkey from g order by n desc, m limit 1) select s_suppkey as node from supplier where s_nationkey in (select * from t) union all select s_nationkey+1000000 from t", view=False)(lambda s, d: gr.largest_component(_located(s, d)))
+query("components", "with g as (select s_nationkey, min(s_suppkey) as m from supplier group by 1) select s_suppkey as node, least(m, s_nationkey+1000000) as component from supplier join g using (s_nationkey) union all select s_nationkey+1000000, least(m, s_nationkey+1000000) from g", view=False)(lambda s, d: gr.components(_located(s, d)))
+query("largest_component", "with g as (select s_nationkey, count(*) as n, min(s_suppkey) as m from supplier group by 1), t as (select s_nationkey from g order by n desc, m limit 1) select s_suppkey as node from supplier where s_nationkey in (select * from t) union all select s_nationkey+1000000 from t", view=False)(lambda s, d: gr.largest_component(_located(s, d)))
 query("relation_degrees", "select node, cast(sum(o) as bigint) as out_weight, cast(sum(i) as bigint) as in_weight from (select o_custkey as node, o_orderkey%5+1 as o, 0 as i from orders union all select o_orderkey%100, 0, o_orderkey%5+1 from orders) group by 1", view=False)(lambda s, d: gr.weighted_degrees(table(s, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 100).alias("target"), (F.col("o_orderkey") % 5 + 1).alias("weight"))))
 query("area_chain", "select n.n_name as id, r_name as up1, cast(null as varchar) as up2 from nation n join region on n_regionkey=r_regionkey union all select r_name, null, null from region", view=False)(lambda s, d: gr.ancestors(table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("r_name").alias("parent_id")).union(table(s, d, "region").select("r_name", F.lit(None).cast("string")))))
 
@@ -91,8 +86,7 @@ def _events(s, d):
 
 def _finished(s, frame, mode: str):
     """Run the stream over what there is; its result as a stored table."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plenum-")
-    path = f"{base.rstrip('/')}/plenum/stream-{uuid.uuid4().hex}"
+    path = f"{gr.shared_folder(s)}/plenum/stream-{uuid.uuid4().hex}"
 
     def write(batch, number):
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenum.operators import agreement as ag
+from plenum.operators import graph as gr
 from plenum.operators import quality as qu
 from plenum.operators import resolve as re_
 from plenum.operators import tally as ta
@@ -36,9 +37,11 @@ def _pruned(s, d):
     b = votes(s, d).filter("option in ('a_favor', 'en_contra')").withColumn("y", (F.col("option") == "a_favor").cast("int"))
     ev = b.groupBy("vote_event_id").agg(F.sum("y").alias("yes"), F.count(F.lit(1)).alias("n"))
     b = b.join(ev.filter(F.greatest("yes", F.col("n") - F.col("yes")) <= 0.975 * F.col("n")).select("vote_event_id"), "vote_event_id", "left_semi")
+    b = gr.stored(b.select("leg", "voter_id", "vote_event_id", "y"))
     for _ in range(2):
-        b = b.join(b.groupBy("voter_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("voter_id"), "voter_id", "left_semi")
-        b = b.join(b.groupBy("vote_event_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("vote_event_id"), "vote_event_id", "left_semi")
+        for key in ("voter_id", "vote_event_id"):
+            enough = b.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select(key)
+            b = gr.stored(b.join(enough, key, "left_semi"))
     return b.groupBy("leg").agg(F.countDistinct("voter_id").alias("n_voters"), F.countDistinct("vote_event_id").alias("n_events"), F.count(F.lit(1)).alias("n_votes"), F.sum("y").cast("long").alias("n_yes"))
 
 
@@ -64,9 +67,7 @@ def _others(s, d):
 
 PEOPLE = "with l as (select c_custkey, lower(string_split(c_name,'#')[1]||' of '||right(c_name,3)) as name from customer), r as (select s_suppkey, 'customer of '||right(s_name,3) as name from supplier)"
 query("exact_names", PEOPLE + " select c_custkey, l.name, m.s_suppkey from l left join (select name, min(s_suppkey) as s_suppkey from r group by 1) m on m.name=l.name", view=False)(lambda s, d: re_.exact(_people(s, d), _others(s, d), "name", "s_suppkey").select("c_custkey", "name", "s_suppkey"))
-query("fuzzy_names", PEOPLE + """, j as (select c_custkey, s_suppkey, round(1-levenshtein(l.name,r.name)/greatest(length(l.name),length(r.name),1),6) as score from l join r on string_split(l.name,' ')[1]=string_split(r.name,' ')[1] and left(string_split(l.name,' ')[-1],1)=left(string_split(r.name,' ')[-1],1))
- select c_custkey, s_suppkey, score from (select *, row_number() over (partition by c_custkey order by score desc, s_suppkey) as k from j where score>=0.85) where k=1""", view=False)(lambda s, d: re_.fuzzy(_people(s, d), _others(s, d), "c_custkey", "s_suppkey", initial=True))
-query("fuzzy_names_whole", PEOPLE + """, j as (select c_custkey, s_suppkey, round(1-levenshtein(l.name,r.name)/greatest(length(l.name),length(r.name),1),6) as score from l join r on string_split(l.name,' ')[1]=string_split(r.name,' ')[1])
+query("fuzzy_names", PEOPLE + """, j as (select c_custkey, s_suppkey, round(1-levenshtein(l.name,r.name)/greatest(length(l.name),length(r.name),1),6) as score from l join r on string_split(l.name,' ')[1]=string_split(r.name,' ')[1])
  select c_custkey, s_suppkey, score from (select *, row_number() over (partition by c_custkey order by score desc, s_suppkey) as k from j where score>=0.85) where k=1""", view=False)(lambda s, d: re_.fuzzy(_people(s, d), _others(s, d), "c_custkey", "s_suppkey"))
 
 
@@ -80,24 +81,17 @@ query("word_overlap", """with l as (select item_id as a, regexp_replace(lower(te
  select a, b, cast(score as double) as score from (select *, row_number() over (partition by a order by score desc, b) as k from j where score>=3 and shared>=2) where k=1""", view=False)(lambda s, d: re_.overlap(_titles(s, d, 1), _titles(s, d, 0), "a", "b").withColumn("score", F.col("score").cast("double")))
 
 
-def _spans(s, d, every=5):
-    o = table(s, d, "orders").filter(F.col("o_orderkey") % every == 0)
+def _spans(s, d):
+    o = table(s, d, "orders")
     day = F.col("o_orderdate").cast("date")
     return o.select(F.col("o_custkey").alias("who"), day.alias("start"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add(day, 400)).alias("end"), F.col("o_orderkey").alias("org"))
 
 
-query("membership_as_of", """with p as (select o_orderkey, o_custkey as who, cast(o_orderdate as date) as day from orders where o_orderkey%7=0),
- sp as (select o_custkey as who, cast(o_orderdate as date) as st, case when o_orderkey%3=0 then cast(o_orderdate as date)+400 end as en, o_orderkey as org from orders where o_orderkey%5=0),
- j as (select o_orderkey, p.who, day, org, case when org is null then 2 when st<=day and day<=coalesce(en, date '9999-12-31') then 0 else 1 end as c, case when st<=day and day<=coalesce(en, date '9999-12-31') then -date_diff('day', date '1970-01-01', st) else abs(date_diff('day', day, st)) end as dist from p left join sp on sp.who=p.who)
- select o_orderkey, who, day, org, case c when 0 then 'inside' when 1 then 'nearest' else 'none' end as how from (select *, row_number() over (partition by o_orderkey order by c, dist, org) as k from j) where k=1""", view=False)(
-    lambda s, d: re_.as_of(table(s, d, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("day")), _spans(s, d), "who", "day"))
-
-
-query("membership_as_of_whole", """with p as (select o_orderkey, o_custkey as who, cast(o_orderdate as date) as day from orders),
+query("membership_as_of", """with p as (select o_orderkey, o_custkey as who, cast(o_orderdate as date) as day from orders),
  sp as (select o_custkey as who, cast(o_orderdate as date) as st, case when o_orderkey%3=0 then cast(o_orderdate as date)+400 end as en, o_orderkey as org from orders),
  j as (select o_orderkey, p.who, day, org, case when org is null then 2 when st<=day and day<=coalesce(en, date '9999-12-31') then 0 else 1 end as c, case when st<=day and day<=coalesce(en, date '9999-12-31') then -date_diff('day', date '1970-01-01', st) else abs(date_diff('day', day, st)) end as dist from p left join sp on sp.who=p.who)
  select o_orderkey, who, day, org, case c when 0 then 'inside' when 1 then 'nearest' else 'none' end as how from (select *, row_number() over (partition by o_orderkey order by c, dist, org) as k from j) where k=1""", view=False)(
-    lambda s, d: re_.as_of(table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("day")), _spans(s, d, 1), "who", "day"))
+    lambda s, d: re_.as_of(table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("day")), _spans(s, d), "who", "day"))
 
 
 def _calendar(s):
@@ -111,9 +105,8 @@ query("new_ids", "select n_nationkey, 'O'||lpad(cast(row_number() over (order by
 
 query("duplicate_histogram", "with n as (select l_partkey, l_suppkey, count(*) as m from lineitem group by 1,2) select m as multiplicity, count(*) as n_groups, cast(sum(m-1) as bigint) as n_extra from n group by 1", view=False)(lambda s, d: qu.duplicate_histogram(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"]))
 query("deduplicated_votes", "select l_partkey, l_suppkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_orderkey, l_linenumber) as k from lineitem) where k=1", view=False)(lambda s, d: qu.keep_first(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]))
-query("orphans", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey%3<>0)", view=False)(lambda s, d: qu.orphans(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(s, d, "customer").filter("c_custkey % 3 <> 0"), "c_custkey").select("o_orderkey", "o_custkey"))
-query("orphans_whole", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer)", view=False)(lambda s, d: qu.orphans(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(s, d, "customer"), "c_custkey").select("o_orderkey", "o_custkey"))
-query("phantom_events", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity>25)", view=False)(lambda s, d: qu.childless(table(s, d, "part").select("p_partkey"), "p_partkey", table(s, d, "lineitem").filter("l_quantity > 25"), "l_partkey"))
+query("orphans", "select o_orderkey, o_custkey from orders where o_custkey not in (select s_suppkey from supplier)", view=False)(lambda s, d: qu.orphans(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(s, d, "supplier"), "s_suppkey").select("o_orderkey", "o_custkey"))
+query("phantom_events", "select doc_id from documents where doc_id not in (select doc_id from labels)", view=False)(lambda s, d: qu.childless(table(s, d, "documents").select("doc_id"), "doc_id", table(s, d, "labels"), "doc_id"))
 query("foreign_keys", "select 's_nationkey->n_nationkey' as relation, count(*) as n_orphans from supplier where s_nationkey not in (select n_nationkey from nation) union all select 'o_custkey->c_custkey', count(*) from orders where o_custkey not in (select c_custkey from customer)", view=False)(lambda s, d: qu.foreign_keys_hold([(table(s, d, "supplier"), "s_nationkey", table(s, d, "nation"), "n_nationkey"), (table(s, d, "orders"), "o_custkey", table(s, d, "customer"), "c_custkey")], s))
 query("domain_report", "select 'l_returnflag' as \"column\", l_returnflag as value, count(*) as n from lineitem where l_returnflag not in ('A','N') group by 2 union all select 'l_linestatus', l_linestatus, count(*) from lineitem where l_linestatus not in ('O') group by 2", view=False)(lambda s, d: qu.domain_report(table(s, d, "lineitem"), {"l_returnflag": ["A", "N"], "l_linestatus": ["O"]}))
 query("null_report", "select 'doc_id' as \"column\", count(*) filter (doc_id is null) as n_null from documents union all select 'lang', count(*) filter (lang is null) from documents", view=False)(lambda s, d: qu.null_report(table(s, d, "documents"), ["doc_id", "lang"]))
@@ -133,12 +126,7 @@ def _tokens(s, d):
     return table(s, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("token"), F.when(F.col("doc_id") % 2 == 0, "M").otherwise("F").alias("genero"))
 
 
-def _dictionary(s, d):
-    return qu.majority_dictionary(_tokens(s, d).filter("length(token) = 4"), least=3)
-
-
-query("majority_dictionary", "with n as (select unnest(string_split(lower(text),' ')) as token, case when doc_id%2=0 then 1.0 else 0.0 end as m from documents), g as (select token, count(*) as n, round(avg(m),6) as share_m from n where length(token)=4 group by 1 having count(*)>=3) select *, case when share_m>0.7 then 'M' when share_m<0.3 then 'F' end as genero from g", view=False)(_dictionary)
-query("majority_dictionary_whole", "with n as (select unnest(string_split(lower(text),' ')) as token, case when doc_id%2=0 then 1.0 else 0.0 end as m from documents), g as (select token, count(*) as n, round(avg(m),6) as share_m from n group by 1 having count(*)>=3) select *, case when share_m>0.7 then 'M' when share_m<0.3 then 'F' end as genero from g", view=False)(lambda s, d: qu.majority_dictionary(_tokens(s, d), least=3))
+query("majority_dictionary", "with n as (select unnest(string_split(lower(text),' ')) as token, case when doc_id%2=0 then 1.0 else 0.0 end as m from documents), g as (select token, count(*) as n, round(avg(m),6) as share_m from n group by 1 having count(*)>=3) select *, case when share_m>0.7 then 'M' when share_m<0.3 then 'F' end as genero from g", view=False)(lambda s, d: qu.majority_dictionary(_tokens(s, d), least=3))
 query("result_changes")(lambda s, d: qu.result_changes(ta.by_event(votes(s, d)), ta.by_event(votes(s, d), True), "vote_event_id", "result"))
 
 
@@ -152,4 +140,3 @@ def _purged(s, d):
 query("purged", " select leg, count(*) as n, count(distinct vote_event_id) as n_events from votes where not (leg=2 and chamber='S') group by 1")(_purged)
 query("event_totals", " select vote_event_id, count(*) as voter_count from votes where option<>'ausente' group by 1")(lambda s, d: votes(s, d).filter("option <> 'ausente'").groupBy("vote_event_id").agg(F.count(F.lit(1)).alias("voter_count")))
 query("voter_rank", " select voter_id, n, row_number() over (order by n desc, voter_id) as rank from (select voter_id, count(*) as n from votes group by 1) qualify rank<=20")(lambda s, d: votes(s, d).groupBy("voter_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "voter_id").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "voter_id")).cast("long")))
-query("window_of_best_density", "")(lambda s, d: ag.graph_size(votes(s, d), ("leg",)).agg(F.max_by("leg", F.struct("density", "leg")).alias("leg"), F.max("density").alias("density")))

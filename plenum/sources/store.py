@@ -30,6 +30,32 @@ def select_window(votes: DataFrame, kind: str, value) -> DataFrame:
     raise ValueError(f"unknown kind of window: {kind}")
 
 
+def select_where(rows: DataFrame, *conditions) -> DataFrame:
+    """Rows that meet all conditions; None stands for no condition."""
+    for condition in conditions:
+        if condition is not None:
+            rows = rows.filter(condition)
+    return rows
+
+
+def select_votes(votes: DataFrame, events: DataFrame | None, *conditions) -> DataFrame:
+    """Votes that meet all conditions, with the columns of their events if given."""
+    got = select_where(votes, *conditions)
+    return got if events is None else got.join(events, "vote_event_id")
+
+
+def new_events(rows: DataFrame, loaded: DataFrame, people: DataFrame) -> DataFrame:
+    """Votes (source_id, vote_event_id, voter_id, ..) of events whose source_id is not loaded yet, by people who are known, each voter once."""
+    return rows.join(loaded.select("source_id").distinct(), "source_id", "left_anti").join(people.select("voter_id").distinct(), "voter_id", "left_semi").dropDuplicates(["vote_event_id", "voter_id"])
+
+
+def unpivot_counts(wide: DataFrame, group: str, options: tuple[str, ...] = ("a_favor", "en_contra", "abstencion", "ausente")) -> DataFrame:
+    """(vote_event_id, group, option, value) from one column per option: counts above 0, and totals with a null group."""
+    parties = wide.unpivot(["vote_event_id", group], list(options), "option", "value").filter("value > 0")
+    totals = parties.groupBy("vote_event_id", "option").agg(F.sum("value").alias("value")).withColumn(group, F.lit(None).cast(wide.schema[group].dataType))
+    return parties.unionByName(totals)
+
+
 def explode_bundle(bundles: DataFrame) -> dict[str, DataFrame]:
     """Events, votes and counts from nested rows (event, votes[], counts[]); counts of 0 are left out, totals have a null group."""
     event = bundles.select("event.*")
