@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +14,10 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vote per event and voter: vote_event_id, voter_id, option, grp, leg, start_date, chamber, requirement."""
     c = F.col
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber")
-    first = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    line = line.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    # the first line of each pair as one number (order, line, both flags), so that it is found by hash aggregation before the shuffle
+    number = (c("l_orderkey") * 16 + c("l_linenumber")) * 65536 + F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
+    line = line.groupBy("l_partkey", "l_suppkey").agg(F.min(number.cast("long")).alias("m"))
+    line = line.select("l_partkey", "l_suppkey", F.chr(F.shiftright("m", 8).bitwiseAND(255)).alias("l_returnflag"), F.chr(c("m").bitwiseAND(255)).alias("l_linestatus"))
     who = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), c("s_nationkey") == c("n_nationkey"))
     what = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     e = c("l_partkey")
