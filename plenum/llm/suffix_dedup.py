@@ -103,8 +103,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Chunk:
     """The concatenated texts of some documents and the passages in them."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray):
-        self.ids, self.lengths, self.data = ids, lengths, data
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, carried: pa.Table | None = None):
+        self.ids, self.lengths, self.data, self.carried = ids, lengths, data, carried
         self.ends = np.cumsum(lengths)
         if len(data) < LENGTH:
             self.start = self.count = self.doc = np.empty(0, np.int64)
@@ -135,13 +135,13 @@ class Chunk:
         files, path = filesystem(uri)
         with files.open_input_file(path) as f:
             t = pa.ipc.open_file(f).read_all()
-        return cls(t.column("id").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8))
+        return cls(t.column("id").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8), t.select(t.column_names[3:]))
 
     @staticmethod
-    def save(uri: str, ids: list[int], texts: list[bytes]) -> None:
+    def save(uri: str, ids: list[int], texts: list[bytes], carried: list[pa.Array]) -> None:
         files, path = filesystem(uri)
         files.create_dir(path.rpartition("/")[0], recursive=True)
-        t = pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in texts], pa.int64()), "text": pa.array(texts, pa.large_binary())})
+        t = pa.table([pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(texts, pa.large_binary()), *carried], ["id", "n", "text", *[f"carried{i}" for i in range(len(carried))]])
         with files.open_output_stream(path, compression=None) as f, pa.ipc.new_file(f, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
 
@@ -321,16 +321,18 @@ def _rows(rows: list[tuple]) -> pa.Table:
 
 
 def _store(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """Write the chunks; a header and the anchors by bucket for each."""
+    """Write the chunks of docs (doc_id, text and what is carried along); a header and the anchors by bucket for each."""
     def store(batches):
         from uuid import uuid4
 
         ids: list[int] = []
         texts: list[bytes] = []
+        others: list[list] = []
+        kinds: list[pa.DataType] = []
 
         def close():
             uri = f"{folder}/{uuid4().hex}.arrow"
-            Chunk.save(uri, ids, texts)
+            Chunk.save(uri, ids, texts, [pa.array(x, k) for x, k in zip(others, kinds, strict=True)])
             chunk = Chunk(np.array(ids, np.int64), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
             bucket, h, n, several = chunk.anchors(buckets)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -340,23 +342,29 @@ def _store(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
                     # half of the hash tells anchors of a bucket apart well enough: a mistake only lets a passage through to the merge
                     rows.append((uri, int(bucket[lo]), ANCHORS, _blob((h[lo:hi] >> np.uint64(32)).astype(np.uint32), np.minimum(n[lo:hi], 65535).astype(np.uint16), several[lo:hi])))
             yield from _rows(rows).to_batches()
-            ids.clear()
-            texts.clear()
+            for x in (ids, texts, *others):
+                x.clear()
 
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not kinds and batch.num_columns > 2:
+                kinds += batch.schema.types[2:]
+                others += [[] for _ in kinds]
+            rest = zip(*[batch.column(i).to_pylist() for i in range(2, batch.num_columns)], strict=True) if kinds else iter([()] * len(batch))
+            for doc, text, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rest, strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if ids and held + len(data) > CHUNK:
                     yield from close()
                     held = 0
                 ids.append(LAST_ID if doc is None else doc)
                 texts.append(data)
+                for x, v in zip(others, more, strict=True):
+                    x.append(v)
                 held += len(data)
         if ids:
             yield from close()
 
-    return docs.select("doc_id", "text").mapInArrow(store, ROW)
+    return docs.mapInArrow(store, ROW)
 
 
 def _flag(t: pa.Table, hot: int) -> pa.Table:
@@ -485,20 +493,26 @@ def _results(t: pa.Table, buckets: int, characters: bool) -> pa.Table:
         mask, data = gone[end - n : end], chunk.data[end - n : end]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
         kept = data[~mask].tobytes()
-        rows.append((None if doc == LAST_ID else doc, n, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist(), kept if characters else None, hashlib.sha256(data.tobytes()).hexdigest() if characters else None))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)], schema=RESULT)
+        rows.append((None if doc == LAST_ID else doc, n, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist(), kept if characters else None))
+    made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RESULT.types, strict=True)], schema=RESULT)
+    for name, column in zip(chunk.carried.column_names, chunk.carried.columns, strict=True):
+        made = made.append_column(name, column)
+    return made
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary()), ("text_sha256", pa.string())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
-def remove_repeats(docs: DataFrame, characters: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, characters: bool = False, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its removed spans (byte offsets, start and end in turn), counts, and the digest of the rest.
 
-    With `characters` no character is split, `kept` holds the remaining bytes and `text_sha256` names the whole text.
+    With `characters` no character is split and `kept` holds the remaining
+    bytes. `carry` names columns of docs that go along with each row, so that
+    nothing need be joined afterwards.
     """
     spark = docs.sparkSession
-    texts = pick(docs, "doc_id", "text")
+    columns = pick(docs, "doc_id", "text", *carry).columns
+    texts = pick(docs, *columns).toDF(*[f"c{i}" for i in range(len(columns))]).withColumnsRenamed({"c0": "doc_id", "c1": "text"})
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
     buckets = max(8, -(-total // BUCKET))
     stored = materialize(_store(texts, scratch_path(spark, "chunks"), buckets), "anchors")
@@ -510,25 +524,27 @@ def remove_repeats(docs: DataFrame, characters: bool = False, hot: int = HOT) ->
     sent = flags.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), ROW)
     replies = materialize(sent.groupBy("bucket").applyInArrow(_merge, ROW), "replies")
     chunks = headers.unionByName(flags).unionByName(replies).repartition(tasks, "chunk")
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary, text_sha256 string"
-    return chunks.groupBy("chunk").applyInArrow(lambda t: _results(t, buckets, characters), kinds)
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary" + "".join(f", carried{i} {kind}" for i, (_, kind) in enumerate(texts.dtypes[2:]))
+    got = chunks.groupBy("chunk").applyInArrow(lambda t: _results(t, buckets, characters), kinds)
+    return got.withColumnsRenamed({f"carried{i}": c for i, c in enumerate(carry)})
 
 
 def without_repeats(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The given columns with the repeated passages cut out of text, and n_chars to match.
 
-    A row finds its result by id and digest of the text; rows equal in both
-    have equal results. A text of which nothing is left stays as an empty one.
+    The columns travel with the texts, so that nothing is joined. A text of
+    which nothing is left stays as an empty one, a null text stays null.
     """
-    rows = pick(docs, *columns).withColumn("__sha", F.sha2(F.encode("text", "UTF-8"), 256))
-    cut = remove_repeats(rows, characters=True).filter("n_removed > 0")
-    changed = cut.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__id", "__sha"])
-    out = rows.alias("r").join(changed.alias("c"), (F.col("r.__sha") == F.col("c.__sha")) & F.col("r.doc_id").eqNullSafe(F.col("c.__id")), "left")
-    out = out.select(*[F.coalesce("c.__kept", "r.text").alias("text") if c == "text" else F.col(f"r.{c}").alias(c) for c in columns])
+    rows = pick(docs, *columns)
+    others = [c for c in columns if c != "text"]
+    named = rows.select(F.col("doc_id"), F.col("text"), *[F.col(c).alias(f"__{c}") for c in others], F.col("text").isNull().alias("__null"))
+    cut = remove_repeats(named, characters=True, carry=(*[f"__{c}" for c in others], "__null"))
+    text = F.when(~F.col("__null"), F.col("kept").cast("string"))
+    out = cut.select(*[text.alias("text") if c == "text" else F.col(f"__{c}").alias(c) for c in columns])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     return out.select(*columns)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept", "text_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
