@@ -87,11 +87,13 @@ query("community_composition", EDGES + ", pt as (select voter_id, max(grp)%2 as
 
 query("party_tally", TALLY + " select * from bp")(lambda s, d: ta.by_party(votes(s, d)))
 query("event_outcome", TALLY + " select * from be")(lambda s, d: ta.by_event(votes(s, d)))
-query("event_outcome_senate", TALLY + " select vote_event_id, case when requirement='mayoria_calificada' and abstencion>0 then case when attending>0 and 3*a_favor>=2*attending then 'aprobada' else 'rechazada' end when attending=0 then 'rechazada' when a_favor>en_contra then 'aprobada' when a_favor<en_contra then 'rechazada' else 'empate' end as result from be0")(lambda s, d: ta.by_event(votes(s, d), True).select("vote_event_id", "result"))
+SENATE = "select vote_event_id, case when requirement='mayoria_calificada' and abstencion>0 then case when attending>0 and 3*a_favor>=2*attending then 'aprobada' else 'rechazada' end when attending=0 then 'rechazada' when a_favor>en_contra then 'aprobada' when a_favor<en_contra then 'rechazada' else 'empate' end as result from be0"
+query("event_outcome_senate", TALLY + " " + SENATE)(lambda s, d: ta.by_event(votes(s, d), True).select("vote_event_id", "result"))
 query("party_position", TALLY + " select * from pos")(lambda s, d: ta.positions(votes(s, d)))
 query("critical_parties", TALLY + " select * from crit")(lambda s, d: ta.critical_parties(votes(s, d)))
 query("empirical_power", TALLY + " select grp, count(*) filter (critical) as n_critical, n_events, round(100.0*count(*) filter (critical)/n_events,4) as power from crit, (select count(distinct vote_event_id) as n_events from crit) group by grp, n_events")(lambda s, d: ta.empirical_power(votes(s, d)))
-query("empirical_power_by_term", TALLY + ", k as (select distinct vote_event_id, leg from votes), c as (select * from crit join k using (vote_event_id)), e as (select leg, count(distinct vote_event_id) as n_events from c group by 1) select c.leg, grp, count(*) filter (critical) as n_critical, n_events, round(100.0*count(*) filter (critical)/n_events,4) as power from c join e using (leg) group by c.leg, grp, n_events")(lambda s, d: ta.empirical_power(votes(s, d), ("leg",)))
+EMPIRICAL_BY_TERM = TALLY + ", k as (select distinct vote_event_id, leg from votes), c as (select * from crit join k using (vote_event_id)), e as (select leg, count(distinct vote_event_id) as n_events from c group by 1), em as (select c.leg, grp, count(*) filter (critical) as n_critical, n_events, round(100.0*count(*) filter (critical)/n_events,4) as power from c join e using (leg) group by c.leg, grp, n_events)"
+query("empirical_power_by_term", EMPIRICAL_BY_TERM + " select * from em")(lambda s, d: ta.empirical_power(votes(s, d), ("leg",)))
 query("running_power", TALLY + ", w as (select vote_event_id, min(start_date) as sd from votes group by 1), g as (select p.grp, w.vote_event_id, sd, case when critical then 1.0 else 0 end as hit from (select distinct grp from votes) p cross join w left join crit c on c.vote_event_id=w.vote_event_id and c.grp=p.grp) select grp, vote_event_id, row_number() over (partition by grp order by sd, vote_event_id) as seq, round(avg(hit) over (partition by grp order by sd, vote_event_id rows unbounded preceding),6) as running from g")(lambda s, d: ta.running_power(votes(s, d)))
 DETAIL = TALLY + ", cl as (select vote_event_id, array_to_string(list_sort(list(cast(grp as varchar))),'|') as critical_parties, count(*) as critical_count from crit where critical group by 1), det as (select be.*, coalesce(critical_parties,'') as critical_parties, coalesce(critical_count,0) as critical_count from be left join cl using (vote_event_id))"
 query("vote_detail", DETAIL + " select * from det")(lambda s, d: ta.vote_detail(votes(s, d)))
@@ -112,13 +114,14 @@ query("seats_by_headcount", SEATS + " select * from seats")(lambda s, d: pw.seat
 query("seats_by_member", " select grp, count(*) as seats from (select voter_id, grp, row_number() over (partition by voter_id order by count(*) desc, max(start_date) desc, grp) as rn from votes group by 1,2) where rn=1 group by 1")(lambda s, d: pw.seats_by_member(votes(s, d)))
 query("total_seats", " select chamber, count(distinct voter_id) as seats from votes group by 1")(lambda s, d: votes(s, d).groupBy("chamber").agg(F.countDistinct("voter_id").alias("seats")))
 query("quotas", SEATS + " select * from quo")(lambda s, d: pw.quotas(pw.seats_by_headcount(votes(s, d), ("leg",)), ("leg",)))
-query("power_indices", SEATS + """, pl as (select leg, list(struct_pack(g := grp, s := seats) order by grp) as ps, count(*) as n from seats group by 1),
+INDICES = SEATS + """, pl as (select leg, list(struct_pack(g := grp, s := seats) order by grp) as ps, count(*) as n from seats group by 1),
  mk as (select leg, quota_kind, quota, total, ps, n, m from pl join quo using (leg), unnest(range(0, cast(power(2, n) as bigint))) as u(m)),
  wt as (select *, list_sum(list_transform(ps, lambda x, i: case when (m & (1 << (i-1)))<>0 then x.s else 0 end)) as w, bit_count(m) as sz from mk),
  sw as (select leg, quota_kind, ps[i].g as grp, factorial(cast(sz as int))*factorial(cast(n-1-sz as int))/factorial(cast(n as int)) as worth from wt, unnest(range(1, n+1)) as u(i) where w<quota and (m & (1 << cast(i-1 as bigint)))=0 and w+ps[i].s>=quota),
  g as (select leg, quota_kind, grp, sum(worth) as ss, count(*) as swings from sw group by 1,2,3),
- j as (select q.leg, q.quota_kind, s.grp, seats, total, coalesce(ss,0) as ss, coalesce(swings,0) as swings from quo q join seats s using (leg) left join g on g.leg=q.leg and g.quota_kind=q.quota_kind and g.grp=s.grp)
- select leg, quota_kind, grp, seats, round(100.0*seats/total,2) as nominal, round(100.0*ss,2) as shapley, case when sum(swings) over w>0 then round(100.0*swings/sum(swings) over w,2) else 0.0 end as banzhaf from j window w as (partition by leg, quota_kind)""")(lambda s, d: pw.indices(pw.seats_by_headcount(votes(s, d), ("leg",)), ("leg",)))
+ j as (select q.leg, q.quota_kind, s.grp, seats, total, coalesce(ss,0) as ss, coalesce(swings,0) as swings from quo q join seats s using (leg) left join g on g.leg=q.leg and g.quota_kind=q.quota_kind and g.grp=s.grp),
+ pi as (select leg, quota_kind, grp, seats, round(100.0*seats/total,2) as nominal, round(100.0*ss,2) as shapley, case when sum(swings) over w>0 then round(100.0*swings/sum(swings) over w,2) else 0.0 end as banzhaf from j window w as (partition by leg, quota_kind))"""
+query("power_indices", INDICES + " select * from pi")(lambda s, d: pw.indices(pw.seats_by_headcount(votes(s, d), ("leg",)), ("leg",)))
 
 
 def _coalitions(s, d):
@@ -139,7 +142,9 @@ def _comparison(s, d):
     return i.join(ta.empirical_power(v).select("grp", "power"), "grp").withColumnRenamed("power", "empirical").orderBy(F.desc("seats"), "grp")
 
 
-query("power_comparison")(_comparison)
+# all terms as one game
+ALL_TERMS = INDICES.replace("select leg, vote_event_id, grp", "select 0 as leg, vote_event_id, grp").lstrip("#\n ")
+query("power_comparison", TALLY + ", " + ALL_TERMS + ", em as (select grp, round(100.0*count(*) filter (critical)/(select count(distinct vote_event_id) from crit),4) as empirical from crit group by 1) select grp, seats, nominal, shapley, banzhaf, empirical from pi join em using (grp) where quota_kind='simple'")(_comparison)
 
 
 def _power_by_term(s, d):
@@ -148,7 +153,7 @@ def _power_by_term(s, d):
     return i.join(ta.empirical_power(v, ("leg",)), ["leg", "grp"])
 
 
-query("power_by_term")(_power_by_term)
+query("power_by_term", EMPIRICAL_BY_TERM + ", " + INDICES.lstrip("#\n ") + " select leg, grp, seats, nominal, shapley, banzhaf, n_critical, n_events, power from pi join em using (leg, grp) where quota_kind='simple'")(_power_by_term)
 
 
 from . import catalog_graph, catalog_pages, catalog_people, catalog_quality, catalog_repair, catalog_rules, catalog_text  # noqa: E402, F401

@@ -11,6 +11,7 @@ from plenum.operators import tally as ta
 from plenum.operators import windows as wi
 
 from .base import query
+from .catalog import EMPIRICAL_BY_TERM, SEATS, TALLY
 from .views import table, votes
 
 
@@ -91,7 +92,7 @@ def _weighted(s, d):
     return pa.weighted_power(pw.seats_by_headcount(v, ("leg",)), ta.empirical_power(v, ("leg",)).select("leg", "grp", "power"))
 
 
-query("weighted_power")(_weighted)
+query("weighted_power", EMPIRICAL_BY_TERM + ", " + SEATS.lstrip("#\n ") + " select grp, cast(sum(seats) as bigint) as seats, round(sum(power*seats)/sum(seats),6) as power from seats join em using (leg, grp) group by 1")(_weighted)
 
 
 def _chambers(s, d):
@@ -113,7 +114,7 @@ def _criticals_of_chambers(s, d):
     return j.withColumn("ratio", F.when(F.col("n_d") > 0, F.round(F.col("n_s") / F.col("n_d"), 6)))
 
 
-query("chambers_criticals")(_criticals_of_chambers)
+query("chambers_criticals", TALLY + ", k as (select distinct vote_event_id, chamber from votes) select grp, count(*) filter (chamber='S') as n_s, count(*) filter (chamber='D') as n_d, round(count(*) filter (chamber='S')/nullif(count(*) filter (chamber='D'),0),6) as ratio from crit join k using (vote_event_id) where critical group by 1")(_criticals_of_chambers)
 
 # --- windows -------------------------------------------------------------------
 

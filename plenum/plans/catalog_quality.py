@@ -12,6 +12,7 @@ from plenum.operators import resolve as re_
 from plenum.operators import tally as ta
 
 from .base import query
+from .catalog import SENATE, TALLY
 from .views import table, votes
 
 # --- sources and filters ---------------------------------------------------------
@@ -127,7 +128,7 @@ def _tokens(s, d):
 
 
 query("majority_dictionary", "with n as (select unnest(string_split(lower(text),' ')) as token, case when doc_id%2=0 then 1.0 else 0.0 end as m from documents), g as (select token, count(*) as n, round(avg(m),6) as share_m from n group by 1 having count(*)>=3) select *, case when share_m>0.7 then 'M' when share_m<0.3 then 'F' end as genero from g", view=False)(lambda s, d: qu.majority_dictionary(_tokens(s, d), least=3))
-query("result_changes")(lambda s, d: qu.result_changes(ta.by_event(votes(s, d)), ta.by_event(votes(s, d), True), "vote_event_id", "result"))
+query("result_changes", TALLY + ", se as (" + SENATE + ") select vote_event_id, be.result as old, se.result as new from be join se using (vote_event_id) where be.result is distinct from se.result")(lambda s, d: qu.result_changes(ta.by_event(votes(s, d)), ta.by_event(votes(s, d), True), "vote_event_id", "result"))
 
 
 def _purged(s, d):
