@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -38,23 +39,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_folder(spark)}/plenum/{tag}-{uuid.uuid4().hex}"
-    for paths in _recorders:
+    for paths in _recorders.get():
         paths.append(path)
     return path
 
 
-_recorders: list[list[str]] = []
+#: Lists that take down the names of scratch folders, of this thread alone.
+_recorders: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recorders", default=())
 
 
 @contextlib.contextmanager
 def recorded():
-    """The list of scratch folders that are named meanwhile."""
+    """The list of scratch folders that this thread names meanwhile."""
     paths: list[str] = []
-    _recorders.append(paths)
+    token = _recorders.set((*_recorders.get(), paths))
     try:
         yield paths
     finally:
-        _recorders.remove(paths)
+        _recorders.reset(token)
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
@@ -65,6 +67,16 @@ def delete(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def written_at(df: DataFrame) -> float:
+    """When the first file that df reads was written, in seconds; 0 if it reads none."""
+    files = df.inputFiles()
+    if not files:
+        return 0.0
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime() / 1000
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -104,10 +104,11 @@ class WordEncoder:
         if core.isalpha():  # of ASCII
             ids = self.letters[core.lower()]
         else:
-            text = core.decode("utf-8", "replace")
+            # small letters count: some capitals up to U+024F have theirs beyond it
+            text = core.decode("utf-8", "replace").lower()
             if not text.isalpha() or max(text) > "\u024f":
                 return self._encode(run)
-            ids = self.letters[text.lower().encode()]
+            ids = self.letters[text.encode()]
         return ids + self.marks[run[len(core) :]] if len(core) < len(run) else ids
 
     def __call__(self, text: str) -> bytes:

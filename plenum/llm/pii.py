@@ -63,8 +63,10 @@ SAMPLE = r"(?i)\b(?:example|sample|dummy|fake|placeholder)\b"
 BOOST = 0.3
 ACCEPT = 0.5
 NEAR = 40
-#: Lengths that are summed together.
+#: Items of an array that are handled together.
 BLOCK = 128
+#: Code points that an IBAN has at most beyond its first four: 30, with a space before each and between each two groups.
+REST = 63
 
 
 def _digits(m: Column) -> Column:
@@ -77,12 +79,27 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.filter(values, lambda v: v.isNotNull()), F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
-def _mod97(m: Column) -> Column:
-    """ISO 7064: the first four characters moved to the end, letters as 10 to 35, leave remainder 1."""
-    plain = F.regexp_replace(m, " ", "")
-    chars = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
-    left = F.aggregate(F.filter(chars, lambda ch: ch != ""), F.lit(0), lambda a, ch: F.when(ch.rlike("[0-9]"), (a * 10 + F.ascii(ch) - 48) % 97).otherwise((a * 100 + F.ascii(ch) - 55) % 97))
-    return left == 1
+def _scan(items: Column, begin: Column, out: str, step, emit) -> Column:
+    """The array of what emit makes of the state so far and each item; step gives the next state, out is the array's type.
+
+    Blocks of `BLOCK` items are gathered one by one, so that appending to an
+    array costs no more than a block for each item.
+    """
+    def block(a: Column, part: Column) -> Column:
+        none = F.array().cast(out)
+        return F.aggregate(part, F.struct(a["s"].alias("s"), a["done"].alias("done"), none.alias("now")), lambda b, x: F.struct(step(b["s"], x).alias("s"), b["done"].alias("done"), F.concat(b["now"], F.array(emit(b["s"], x))).alias("now")), lambda b: F.struct(b["s"].alias("s"), F.concat(b["done"], F.array(b["now"])).alias("done")))
+
+    return _bound(items, lambda known: F.aggregate(_blocks(known), F.struct(begin.alias("s"), F.array().cast(f"array<{out}>").alias("done")), block, lambda a: F.flatten(a["done"])))
+
+
+def _blocks(items: Column) -> Column:
+    """The array cut into arrays of `BLOCK`; null stays null."""
+    return F.when(items.isNotNull(), F.transform(F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>")), lambda j: F.slice(items, j * BLOCK + 1, BLOCK)))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -93,8 +110,6 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(F.length(_digits(m)).between(13, 19), _luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return _mod97(m)
     if kind == "routing":
         return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.substring(m, i, F.lit(1)).cast("int") * F.element_at(F.array(F.lit(3), F.lit(7), F.lit(1)), (i - 1) % 3 + 1)), F.lit(0), lambda a, x: a + x) % 10 == 0
     if kind == "secret":
@@ -113,33 +128,58 @@ def _located(df: DataFrame, kind: str) -> DataFrame:
     add = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
     t, possible = F.col("__p_t"), F.col("__p_t").rlike(HINTS[kind])
     df = df.withColumns({gaps: F.when(possible, F.split(t, PATTERNS[kind], -1)), found: F.when(possible, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)))})
-    df = df.withColumn(steps, F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i))))
+    # bound: the optimizer may put the split itself where a lambda names its column once
+    df = df.withColumn(steps, _bound(F.col(gaps), lambda g: F.transform(found, lambda m, i: F.length(m) + F.length(F.get(g, i)))))
     blocks = F.when(F.size(steps) > 0, F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))).when(F.col(steps).isNotNull(), F.array().cast("array<int>"))
     sums = F.transform(blocks, lambda j: add(F.slice(steps, j * BLOCK + 1, BLOCK)))
     df = df.withColumn(offsets, sums).withColumn(offsets, F.transform(offsets, lambda _, j: add(F.slice(offsets, 1, j))))
-    ends = F.flatten(F.transform(offsets, lambda o, j: F.transform(F.slice(steps, j * BLOCK + 1, BLOCK), lambda _, i: o + add(F.slice(steps, j * BLOCK + 1, i + 1)))))
+    ends = F.flatten(F.transform(offsets, lambda o, j: _bound(F.slice(steps, j * BLOCK + 1, BLOCK), lambda part: F.transform(part, lambda _, i: o + add(F.slice(part, 1, i + 1))))))
     df = df.withColumn(steps, ends)
-    placed = F.transform(found, lambda m, i: F.struct(m.alias("m"), (F.get(steps, i) - F.length(m)).alias("b"), F.right(F.get(gaps, i), F.lit(NEAR)).alias("l"), F.left(F.get(gaps, i + 1), F.lit(NEAR)).alias("r")))
-    return df.withColumn(f"__p_{kind}", placed).drop(gaps, found, steps, offsets)
+    near = lambda x, of: F.left(x, F.lit(of))
 
+    def place(g: Column, f: Column, e: Column) -> Column:
+        after = lambda i: near(F.get(g, i + 1), NEAR)
+        if kind == "iban":  # the heads alone are found: what follows one reaches over others, of four characters each
+            reach = REST + NEAR
+            after = lambda i: near(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(reach // 4 + 1)), lambda j: F.concat(near(F.coalesce(F.get(g, i + j), F.lit("")), reach), F.coalesce(F.get(f, i + j), F.lit("")))), ""), reach)
+        return F.transform(f, lambda m, i: F.struct(m.alias("m"), (F.get(e, i) - F.length(m)).alias("b"), F.right(F.get(g, i), F.lit(NEAR)).alias("l"), after(i).alias("r")))
 
-MATCHES = "array<struct<m:string,b:int,l:string,r:string>>"
+    placed = _bound(F.col(gaps), lambda g: _bound(F.col(found), lambda f: _bound(F.col(steps), lambda e: place(g, f, e))))
+    return df.withColumn(f"__p_{kind}", placed).drop(gaps, found, steps, offsets)
 
 
 def _ibans() -> Column:
-    """The matches of __p_iban, which are the first four characters alone, with all that belongs to them; those where nothing passes are left out."""
-    t = F.col("__p_t")
+    """The matches of __p_iban, which are the first four characters alone, with all that belongs to them; those where nothing passes are left out.
 
+    ISO 7064 asks for remainder 1 by 97 of the number with the first four
+    characters moved to the end, letters as 10 to 35. One walk over what follows
+    them keeps the remainder and notes every end of a word at which it fits.
+    """
     def whole(x: Column) -> Column:
-        w = t.substr(x["b"] + 1, F.lit(68 + NEAR))  # 34 characters with a space between each two, and what follows
-        part = lambda k: w.substr(F.lit(1), k)
-        ends = F.filter(F.sequence(F.lit(15), F.least(F.length(w), F.lit(67))), lambda k: ~w.substr(k + 1, F.lit(1)).rlike("[A-Za-z0-9]") & part(k).rlike(r"^[A-Z0-9]++(?:\x20[A-Z0-9]++)*+$") & F.length(F.regexp_replace(part(k), " ", "")).between(15, 34) & _mod97(part(k)))
-        m = part(F.get(ends, F.size(ends) - 1))
-        return F.struct(m.alias("m"), x["b"].alias("b"), x["l"].alias("l"), w.substr(F.length(m) + 1, F.lit(NEAR)).alias("r"))
+        head = lambda i: F.ascii(F.substring(x["m"], i, 1)) - 55
+        tail = (head(1) * 100 + head(2)) * 100 + F.substring(x["m"], 3, 2).cast("int")
+        end = _bound(F.split(F.substring(x["r"], 1, REST + 1), ""), lambda chars: F.aggregate(F.sequence(F.lit(0), F.lit(REST - 1)), F.struct(F.lit(True).alias("alive"), F.lit(0).alias("n"), F.lit(0).alias("rem"), F.lit(0).alias("end")), lambda a, i: _walk(a, chars, i, tail), lambda a: a["end"]))
+        return _bound(end, lambda e: F.struct(F.when(e > 0, F.concat(x["m"], x["r"].substr(F.lit(1), e))).alias("m"), x["b"].alias("b"), x["l"].alias("l"), x["r"].substr(e + 1, F.lit(NEAR)).alias("r")))
 
     found = F.filter(F.transform("__p_iban", whole), lambda x: x["m"].isNotNull())
-    apart = F.aggregate(found, F.array().cast(MATCHES), lambda a, x: F.when((F.size(a) > 0) & (x["b"] < F.get(a, F.size(a) - 1)["b"] + F.length(F.get(a, F.size(a) - 1)["m"])), a).otherwise(F.concat(a, F.array(x))))
-    return F.when(F.col("__p_iban").isNotNull(), apart)
+    # an IBAN that begins inside another one goes
+    ends = lambda s, x: F.when(x["b"] < s, s).otherwise(x["b"] + F.length(x["m"]))
+    kept = _scan(found, F.lit(0), "array<struct<ok:boolean,x:struct<m:string,b:int,l:string,r:string>>>", ends, lambda s, x: F.struct((x["b"] >= s).alias("ok"), x.alias("x")))
+    return F.when(F.col("__p_iban").isNotNull(), F.transform(F.filter(kept, lambda k: k["ok"]), lambda k: k["x"]))
+
+
+def _walk(a: Column, chars: Column, i: Column, tail: Column) -> Column:
+    """The state after the character at i: whether all so far belong together, letters and digits, remainder, last end that fits."""
+    ch, after = F.coalesce(F.get(chars, i), F.lit("")), F.coalesce(F.get(chars, i + 1), F.lit(""))
+    code = F.ascii(ch)
+    digit, letter = code.between(48, 57), code.between(65, 90)
+    parted = (ch == " ") & ((i == 0) | (F.coalesce(F.get(chars, i - 1), F.lit("")) != " "))
+    own = digit | letter
+    alive, n = a["alive"] & (own | parted), a["n"] + own.cast("int")
+    rem = F.when(digit, (a["rem"] * 10 + code - 48) % 97).when(letter, (a["rem"] * 100 + code - 55) % 97).otherwise(a["rem"])
+    # 10^6 leaves 27
+    fits = alive & own & ~after.rlike("[A-Za-z0-9]") & n.between(11, 30) & ((rem * 27 + tail) % 97 == 1)
+    return F.when(a["alive"], F.struct(alive.alias("alive"), n.alias("n"), rem.alias("rem"), F.when(fits, i + 1).otherwise(a["end"]).alias("end"))).otherwise(a)
 
 
 def _scored(kind: str) -> Column:
@@ -181,18 +221,22 @@ def redact(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     df = with_spans(pick(docs, *columns))
     every = F.array_sort(F.transform(F.concat(*[F.col(f"__s_{k}") for k in PATTERNS]), lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), s["kind"].alias("kind"))))
     df = df.withColumn("__p_all", every)
-    kind = "array<struct<b:int,e:int,kind:string>>"
-    # overlapping spans become one, under the kind that begins first
-    merged = F.aggregate("__p_all", F.array().cast(kind), lambda a, s: F.when(
-        (F.size(a) > 0) & (s["b"] < F.element_at(a, -1)["e"]),
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["b"].alias("b"), F.greatest(F.element_at(a, -1)["e"], s["e"]).alias("e"), F.element_at(a, -1)["kind"].alias("kind")))),
-    ).otherwise(F.concat(a, F.array(s))))
-    df = df.withColumn("__p_cut", F.when(F.size("__p_all") > 0, merged))
-    t = F.col("text")
-    ended = lambda i: F.coalesce(F.get("__p_cut", i - 1)["e"], F.lit(0))
-    pieces = F.transform("__p_cut", lambda s, i: F.concat(t.substr(ended(i) + 1, s["b"] - ended(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = t.substr(F.element_at("__p_cut", -1)["e"] + 1, F.length(t))
-    df = df.withColumn("text", F.when(F.col("__p_cut").isNull(), t).otherwise(F.concat(F.array_join(pieces, ""), rest)))
+    # overlapping spans become one, under the kind that begins first: a span that begins at or after all ends so far opens one
+    marked = _scan(F.col("__p_all"), F.lit(0), "array<struct<top:int,x:struct<b:int,e:int,kind:string>>>", lambda s, x: F.greatest(s, x["e"]), lambda s, x: F.struct(s.alias("top"), x.alias("x")))
+    df = df.withColumn("__p_all", marked)
+    opens = F.filter("__p_all", lambda k: k["x"]["b"] >= k["top"])
+    df = df.withColumn("__p_cut", F.when(F.size("__p_all") > 0, opens))
+    last = F.greatest(F.element_at("__p_all", -1)["top"], F.element_at("__p_all", -1)["x"]["e"])
+    # where each ends: the highest end when the next one opens
+    t, cut = F.col("text"), F.col("__p_cut")
+    df = df.withColumn("__p_cut", F.transform(cut, lambda k, i: F.struct(k["x"]["b"].alias("b"), k["x"]["kind"].alias("kind"), k["top"].alias("from"))))
+    # each block is cut out of the text once, its pieces out of the block
+    def joined(part: Column) -> Column:
+        base = F.element_at(part, 1)["from"]
+        return _bound(t.substr(base + 1, F.element_at(part, -1)["b"] - base), lambda seg: F.array_join(F.transform(part, lambda s: F.concat(seg.substr(s["from"] - base + 1, s["b"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""))
+
+    rest = t.substr(last + 1, F.length(t))
+    df = df.withColumn("text", F.when(F.col("__p_cut").isNull(), t).otherwise(F.concat(F.array_join(F.transform(_blocks(F.col("__p_cut")), joined), ""), rest)))
     out = {"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")} if "n_chars" in columns else {}
     return df.withColumns(out).select(*columns) if out else df.select(*columns)
 

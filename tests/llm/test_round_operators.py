@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,9 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plenum.llm import conversation_repair as cr
 from plenum.llm import hard_negatives as hn
-from plenum.llm import registry
+from plenum.llm import packing, pii, registry
 from plenum.llm import url_filter as uf
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -308,3 +310,83 @@ def test_hard_negatives(spark, monkeypatch, block):
     assert got == mined(rows) and sum(got.values()) > 200
     assert hn.hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert hn.hard_negatives(df, F.lit(False)).count() == 0
+
+
+# --- earlier operators: dense texts, letters, scratch -----------------------------
+
+
+def iban(country, body):
+    """The body with check digits."""
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+def ibans_in(t):
+    """Brute force: from each head the longest end of a word that passes, none inside another."""
+    out, free = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", t):
+        b, best = m.start(), None
+        for e in range(b + 15, min(len(t), b + 67) + 1):
+            part = t[b:e]
+            plain = part.replace(" ", "")
+            if re.fullmatch(r"[A-Z0-9]+(?: [A-Z0-9]+)*", part) and 15 <= len(plain) <= 34 and not re.match("[A-Za-z0-9]", t[e:]) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                best = e
+        if best and b >= free:
+            out.append((b, best))
+            free = best
+    return out
+
+
+def test_ibans_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 25)):
+            one = iban("".join(rng.choice(list("ABGZ"), 2)), "".join(rng.choice(list("0123456789AZ"), rng.integers(11, 31))))
+            one = " ".join(one[i : i + 4] for i in range(0, len(one), 4)) if rng.random() < 0.5 else one
+            parts += [one[:-1] + "9" if rng.random() < 0.2 else one, str(rng.choice([" ", ", ", "\n", " GB82 ", " x ", "é"]))]
+        texts.append("".join(parts))
+    texts.append("GB82 WEST 1234 5698 7654 32")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_spans(df).collect()}
+    for i, t in enumerate(texts):
+        found = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("iban:")]
+        assert found == ibans_in(t), t
+    assert sum(len(ibans_in(t)) for t in texts) > 300
+    cut = {r["doc_id"]: r["text"] for r in pii.redact(df, ("doc_id", "text")).collect()}
+    assert cut[60] == "[IBAN]"
+
+
+def test_many_ibans_in_one_text(spark):
+    one = iban("GB", "WEST12345698765432"[:18])
+    df = spark.createDataFrame([(1, " ".join([one] * 8000)), (2, ", ".join([one] * 500))], "doc_id long, text string")
+    began = time.time()
+    assert {r["doc_id"]: r["n_spans"] for r in pii.pii_spans(df).collect()} == {1: 8000, 2: 500}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df, ("doc_id", "text")).collect()} == {1: " ".join(["[IBAN]"] * 8000), 2: ", ".join(["[IBAN]"] * 500)}
+    assert time.time() - began < 60
+
+
+def test_ids_of_all_letters():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    encode, plain = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for c in range(33, 0x600):
+        for text in (chr(c), f"a{chr(c)}b {chr(c)}{chr(c)}."):
+            assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_two_lazy_results_of_the_pipeline(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    a, b = corpus_pipeline.packing(spark, docs, tiny), corpus_pipeline.packing(spark, docs, tiny)
+    assert a.count() == b.count() > 0
+
+
+def test_components(spark):
+    from plenum.llm import components
+
+    chain = [10, *range(1000, 1030), 5]
+    e = spark.createDataFrame(list(zip(chain, chain[1:])) + [(2000, 2001), (3000, 3000)], "a long, b long")
+    assert {r["id"]: r["component_id"] for r in components.components(e).collect()} == dict.fromkeys(chain, 5) | {2000: 2000, 2001: 2000}
+    assert components.components(e.limit(0)).count() == 0
