@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm.common import DOCUMENT_COLUMNS, delete, materialize, recorded, table
+from plenum.llm.common import DOCUMENT_COLUMNS, delete, materialize, recorded, table, written_at
 from plenum.llm.minhash_dedup import keep_one
 from plenum.llm.packing import pack_documents
 from plenum.llm.pii import redact
@@ -16,19 +18,27 @@ from plenum.llm.suffix_dedup import without_repeats
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch folders of the last stage that ran.
-_spent: list[str] = []
+#: Scratch that stages have made, by folder of tables and stage: when, and the paths. A run has its own.
+_spent: contextvars.ContextVar[dict[tuple[str, str], tuple[float, list[str]]]] = contextvars.ContextVar("spent", default={})
 
 
 def stage(f: Stage) -> Stage:
-    """f, which first deletes the scratch of the stage before: its result is stored by now, and docs is that result."""
+    """f, which first deletes the scratch of the stage before it, once docs is that stage's result: a table written since.
+
+    The scratch of other runs, and of a stage called twice, stays: a result
+    that is still lazy reads it.
+    """
     @functools.wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles() if _spent else []
-        delete(spark, *[p for p in _spent if not any(p.rpartition("/")[2] in x for x in files)])
+        spent, names = _spent.get(), [n for n, _ in STAGES]
+        before = names.index(f.__name__) - 1
+        made, paths = spent.get((sf_dir, names[before]), (0.0, [])) if before >= 0 else (0.0, [])
+        if paths and written_at(docs) >= made:
+            delete(spark, *paths)
+            del spent[sf_dir, names[before]]
         with recorded() as paths:
             out = f(spark, docs, sf_dir)
-        _spent[:] = paths
+        spent[sf_dir, f.__name__] = (time.time(), paths)
         return out
 
     return call
@@ -72,7 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    token = _spent.set({})
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _spent.reset(token)
