@@ -26,7 +26,18 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plenum/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored has written for these, once nothing reads them any more; frames of other origin are left alone."""
+    for df in frames:
+        path = getattr(df, "stored_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,17 +58,22 @@ def components(edges: DataFrame) -> DataFrame:
         back = first.select(F.col("a").alias("to"), F.col("to").alias("back"))
         up = stored(first.join(back, "to", "left").select(F.col("a").alias("node"), F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("to")), F.col("a")).otherwise(F.col("to")).alias("to")))
         while True:
-            new = stored(up.withColumnRenamed("to", "old").join(up.select(F.col("node").alias("old"), "to"), "old").select("node", "old", "to"))
-            up = new.select("node", "to")
+            new = stored(up.select("node", F.col("to").alias("old")).join(up.select(F.col("node").alias("old"), "to"), "old").select("node", "old", "to"))
+            forget(up)
+            up = new
             if new.filter("old <> to").isEmpty():
                 break
         maps.append(up)
         a, b = up.select(F.col("node").alias("a"), F.col("to").alias("ra")), up.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        both = stored(both.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        last, both = both, stored(both.join(a, "a").join(b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        forget(last)
+    forget(both)
     label = maps.pop()
     while maps:
-        label = stored(maps.pop().join(label.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left").select("node", F.coalesce("further", "to").alias("to")))
-    return label.withColumnRenamed("to", "component")
+        last, up = label, maps.pop()
+        label = stored(up.join(last.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        forget(last, up)
+    return label.select("node", F.col("to").alias("component"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -49,30 +49,38 @@ query("relation_degrees", "select node, cast(sum(o) as bigint) as out_weight, ca
 query("area_chain", "select n.n_name as id, r_name as up1, cast(null as varchar) as up2 from nation n join region on n_regionkey=r_regionkey union all select r_name, null, null from region", view=False)(lambda s, d: gr.ancestors(table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("r_name").alias("parent_id")).union(table(s, d, "region").select("r_name", F.lit(None).cast("string")))))
 
 
+BINARY = {"least_votes": 5, "least_voters": 5}
+
+
 @query("scaled_voters")
 def scaled_voters(s, d):
-    b = sc.binary(votes(s, d), least_votes=5, least_voters=5)
-    voters, _, _ = sc.scale(b)
-    return voters.select("voter_id", F.get("x", F.lit(0)).alias("dim_1"), F.get("x", F.lit(1)).alias("dim_2"))
+    """All terms as one run, with the term in which a voter votes most."""
+    b = sc.binary(votes(s, d), **BINARY)
+    voters, _, how = sc.scale(b)
+    return voters.join(sc.main_term(b), "voter_id").select("voter_id", "label", F.get("x", F.lit(0)).alias("dim_1"), F.get("x", F.lit(1)).alias("dim_2"), F.lit(how["converged"]).alias("converged"))
+
+
+def _terms(s, d):
+    """Votes of every term as a run; terms without enough votes are left out."""
+    return sc.binary(votes(s, d), by=("leg",), **BINARY).withColumn("run", F.col("leg"))
 
 
 @query("aligned_terms")
 def aligned_terms(s, d):
-    """Each term scaled by itself and turned onto the one before; terms without enough votes are left out."""
-    v = gr.stored(votes(s, d))
-    legs, terms = [], []
-    for k in range(7):  # the calendar's seven terms
-        try:
-            b = sc.binary(v.filter(F.col("leg") == k), least_votes=5, least_voters=5)
-        except ValueError:
-            continue
-        voters, _, _ = sc.scale(b)
-        legs.append(k)
-        terms.append(voters.select("voter_id", F.get("x", F.lit(0)).alias("d1"), F.get("x", F.lit(1)).alias("d2")))
-    got = s.createDataFrame([], "voter_id long, d1 double, d2 double, leg long")
-    for k, t in zip(legs, sc.align_chain(terms) if terms else []):
-        got = got.unionByName(t.withColumn("leg", F.lit(k).cast("long")))
-    return got
+    """Each term scaled by itself and turned onto the one before."""
+    voters, _, how = sc.scale_runs(_terms(s, d))
+    at = voters.select("run", "voter_id", F.get("x", F.lit(0)).alias("d1"), F.get("x", F.lit(1)).alias("d2"))
+    converged = F.element_at(F.create_map(*[F.lit(x) for r, f in how.items() for x in (r, f["converged"])]), F.col("run").cast("int"))
+    return sc.align_runs(at)[0].select("voter_id", "d1", "d2", F.col("run").alias("leg"), converged.alias("converged"))
+
+
+@query("scaling_fit")
+def scaling_fit(s, d):
+    """How well the scaling of each term tells its votes."""
+    b = _terms(s, d)
+    voters, events, how = sc.scale_runs(b)
+    fits = s.createDataFrame([(r, f["beta"], f["w"], f["iterations"], f["converged"]) for r, f in how.items()], "run long, beta double, w double, iterations int, converged boolean")
+    return sc.fit_runs(b, voters, events, how).join(fits, "run").withColumnRenamed("run", "leg")
 
 
 # --- streams ----------------------------------------------------------------------

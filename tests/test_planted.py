@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenum.functions import rules
-from plenum.llm import components
-from plenum.operators import agreement, graph, panel, power, quality, resolve, scaling, stats, tally, windows
+from plenum.operators import agreement, graph, linear, panel, power, quality, resolve, scaling, stats, tally, windows
 from plenum.plans import catalog, catalog_graph
 from plenum.sources import pages, store
 from plenum.streaming import ingest
@@ -109,15 +108,79 @@ def test_rotation_is_undone(spark):
     assert np.abs(back - p).max() < 1e-9 and how["disparity"] < 1e-9
 
 
-def test_scaling_parts_the_blocks(spark):
-    rng = np.random.default_rng(1)
-    rows = [(e, v, "a_favor" if rng.random() < (0.9 if (v < 6) == (e % 2 == 0) else 0.1) else "en_contra", 0, 0) for e in range(24) for v in range(12)]
-    votes = spark.createDataFrame(rows, "vote_event_id long, voter_id long, option string, grp long, leg long")
-    b = scaling.binary(votes)
-    voters, events, how = scaling.scale(b, iterations=1, power_rounds=3)
-    x = {r["voter_id"]: r["x"][0] for r in voters.collect()}
-    assert {x[v] > 0 for v in range(6)} != {x[v] > 0 for v in range(6, 12)} and len({x[v] > 0 for v in range(6)}) == 1
-    assert scaling.fit(b, voters, events, how["beta"], how["w"]).first()["classified"] > 0.8
+def test_chain_of_runs(spark):
+    """Three runs turned and shifted, the third with the first alone by common voters of the second too few."""
+    rng = np.random.default_rng(2)
+    p = rng.standard_normal((30, 2))
+    p -= p.mean(0)
+    turn = lambda a: np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]])
+    runs = {0: (p, range(30)), 1: (p @ turn(1.0) * 3 + 5, range(30)), 2: (p @ turn(2.0) + 1, range(4)), 3: (p @ turn(-0.5) * 0.2, range(30))}
+    rows = [(r, v, float(m[v, 0]), float(m[v, 1])) for r, (m, who) in runs.items() for v in who]
+    got, how = scaling.align_runs(spark.createDataFrame(rows, "run long, voter_id long, d1 double, d2 double"))
+    at = {(r["run"], r["voter_id"]): (r["d1"], r["d2"]) for r in got.collect()}
+    for r in (1, 3):
+        assert np.abs(np.array([at[r, v] for v in range(30)]) - p).max() < 1e-9 and how[r]["disparity"] < 1e-9
+    assert how[3]["onto"] == 1 and how[2]["disparity"] is None
+    assert np.abs(np.array([at[2, v] for v in range(4)]).mean(0) - p[:4].mean(0)).max() < 1e-9
+
+
+def test_singular_vectors(spark):
+    """Against a dense decomposition of the filled and centred matrix, two runs at once."""
+    rng = np.random.default_rng(0)
+    rows = [(r, v, e, int(rng.random() < 0.5 + 0.4 * ((v + e + r) % 2))) for r in (3, 5) for v in range(16) for e in range(25) if rng.random() < 0.7]
+    u, values = linear.centred_svd(spark.createDataFrame(rows, "run long, voter_id long, vote_event_id long, y int"), rounds=40, tolerance=1e-9)
+    got = {(r["run"], r["voter_id"]): (r["c0"], r["c1"]) for r in u.collect()}
+    for run in (3, 5):
+        m = np.full((16, 25), 0.5)
+        for r, v, e, y in rows:
+            if r == run:
+                m[v, e] = y
+        left, size, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
+        assert values[run] == pytest.approx(size[:2], rel=1e-6)
+        assert np.abs(np.abs([got[run, v] for v in range(16)]) - np.abs(left[:, :2] * size[:2])).max() < 1e-2
+
+
+def drawn_votes(runs, n_voters, n_events, seed):
+    """Places of voters, and votes drawn from the model."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-0.7, 0.7, (n_voters, 2))
+    rows = []
+    for run in runs:
+        for e in range(n_events):
+            o, p = (np.tile(rng.uniform(-0.5, 0.5, 2), (n_voters, 1)) for _ in range(2))
+            yea = np.exp(scaling.log_likelihood(x, o, p, np.ones(n_voters), 8.0, 0.8))
+            rows += [(run, v, 1000 * run + e, int(rng.random() < yea[v])) for v in range(n_voters) if rng.random() < 0.9]
+    return x, rows
+
+
+@pytest.mark.parametrize("hot", [100_000, 45])
+def test_scaling_recovers_places(spark, monkeypatch, hot):
+    """Places up to a linear map, for two runs in the same jobs; also where groups are spread over tasks."""
+    monkeypatch.setattr(scaling, "HOT", hot)
+    x, rows = drawn_votes((1, 2) if hot > 1000 else (1,), 50, 120, 3)
+    b = spark.createDataFrame(rows, "run long, voter_id long, vote_event_id long, y int").cache()
+    voters, events, how = scaling.scale_runs(b, **({} if hot > 1000 else {"iterations": 12}))
+    assert hot < 1000 or all(f["converged"] for f in how.values())
+    for run in how:
+        got = {r["voter_id"]: r["x"] for r in voters.filter(F.col("run") == run).collect()}
+        a = np.c_[np.array([got[v] for v in range(50)]), np.ones(50)]
+        rest = x - a @ np.linalg.lstsq(a, x, rcond=None)[0]
+        assert 1 - (rest**2).sum() / ((x - x.mean(0)) ** 2).sum() > 0.85
+    fit = {r["run"]: r for r in scaling.fit_runs(b, voters, events, how).collect()}
+    assert all(fit[r]["classified"] > 0.8 and (hot < 1000 or fit[r]["log_likelihood"] == pytest.approx(how[r]["log_likelihood"], rel=1e-6)) for r in how)
+
+
+def test_slopes_of_the_model():
+    rng = np.random.default_rng(6)
+    x, o, p = (rng.standard_normal((40, 2)) * 0.5 for _ in range(3))
+    y, beta, w = rng.integers(0, 2, 40), np.full(40, 5.0), np.full(40, 0.6)
+    _, rise, _, in_x, in_p = scaling.slopes(x, o, p, y, beta, w)
+    h = 1e-3
+    for k in range(2):
+        d = np.zeros(2)
+        d[k] = h
+        assert np.allclose((scaling.log_likelihood(x + d, o, p, y, beta, w) - scaling.log_likelihood(x - d, o, p, y, beta, w)) / (2 * h), rise * in_x[:, k], atol=2e-3)
+        assert np.allclose((scaling.log_likelihood(x, o, p + d, y, beta, w) - scaling.log_likelihood(x, o, p - d, y, beta, w)) / (2 * h), rise * in_p[:, k], atol=2e-3)
 
 
 def test_loading_twice_adds_nothing(spark, tmp_path):
@@ -148,8 +211,6 @@ def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame(pairs, "a long, b long")
     want = dict.fromkeys(chain, 5) | {2000: 2000, 2001: 2000}
     assert {r["node"]: r["component"] for r in graph.components(e).collect()} == want | {3000: 3000}
-    assert {r["id"]: r["component_id"] for r in components.components(e).collect()} == want
-    assert components.components(e.limit(0)).count() == 0
 
 
 def all_betweenness(pairs):
@@ -207,27 +268,27 @@ def test_communities_rise_until_none_moves(spark):
     assert agreement.modularity(e, parts).first()["modularity"] > 0.86
 
 
-def test_scaling_queries_go_on_until_it_settles(spark, monkeypatch):
-    """Two terms; the scaling is replaced by one that notes how it was called and turns the second term."""
+def test_scaling_queries(spark, monkeypatch):
+    """Terms are runs of one scaling, and all terms one run with labels; as many turns as it takes."""
     import datetime
 
-    rows = [(20 * g + e, v, "a_favor" if (v < 12) == (e % 2 == 0) else "en_contra", 0, g, datetime.date(2020, 1, 1), "D", "mayoria_simple") for g in (2, 3) for e in range(10) for v in range(24)]
+    rows = [(20 * g + e, v, "a_favor" if (v < 12) == (e % 2 == 0) else "en_contra", 0, g, datetime.date(2020, 1, 1), "D", "mayoria_simple") for g in (2, 3) for e in range(10 + g) for v in range(24)]
     monkeypatch.setattr(catalog_graph, "votes", lambda s, d: spark.createDataFrame(rows, VOTE))
     calls = []
 
-    def scale(b, dims=2, **options):
-        calls.append((options, {r["leg"] for r in b.select("leg").distinct().collect()}))
-        side = -1.0 if calls[-1][1] == {3} else 1.0
+    def scale_runs(b, dims=2, **options):
+        runs = sorted(r["run"] for r in b.select("run").distinct().collect())
+        calls.append((runs, options))
+        side = F.when(F.col("run") == 3, -1.0).otherwise(1.0)
         x, y = (F.col("voter_id") - 11.5) * side, (F.col("voter_id") % 5) * side
-        return b.select("voter_id").distinct().select("voter_id", F.array(x.cast("double"), y.cast("double")).alias("x")), None, {}
+        return b.select("run", "voter_id").distinct().select("run", "voter_id", F.array(x.cast("double"), y.cast("double")).alias("x")), b.select("run"), {r: {"converged": True} for r in runs}
 
-    defaults = scaling.scale.__defaults__
-    monkeypatch.setattr(scaling, "scale", scale)
+    monkeypatch.setattr(scaling, "scale_runs", scale_runs)
     got = {(r["leg"], r["voter_id"]): (r["d1"], r["d2"]) for r in catalog.QUERIES["aligned_terms"](spark, "").collect()}
-    assert [c[1] for c in calls] == [{2}, {3}] and len(got) == 48
+    assert calls == [([2, 3], {})] and len(got) == 48
     assert all(got[3, v] == pytest.approx(got[2, v]) for v in range(24))
-    catalog.QUERIES["scaled_voters"](spark, "")
-    assert all(not c[0] for c in calls) and defaults[1:3] == (100, 1e-5)
+    one = catalog.QUERIES["scaled_voters"](spark, "").collect()
+    assert calls[1] == ([0], {}) and {r["label"] for r in one} == {3} and len(one) == 24
 
 
 def test_fuzzy_names_of_other_initials(spark):
