@@ -156,4 +156,4 @@ def _power_by_term(s, d):
 query("power_by_term", EMPIRICAL_BY_TERM + ", " + INDICES.lstrip("#\n ") + " select leg, grp, seats, nominal, shapley, banzhaf, n_critical, n_events, power from pi join em using (leg, grp) where quota_kind='simple'")(_power_by_term)
 
 
-from . import catalog_graph, catalog_pages, catalog_people, catalog_quality, catalog_repair, catalog_rules, catalog_text  # noqa: E402, F401
+from . import catalog_evolution, catalog_graph, catalog_pages, catalog_people, catalog_quality, catalog_repair, catalog_rules, catalog_text  # noqa: E402, F401

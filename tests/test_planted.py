@@ -299,3 +299,32 @@ def test_fuzzy_names_of_other_initials(spark):
     assert got[7] == got[9001] == (1, 0.9375) and got[9000] == (3, round(10 / 11, 6))
     near = [i for i in range(2500) if sum(a != b for a, b in zip(f"{i:04d}", "9007")) <= 2]
     assert set(near) <= set(got)
+
+
+def test_communities_of_each_window(spark):
+    """Three windows in one loop: two cliques, three cliques, and one pair; and the measures of each."""
+    from plenum.operators import evolution
+
+    def cliques(w, groups):
+        at = [(w, min(a, b), max(a, b), 1.0) for g in groups for i, a in enumerate(g) for b in g[i + 1 :]]
+        return at + [(w, min(g[0], h[1]), max(g[0], h[1]), 0.3) for g, h in zip(groups, groups[1:])]
+
+    one, two = [list(range(6)), list(range(6, 12))], [list(range(0, 12, 3)), list(range(1, 12, 3)), list(range(2, 12, 3))]
+    rows = cliques("a", one) + cliques("b", two) + [("c", 1, 2, 1.0), ("c", 3, 4, 0.5)]
+    edges = spark.createDataFrame(rows, "window_id string, a long, b long, weight double").cache()
+    parts = evolution.communities(edges)
+    got = {(r["window_id"], r["voter_id"]): r["part"] for r in parts.collect()}
+    assert got == {(w, v): min(g) for w, groups in (("a", one), ("b", two), ("c", [[1, 2], [3, 4]])) for g in groups for v in g}
+    each = {r["window_id"]: r["modularity"] for r in evolution.modularity(edges, parts).collect()}
+    for w in "abc":
+        whole = agreement.modularity(edges.filter(F.col("window_id") == w), parts.filter(F.col("window_id") == w).select("voter_id", "part")).first()["modularity"]
+        assert each[w] == pytest.approx(whole, abs=2e-6)
+
+
+def test_communities_of_windows_as_of_one_graph(spark):
+    """A ring of cliques as one window rises as high as by itself."""
+    from plenum.operators import evolution
+
+    pairs = [(5 * c + i, 5 * c + j, 1.0) for c in range(12) for i in range(5) for j in range(i + 1, 5)] + [(5 * c, (5 * c + 7) % 60, 1.0) for c in range(12)]
+    e = spark.createDataFrame([("w", min(a, b), max(a, b), w) for a, b, w in pairs], "window_id string, a long, b long, weight double")
+    assert evolution.modularity(e, evolution.communities(e)).first()["modularity"] > 0.8
