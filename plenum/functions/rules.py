@@ -211,3 +211,47 @@ def with_identifier(identifiers: Column, scheme: str, value: Column) -> Column:
     of_list = F.map_from_entries(F.transform(F.filter(listed, lambda x: x["scheme"].isNotNull()), lambda x: F.struct(x["scheme"], F.coalesce(x["identifier"], F.lit("")))))
     known = F.coalesce(F.when(F.trim(identifiers).startswith("["), of_list).when(F.trim(identifiers).startswith("{"), mapped), F.create_map().cast("map<string,string>"))
     return F.to_json(F.map_concat(F.map_filter(known, lambda k, _: k != scheme), F.create_map(F.lit(scheme), value.cast("string"))))
+
+
+# The year in which a term ends, and the term of all that comes later.
+TERM_UNTIL = {"LX": 2009, "LXI": 2012, "LXII": 2015, "LXIII": 2018, "LXIV": 2021}
+LAST_TERMS = ("LXV", "LXVI")
+
+
+def term_by_cutoffs(date: Column) -> Column:
+    """The term of a date by the years in which terms end; the last but one ends with August 2024. No date gives the last term."""
+    year = F.year(date)
+    out = F.when(date.isNull(), LAST_TERMS[1])
+    for term, end in TERM_UNTIL.items():
+        out = out.when(year < end, term)
+    return out.when(date < F.lit("2024-09-01").cast("date"), LAST_TERMS[0]).otherwise(LAST_TERMS[1])
+
+
+# Spellings of parties, and of periods, that are compared between chambers; periods that are compared as one.
+COMPARED_PARTY = {
+    "Morena": "MORENA", "Partido Accion Nacional (PAN)": "PAN", "Partido Acción Nacional (PAN)": "PAN", "Partido Revolucionario Institucional (PRI)": "PRI", "Partido Verde Ecologista de Mexico (PVEM)": "PVEM",
+    "Partido Verde Ecologista de México (PVEM)": "PVEM", "Partido del Trabajo (PT)": "PT", "Movimiento Ciudadano (MC)": "MC", "Partido de la Revolucion Democratica (PRD)": "PRD", "Partido de la Revolución Democrática (PRD)": "PRD",
+    "Convergencia": "CONV", "Nueva Alianza": "NA", "NUEVA ALIANZA": "NA",
+}
+COMPARED_PERIOD = {
+    "LX (06-09)": "LX (2006-09)", "LX+ (2006-09-29 a 2010-04-29)": "LX/LXI (2006-10)", "LXI (09-12)": "LXI (2009-12)", "LXII (12-13)": "LXII (2012-15)", "LXII (12-15)": "LXII (2012-15)", "LXIII (15-18)": "LXIII (2015-18)",
+    "LXIV (18-19)": "LXIV (2018-21)", "LXIV (18-21)": "LXIV (2018-21)", "LXV (21-23)": "LXV/LXVI (2021-26)", "LXV+ (2021-12-15 a 2026-03-25)": "LXV/LXVI (2021-26)", "LXVI (24-26)": "LXVI (2024-26)",
+}
+JOINT_PERIOD = {"LX/LXI (2006-10)": "LX-LXI (2006-12)", "LX (2006-09)": "LX-LXI (2006-12)", "LXI (2009-12)": "LX-LXI (2006-12)", "LXV/LXVI (2021-26)": "LXV+ (2021-26)", "LXVI (2024-26)": "LXV+ (2021-26)"}
+
+
+def _spelled(value: Column, known: dict[str, str]) -> Column:
+    """The known form of a value, else the value without outer spaces."""
+    plain = F.trim(value)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), plain), plain)
+
+
+def compared_party(name: Column) -> Column:
+    """The short name under which both chambers' parties are compared; ??? without a name."""
+    return F.when(name.isNull() | (name == ""), "???").otherwise(_spelled(name, COMPARED_PARTY))
+
+
+def compared_period(label: Column, joint: bool = False) -> Column:
+    """The label under which both chambers' periods are compared; joint: of the longer spans for which both have data."""
+    out = _spelled(label, COMPARED_PERIOD)
+    return _spelled(out, JOINT_PERIOD) if joint else out

@@ -115,3 +115,9 @@ def heat_states(votes: DataFrame) -> DataFrame:
 def grouped_counts(votes: DataFrame) -> DataFrame:
     """(vote_event_id, option, grp, n): counts by party, and the event's total with a null party."""
     return votes.rollup("vote_event_id", "option", "grp").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")).filter("g <= 1").drop("g")
+
+
+def most_critical(votes: DataFrame, n: int = 8) -> DataFrame:
+    """(grp, n_critical): the n parties that are pivotal in most events, of those that ever are; ties by party."""
+    hits = critical_parties(votes).filter("critical").groupBy("grp").agg(F.count(F.lit(1)).alias("n_critical"))
+    return hits.orderBy(F.desc("n_critical"), "grp").limit(n)

@@ -155,5 +155,7 @@ def _power_by_term(s, d):
 
 query("power_by_term", EMPIRICAL_BY_TERM + ", " + INDICES.lstrip("#\n ") + " select leg, grp, seats, nominal, shapley, banzhaf, n_critical, n_events, power from pi join em using (leg, grp) where quota_kind='simple'")(_power_by_term)
 
+query("most_critical_parties", TALLY + " select grp, count(*) as n_critical from crit where critical group by 1 order by 2 desc, 1 limit 8")(lambda s, d: ta.most_critical(votes(s, d)))
+query("vertex_centralities", EDGES + ", ends as (select a as v, weight from edges union all select b, weight from edges), s as (select v as voter_id, count(*) as n_neighbours, round(sum(weight),6) as strength from ends group by 1) select p.voter_id, p.party, coalesce(n_neighbours,0) as n_neighbours, coalesce(strength,0) as strength, coalesce(round(strength/(select max(strength) from s),6),0) as centrality from party p left join s using (voter_id)")(lambda s, d: ag.centralities(ag.edges(votes(s, d)), ag.primary_party(votes(s, d))))
 
 from . import catalog_evolution, catalog_graph, catalog_pages, catalog_people, catalog_quality, catalog_repair, catalog_rules, catalog_text  # noqa: E402, F401

@@ -108,3 +108,37 @@ def _finished(s, frame, mode: str):
 
 query("stream_buckets", "select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as start, event_type, count(*) as n from events group by 1, 2", view=False)(lambda s, d: _finished(s, ing.buckets(_events(s, d), "ts", "event_type", "1 day"), "complete"))
 query("stream_tally", "select user_id % 10 as vote_event_id, count(*) filter (event_type='click') as a_favor, count(*) filter (event_type='view') as en_contra from events group by 1", view=False)(lambda s, d: _finished(s, ing.live_tally(_events(s, d).select((F.col("user_id") % 10).alias("vote_event_id"), F.lit("mayoria_simple").alias("requirement"), F.when(F.col("event_type") == "click", "a_favor").when(F.col("event_type") == "view", "en_contra").otherwise("ausente").alias("option"))), "complete").select("vote_event_id", "a_favor", "en_contra"))
+query("stream_sliding", "with e as (select *, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as t from events) select t - interval (6 * k) hour as start, event_type, count(*) as n from e, range(4) r(k) group by 1, 2", view=False)(lambda s, d: _finished(s, ing.buckets(_events(s, d), "ts", "event_type", "24 hours", "6 hours"), "complete"))
+query("stream_sessions", """with e as (select user_id % 50 as who, ts, lag(ts) over (partition by user_id % 50 order by ts) as before from events), f as (select who, ts, sum(case when before is null or ts - before >= interval 30 minute then 1 else 0 end) over (partition by who order by ts rows unbounded preceding) as k from e)
+ select who, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from f group by who, k""", view=False)(lambda s, d: _finished(s, ing.sessions(_events(s, d).withColumn("who", F.col("user_id") % 50), "ts", "who", "30 minutes"), "complete"))
+
+
+def _arriving(s, d, copies: int = 1):
+    """The votes as a stream of three files, voters of an event in each; further copies of them come after."""
+    path = f"{gr.shared_folder(s)}/plenum/arriving-{uuid.uuid4().hex}"
+    v = votes(s, d).select("vote_event_id", "voter_id", "option")
+    for k in range(copies):
+        v.repartition(3, "voter_id").write.mode("append").parquet(path)
+    return ing.read(s, path, v.schema), path
+
+
+@query("stream_agreement", "select x.voter_id as a, y.voter_id as b, count(*) as n_shared, cast(sum(case when x.option=y.option then 1 else 0 end) as bigint) as n_agree from votes x join votes y on x.vote_event_id=y.vote_event_id and x.voter_id<y.voter_id where x.option<>'ausente' and y.option<>'ausente' group by 1, 2")
+def stream_agreement(s, d):
+    """Edges kept batch by batch; every vote arrives twice."""
+    stream, path = _arriving(s, d, copies=2)
+    q = ing.agreement_stream(stream, f"{path}-edges", f"{path}-state")
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return ing.agreement_so_far(s, f"{path}-edges")
+
+
+@query("stream_votes", "select vote_event_id, voter_id, option from votes")
+def stream_votes(s, d):
+    """Votes that arrive twice are loaded once."""
+    stream, path = _arriving(s, d, copies=2)
+    q = ing.append_new(stream, f"{path}-table", ["vote_event_id", "voter_id"], f"{path}-state")
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return s.read.schema(stream.schema).parquet(f"{path}-table")

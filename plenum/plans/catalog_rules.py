@@ -11,7 +11,7 @@ from plenum.functions import parties as pa
 from plenum.functions import rules as ru
 
 from .base import query
-from .views import table
+from .views import table, votes
 
 
 def text(value: str | int | None) -> str:
@@ -85,3 +85,8 @@ def resolved_organisations(s, d):
         .when(F.col("c_custkey") % 7 == 3, F.lower(F.substring(name, 1, 4))).when(F.col("c_custkey") % 7 == 4, "TOTAL").when(F.col("c_custkey") % 7 == 5, "01/02/2024").otherwise(F.concat(F.lit("New "), F.col("c_nationkey").cast("string")))
     ).alias("ref"))
     return pa.resolve(refs, orgs).select("c_custkey", "ref", "org_id", "created")
+rule("compared_parties", ru.compared_party, [("Morena", "MORENA"), ("Partido Acción Nacional (PAN)", "PAN"), (" Nueva Alianza ", "NA"), ("Otro ", "Otro"), ("", "???"), (None, "???"), ("PRD", "PRD")])
+rule("compared_periods", ru.compared_period, [("LXII (12-13)", "LXII (2012-15)"), ("LXV (21-23)", "LXV/LXVI (2021-26)"), (" LX (06-09)", "LX (2006-09)"), ("LXX", "LXX"), (None, None)])
+rule("joint_periods", lambda c: ru.compared_period(c, joint=True), [("LXI (09-12)", "LX-LXI (2006-12)"), ("LXVI (24-26)", "LXV+ (2021-26)"), ("LXIII (15-18)", "LXIII (2015-18)"), ("LX+ (2006-09-29 a 2010-04-29)", "LX-LXI (2006-12)")])
+query("cutoff_terms", "select vote_event_id, start_date, case when year(start_date)<2009 then 'LX' when year(start_date)<2012 then 'LXI' when year(start_date)<2015 then 'LXII' when year(start_date)<2018 then 'LXIII' when year(start_date)<2021 then 'LXIV' when year(start_date)*100+month(start_date)<202409 then 'LXV' else 'LXVI' end as term from (select distinct vote_event_id, start_date from votes)")(
+    lambda s, d: votes(s, d).select("vote_event_id", "start_date").distinct().withColumn("term", ru.term_by_cutoffs(F.col("start_date"))))

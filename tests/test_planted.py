@@ -328,3 +328,21 @@ def test_communities_of_windows_as_of_one_graph(spark):
     pairs = [(5 * c + i, 5 * c + j, 1.0) for c in range(12) for i in range(5) for j in range(i + 1, 5)] + [(5 * c, (5 * c + 7) % 60, 1.0) for c in range(12)]
     e = spark.createDataFrame([("w", min(a, b), max(a, b), w) for a, b, w in pairs], "window_id string, a long, b long, weight double")
     assert evolution.modularity(e, evolution.communities(e)).first()["modularity"] > 0.8
+
+
+def test_a_batch_given_again_changes_nothing(spark, tmp_path):
+    """Edges by batches, one of them repeated and one repeated after a failure, equal those of all votes at once."""
+    rng = np.random.default_rng(9)
+    rows = [(e, v, ["a_favor", "en_contra", "abstencion", "ausente"][rng.integers(4)]) for e in range(6) for v in range(8)]
+    frame = lambda r: spark.createDataFrame(r, ingest.VOTE)
+    folder = str(tmp_path / "edges")
+    first, second, third = rows[::3], rows[1::3] + rows[:6], rows[2::3]
+    ingest.merge_agreement(frame(first), 0, folder)
+    ingest.merge_agreement(frame(second), 1, folder)
+    ingest.merge_agreement(frame(second), 1, folder)
+    ingest.merge_agreement(frame(third), 2, folder)
+    frame(third[:1]).write.mode("overwrite").parquet(f"{folder}/votes/batch=2")  # as left by a task that was lost
+    ingest.merge_agreement(frame(third), 2, folder)
+    got = {tuple(r) for r in ingest.agreement_so_far(spark, folder).collect()}
+    want = {tuple(r) for r in agreement.agreement(frame(rows)).select("a", "b", "n_shared", "n_agree").collect()}
+    assert got == want and ingest.agreement_so_far(spark, str(tmp_path / "none")).count() == 0
