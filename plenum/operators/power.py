@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import stored
+
 MAX_PARTIES = 16
 
 
@@ -35,6 +37,7 @@ def indices(seats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     Each coalition is a bit mask, exploded per game; a party swings a losing
     coalition without it that wins with it. Games of more parties raise.
     """
+    seats = stored(seats)  # a few rows, read several times
     game = seats.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("grp", "seats"))).alias("parties"))
     game = game.withColumn("n", F.size("parties")).withColumn("n", F.when(F.col("n") <= MAX_PARTIES, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {MAX_PARTIES} parties"))))
     game = game.join(quotas(seats, by), list(by)) if by else game.crossJoin(quotas(seats))  # three rows

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered_rows
+
 
 def exact(left: DataFrame, right: DataFrame, key: str, target: str) -> DataFrame:
     """left plus the smallest target among right rows of the same key."""
@@ -67,6 +69,7 @@ def term_of(rows: DataFrame, terms: DataFrame, at: str) -> DataFrame:
 
 
 def numbered(new: DataFrame, prefix: str, order: list[str], start: int = 0, width: int = 5) -> DataFrame:
-    """new plus `id`: prefix and running number. For batches of new entities; one ordered pass."""
-    n = F.row_number().over(Window.orderBy(*order)) + start
-    return new.withColumn("id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+    """new plus `id`: prefix and running number, filled with zeros to a width and longer beyond it."""
+    rows = numbered_rows(new, order, "__n")
+    n = (F.col("__n") + start).cast("string")
+    return rows.withColumn("id", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.length(n), F.lit(width)), F.lit("0")))).drop("__n")

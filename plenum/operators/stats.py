@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from .order import average_ranks
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -68,12 +69,6 @@ def correlation(x: str, y: str):
     return F.when(spread > 0, F.covar_samp(x, y) / F.when(spread > 0, spread))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, into: str = "rank") -> DataFrame:
-    """Ranks from 1 within keys, ties sharing their mean."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(into, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
-
-
 def mann_whitney(df: DataFrame, keys: list[str], group: str, one: str, two: str, value: str) -> DataFrame:
     """(keys, n_a, n_b, u, z): U of the first group and its tie-corrected normal deviate."""
     r = average_ranks(df.filter(F.col(group).isin(one, two) & F.col(value).isNotNull()), keys, value)
@@ -87,7 +82,7 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, one: str, two: str,
 
 def wilcoxon(df: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, W+ and W- of the non-zero values, and the tie-corrected normal deviate."""
-    r = average_ranks(df.filter(F.col(value) != 0).select(F.abs(value).alias("x"), (F.col(value) > 0).alias("up"), F.lit(1).alias("k"), F.col(value).alias("v")), ["k"], "x")
+    r = average_ranks(df.filter(F.col(value) != 0).select(F.abs(value).alias("x"), (F.col(value) > 0).alias("up"), F.col(value).alias("v")), [], "x")
     ties = r.groupBy("x").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     g = r.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_delta"), F.coalesce(F.sum(F.when(F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_minus")).crossJoin(ties)  # one row each
     n = F.col("n")
@@ -97,7 +92,7 @@ def wilcoxon(df: DataFrame, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n and rank correlation of a small table (terms, parties); under three rows null."""
-    r = average_ranks(average_ranks(df.select(F.lit(1).alias("k"), x, y).dropna(), ["k"], x, "rx"), ["k"], y, "ry")
+    r = average_ranks(average_ranks(df.select(x, y).dropna(), [], x, "rx"), [], y, "ry")
     return r.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.round(correlation("rx", "ry"), 6)).alias("rho"))
 
 

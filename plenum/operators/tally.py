@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from plenum.functions.rules import OPTIONS, majority_needed, outcome, percent, position
 
+from .graph import stored
+
 
 def by_party(votes: DataFrame) -> DataFrame:
     """(vote_event_id, requirement, grp, a_favor, en_contra, abstencion, ausente, attending)."""
@@ -30,26 +32,36 @@ def positions(votes: DataFrame) -> DataFrame:
     return by_party(votes).select("vote_event_id", "grp", position(F.col("a_favor"), F.col("en_contra"), F.col("attending")).alias("position"))
 
 
+def judged(votes: DataFrame, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """by_party's rows with the totals of their event (e_ before the name), its result and needed majority, and more.
+
+    From one pass over the votes: what an event has in all is summed over its
+    parties' rows, of which there are few. side, total: the party's and all
+    parties' votes on the winning side; critical; first: one row of each event.
+    by: further keys; carry: columns of which an event's smallest value goes along.
+    """
+    n = votes.groupBy(*by, "vote_event_id", "requirement", "grp").agg(*[F.count_if(F.col("option") == o).alias(o) for o in OPTIONS], F.count(F.lit(1)).alias("seats"), *[F.min(c).alias(c) for c in carry])
+    n = n.withColumn("attending", F.col("a_favor") + F.col("en_contra") + F.col("abstencion"))
+    event = Window.partitionBy(*by, "vote_event_id", "requirement")
+    n = n.withColumns({f"e_{c}": F.sum(c).over(event) for c in (*OPTIONS, "attending", "seats")} | {c: F.min(c).over(event) for c in carry} | {"first": F.row_number().over(event.orderBy("grp")) == 1})
+    n = n.withColumn("result", outcome(F.col("e_a_favor"), F.col("e_en_contra"), F.col("e_abstencion"), F.col("requirement")))
+    n = n.withColumn("needed", majority_needed(F.col("requirement"), F.col("e_seats"), F.col("e_attending")))
+    won = lambda of: F.when(F.col("result") == "aprobada", F.col(f"{of}a_favor")).otherwise(F.col(f"{of}en_contra"))
+    n = n.withColumns({"side": won(""), "total": won("e_")})
+    critical = (F.col("side") > 0) & (F.col("total") >= F.col("needed")) & (F.col("total") - F.col("side") < F.col("needed"))
+    return n.withColumn("critical", critical)
+
+
 def critical_parties(votes: DataFrame) -> DataFrame:
     """(vote_event_id, requirement, result, grp, side, total, needed, critical): without the party the winning side has no majority."""
-    p = by_party(votes)
-    e = by_event(votes).select("vote_event_id", "result", "needed")
-    j = p.join(e, "vote_event_id")
-    side = F.when(F.col("result") == "aprobada", F.col("a_favor")).otherwise(F.col("en_contra"))
-    j = j.withColumn("side", side).withColumn("total", F.sum("side").over(Window.partitionBy("vote_event_id")))
-    critical = (F.col("side") > 0) & (F.col("total") >= F.col("needed")) & (F.col("total") - F.col("side") < F.col("needed"))
-    return j.select("vote_event_id", "requirement", "result", "grp", "side", "total", "needed", critical.alias("critical"))
+    return judged(votes).select("vote_event_id", "requirement", "result", "grp", "side", "total", "needed", "critical")
 
 
 def empirical_power(votes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, grp, n_critical, n_events, power): in how many events each party was pivotal."""
-    keys = votes.select("vote_event_id", *by).distinct() if by else None
-    c = critical_parties(votes)
-    c = c.join(keys, "vote_event_id") if by else c
-    events = c.groupBy(*by).agg(F.countDistinct("vote_event_id").alias("n_events"))
-    n = c.groupBy(*by, "grp").agg(F.count_if("critical").alias("n_critical"))
-    j = n.join(events, list(by)) if by else n.crossJoin(events)  # one row
-    return j.select(*by, "grp", "n_critical", "n_events", percent(F.col("n_critical"), F.col("n_events"), 4).alias("power"))
+    n = judged(votes, by).groupBy(*by, "grp").agg(F.count_if("critical").alias("n_critical"), F.count_if("first").alias("firsts"))
+    n = n.withColumn("n_events", F.sum("firsts").over(Window.partitionBy(*by)))  # a row per party
+    return n.select(*by, "grp", "n_critical", "n_events", percent(F.col("n_critical"), F.col("n_events"), 4).alias("power"))
 
 
 def running_power(votes: DataFrame) -> DataFrame:
@@ -58,10 +70,10 @@ def running_power(votes: DataFrame) -> DataFrame:
     Counts run within a month and go on from the months before, so that no task
     orders all events.
     """
-    events = votes.groupBy("vote_event_id").agg(F.min("start_date").alias("start_date")).withColumn("month", F.date_trunc("month", "start_date"))
-    parties = F.broadcast(votes.select("grp").distinct())  # the list of parties
-    hits = critical_parties(votes).select("vote_event_id", "grp", F.col("critical").cast("long").alias("hit"))
-    grid = events.crossJoin(parties).join(hits, ["vote_event_id", "grp"], "left").na.fill(0, ["hit"])
+    hits = stored(judged(votes, carry=("start_date",)).select("vote_event_id", "grp", "start_date", "first", F.col("critical").cast("long").alias("hit")))
+    events = hits.filter("first").select("vote_event_id", "start_date", F.date_trunc("month", "start_date").alias("month"))
+    parties = F.broadcast(hits.select("grp").distinct())  # the list of parties
+    grid = events.crossJoin(parties).join(hits.select("vote_event_id", "grp", "hit"), ["vote_event_id", "grp"], "left").na.fill(0, ["hit"])
     by_month = Window.partitionBy("grp").orderBy("month")
     months = grid.groupBy("grp", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
     before = months.select("grp", "month", (F.sum("n").over(by_month) - F.col("n")).alias("n0"), (F.sum("h").over(by_month) - F.col("h")).alias("h0"))
@@ -73,8 +85,10 @@ def running_power(votes: DataFrame) -> DataFrame:
 
 def vote_detail(votes: DataFrame) -> DataFrame:
     """One row per event with its totals and the critical parties joined by a bar."""
-    c = critical_parties(votes).filter("critical").groupBy("vote_event_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("grp").cast("string"))), "|").alias("critical_parties"), F.count(F.lit(1)).alias("critical_count"))
-    return by_event(votes).join(c, "vote_event_id", "left").na.fill({"critical_parties": "", "critical_count": 0})
+    totals = (*OPTIONS, "seats", "attending")
+    own = F.when(F.col("critical"), F.col("grp").cast("string"))
+    e = judged(votes).groupBy("vote_event_id", "requirement").agg(*[F.max(f"e_{c}").alias(c) for c in totals], F.max("result").alias("result"), F.max("needed").alias("needed"), F.max(F.col("total") - F.col("needed")).alias("margin"), F.array_sort(F.collect_list(own)).alias("who"))
+    return e.select("vote_event_id", "requirement", *OPTIONS, "seats", "attending", "result", "needed", "margin", F.array_join("who", "|").alias("critical_parties"), F.size("who").cast("long").alias("critical_count"))
 
 
 def listed_criticals(detail: DataFrame) -> DataFrame:
@@ -89,12 +103,13 @@ def close_votes(votes: DataFrame, under: int = 10) -> DataFrame:
 
 def swing_voters(votes: DataFrame, under: int = 10) -> DataFrame:
     """(vote_event_id, voter_id, grp, option, position, could_flip): voters against their party's clear side in close votes."""
-    close = close_votes(votes, under).select("vote_event_id", "result", "needed", "a_favor", "en_contra")
+    side = position(F.col("a_favor"), F.col("en_contra"), F.col("attending"))
+    close = judged(votes).filter(F.abs(F.col("e_a_favor") - F.col("e_en_contra")) < under).select("vote_event_id", "grp", "result", "needed", "total", side.alias("position"))
+    close = close.filter("position in ('a_favor', 'en_contra')")
     v = votes.select("vote_event_id", "voter_id", "grp", "option").filter("option in ('a_favor', 'en_contra', 'abstencion')")
-    j = v.join(close, "vote_event_id").join(positions(votes).filter("position in ('a_favor', 'en_contra')"), ["vote_event_id", "grp"]).filter("option <> position")
+    j = v.join(close, ["vote_event_id", "grp"]).filter("option <> position")
     won = F.when(F.col("result") == "aprobada", F.lit("a_favor")).when(F.col("result") == "rechazada", F.lit("en_contra"))
-    total = F.when(F.col("result") == "aprobada", F.col("a_favor")).otherwise(F.col("en_contra"))
-    return j.select("vote_event_id", "voter_id", "grp", "option", "position", F.coalesce((F.col("option") == won) & (total - 1 < F.col("needed")), F.lit(False)).alias("could_flip"))
+    return j.select("vote_event_id", "voter_id", "grp", "option", "position", F.coalesce((F.col("option") == won) & (F.col("total") - 1 < F.col("needed")), F.lit(False)).alias("could_flip"))
 
 
 def dissenters(votes: DataFrame, least: int = 10, n: int = 10) -> DataFrame:
@@ -107,9 +122,10 @@ def dissenters(votes: DataFrame, least: int = 10, n: int = 10) -> DataFrame:
 
 def heat_states(votes: DataFrame) -> DataFrame:
     """(vote_event_id, grp, state) on the full grid of events and parties: 2 favour, 1 against, 0 absent, -1 split."""
-    grid = votes.select("vote_event_id").distinct().crossJoin(F.broadcast(votes.select("grp").distinct()))  # a handful of parties
+    sides = stored(positions(votes))
+    grid = sides.select("vote_event_id").distinct().crossJoin(F.broadcast(sides.select("grp").distinct()))  # a handful of parties
     s = F.when(F.col("position") == "a_favor", 2).when(F.col("position") == "en_contra", 1).when(F.col("position") == "dividido", -1).otherwise(0)
-    return grid.join(positions(votes), ["vote_event_id", "grp"], "left").select("vote_event_id", "grp", s.cast("long").alias("state"))
+    return grid.join(sides, ["vote_event_id", "grp"], "left").select("vote_event_id", "grp", s.cast("long").alias("state"))
 
 
 def grouped_counts(votes: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .order import numbered_rows
 
 
 def events(votes: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def sliding(ev: DataFrame, size: int, overlap: int, keys: tuple[str, ...] = ("le
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy("start_date", "vote_event_id")) - 1
-    e = ev.withColumn("i", i)
+    e = numbered_rows(ev, [*keys, "start_date", "vote_event_id"], "i")
+    e = e.join(e.groupBy(*keys).agg(F.min("i").alias("i0")), list(keys)).withColumn("i", F.col("i") - F.col("i0")).drop("i0")
     first = F.greatest(F.ceil((F.col("i") - size + 1) / step), F.lit(0)).cast("long")
     return e.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("i") / step).cast("long")))).withColumn("window_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.col("k").cast("string"))).drop("i")
 

@@ -346,3 +346,20 @@ def test_a_batch_given_again_changes_nothing(spark, tmp_path):
     got = {tuple(r) for r in ingest.agreement_so_far(spark, folder).collect()}
     want = {tuple(r) for r in agreement.agreement(frame(rows)).select("a", "b", "n_shared", "n_agree").collect()}
     assert got == want and ingest.agreement_so_far(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_order_over_ranges(spark):
+    """Numbers, sums and ranks along an order that many partitions share."""
+    from plenum.operators import order
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 400), rng.integers(0, 25, 400))]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(5)
+    got = [(r["k"], r["v"], r["n"]) for r in order.numbered_rows(df, ["k", "v"]).orderBy("n").collect()]
+    assert [n for _, _, n in got] == list(range(1, 401)) and [g[:2] for g in got] == sorted(rows)
+    sums = order.sum_before(df.distinct(), ["k", "v"], "v", "s").collect()
+    assert all(r["s"] == sum(v for k, v in set(rows) if (k, v) < (r["k"], r["v"])) for r in sums)
+    for keys in ([], ["k"]):
+        for r in order.average_ranks(df, keys, "v").distinct().collect():
+            own = [v for k, v in rows if not keys or k == r["k"]]
+            assert r["rank"] == sum(v < r["v"] for v in own) + (own.count(r["v"]) + 1) / 2
