@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .order import numbered_rows
+from .graph import stored
+from .order import neighbours, numbered_rows
 
 
 def exact(left: DataFrame, right: DataFrame, key: str, target: str) -> DataFrame:
@@ -49,17 +50,31 @@ def overlap(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name
 
 
 def as_of(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:
-    """points plus the org of the span (key, start, end, org) that holds `at`, latest start first; else of the nearest start.
+    """points plus the org of the span (key, start, end, org) that holds `at`, latest start first, then smallest org; else of the nearest start. How says which it was.
 
-    Both cases come from one join on the key and one aggregate: candidates are
-    ordered by (not holding, distance or recency, org). How says which it was.
+    Points and starts are merged in one order by key and date, dealt by ranges:
+    a point sees the start before it, the one after it and the latest end so
+    far, so that the work grows with points and spans, not with their product.
+    Only points at which the last span is over but an earlier one may hold are
+    joined with the spans of their key that can hold them.
     """
-    p = points.withColumn("__row", F.monotonically_increasing_id())
-    j = p.join(spans, key, "left")
-    holds = (F.col("start") <= F.col(at)) & (F.col(at) <= F.coalesce("end", F.lit("9999-12-31").cast("date")))
-    rank = F.struct((~holds).alias("no"), F.when(holds, -F.datediff("start", F.lit("1970-01-01"))).otherwise(F.abs(F.datediff("start", F.col(at)))).alias("d"), F.col("org"))
-    g = j.groupBy("__row", *points.columns).agg(F.min(F.when(F.col("org").isNotNull(), rank)).alias("m"))
-    return g.select(*points.columns, F.col("m.org").alias("org"), F.when(F.col("m").isNull(), "none").when(F.col("m.no"), "nearest").otherwise("inside").alias("how"))
+    never = F.lit("9999-12-31").cast("date")
+    p = stored(points.withColumn("__row", F.monotonically_increasing_id()))
+    known = spans.select(F.col(key).alias("k"), "start", F.coalesce("end", never).alias("end"), "org").filter("k is not null and start is not null and org is not null")
+    # spans of one start are one row: the smallest org with its end, and the latest end of all
+    starts = known.groupBy("k", "start").agg(F.min_by(F.struct("org", "end"), F.struct("org", (-F.unix_date("end")).alias("e"))).alias("m"), F.max("end").alias("most"))
+    starts = starts.select("k", F.col("start").alias("d"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("__row"), F.struct("k", F.col("start").alias("s"), F.col("m.org").alias("org"), F.col("m.end").alias("e")).alias("span"), F.struct("k", F.col("most").alias("e")).alias("far"))
+    asks = p.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("k"), F.col(at).cast("date").alias("d"), F.lit(1).alias("kind"), "__row")
+    both = neighbours(starts.unionByName(asks, allowMissingColumns=True), ["k", "d", "kind", "__row"], "span", "prev", "next", "far", "far_so_far").filter("kind = 1")
+    own = lambda c: F.when(F.col(f"{c}.k") == F.col("k"), F.col(c))
+    both = both.select("__row", "k", "d", own("prev").alias("prev"), own("next").alias("next"), own("far_so_far").alias("far"))
+    both = stored(both.withColumn("holds", F.coalesce(F.col("prev.e") >= F.col("d"), F.lit(False))).withColumn("hidden", ~F.col("holds") & F.coalesce(F.col("far.e") >= F.col("d"), F.lit(False))))
+    near = F.least(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff(f"{c}.s", "d")).alias("away"), F.col(f"{c}.org").alias("org"))) for c in ("prev", "next")])
+    plain = both.filter("not hidden").select("__row", F.when(F.col("holds"), F.col("prev.org")).otherwise(near["org"]).alias("org"), F.when(F.col("holds"), "inside").when(near.isNotNull(), "nearest").alias("how"))
+    j = both.filter("hidden").select("__row", "k", "d").join(known, "k").filter("start <= d and d <= end")
+    earlier = j.groupBy("__row").agg(F.min_by("org", F.struct((-F.unix_date("start")).alias("s"), F.col("org"))).alias("org")).withColumn("how", F.lit("inside"))
+    found = plain.unionByName(earlier)
+    return p.join(found, "__row", "left").select(*points.columns, "org", F.coalesce("how", F.lit("none")).alias("how"))
 
 
 def term_of(rows: DataFrame, terms: DataFrame, at: str) -> DataFrame:

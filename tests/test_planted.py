@@ -363,3 +363,23 @@ def test_order_over_ranges(spark):
         for r in order.average_ranks(df, keys, "v").distinct().collect():
             own = [v for k, v in rows if not keys or k == r["k"]]
             assert r["rank"] == sum(v < r["v"] for v in own) + (own.count(r["v"]) + 1) / 2
+
+
+def test_as_of_by_brute_force(spark):
+    """Nested, overlapping, repeated and open spans of few keys, one of which has most rows."""
+    import datetime
+
+    rng = np.random.default_rng(11)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(int(n))
+    spans = []
+    for _ in range(120):
+        s = rng.integers(0, 300)
+        spans.append((int(rng.choice([1, 1, 1, 2, 3])), day(s), None if rng.random() < 0.05 else day(s + rng.integers(0, 40)), "ABCDEF"[rng.integers(6)]))
+    points = [(int(rng.choice([1, 1, 2, 3, 4])), day(rng.integers(-20, 360)), i) for i in range(300)] + [(None, day(1), 300), (1, None, 301)]
+    got = {r["i"]: (r["org"], r["how"]) for r in resolve.as_of(spark.createDataFrame(points, "who long, day date, i long").repartition(4), spark.createDataFrame(spans, "who long, start date, end date, org string").repartition(3), "who", "day").collect()}
+    for who, at, i in points:
+        own = [x for x in spans if x[0] == who] if at else []
+        holds = [(-x[1].toordinal(), x[3]) for x in own if x[1] <= at <= (x[2] or datetime.date.max)]
+        near = [(abs((x[1] - at).days), x[3]) for x in own]
+        assert got[i] == ((min(holds)[1], "inside") if holds else (min(near)[1], "nearest") if near else (None, "none")), (who, at)
+    assert len(got) == len(points)
