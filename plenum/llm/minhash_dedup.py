@@ -64,7 +64,9 @@ BLOCK = 512
 CUT = int(COORDS * (0.75 - 4.2 * (0.75 * 0.25 / COORDS) ** 0.5))
 #: Pairs with a hub from this estimate on are proposed as such.
 HUB = int(COORDS * 0.8)
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
+#: Documents whose sets a task holds at once.
+HELD = 2_000
 #: Bytes of text whose shingles are hashed together.
 GROUP = 1 << 20
 
@@ -162,13 +164,20 @@ def coordinate(tree: np.ndarray | int, level: int, branch: int):
     return (tree * 9 + (0 if level == 1 else 1 + (level - 2) * FANOUT + branch)) % COORDS
 
 
+def _slices(batches):
+    """Batches of at most `HELD` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD):
+            yield batch.slice(at, HELD)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sid (digest of the set, null if empty), sig."""
     def compute(batches):
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = list(shingle_sets(batch.column("text").to_pylist(), hashes))
             sid = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             made = iter(signatures([s for s in sets if len(s)]))
@@ -357,7 +366,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = list(shingle_sets(batch.column("text").to_pylist(), hashes))
             out = [(xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["sid", "s"])
