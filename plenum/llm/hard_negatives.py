@@ -132,13 +132,15 @@ def _units(anchors: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Anchors and rows of equal keys dealt into blocks, every block of the one beside every block of the other."""
     n = F.count(F.lit(1))
     # small tables get more blocks of rows than they need, so that all cores have work
-    least = F.least(F.ceil(n / STRIP), F.lit(shuffle_width(rows.sparkSession)))
+    width = shuffle_width(rows.sparkSession)
+    least = F.least(F.ceil(n / STRIP), F.lit(width))
     sizes = anchors.groupBy(*keys).agg(F.ceil(n / ANCHORS).cast("int").alias("anchor_blocks"))
     sizes = sizes.join(rows.groupBy(*keys).agg(F.greatest(F.ceil(n / ROWS), least).cast("int").alias("row_blocks")), keys)
     a = anchors.join(sizes, keys).withColumn("ab", F.pmod(F.xxhash64("row"), "anchor_blocks").cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
     r = rows.join(sizes, keys).withColumn("rb", F.pmod(F.xxhash64("row"), "row_blocks").cast("int")).withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("anchor_blocks") - 1)))
     both = a.withColumn("asks", F.lit(True)).unionByName(r.withColumn("asks", F.lit(False)), allowMissingColumns=True)
-    return both.drop("anchor_blocks", "row_blocks")
+    # units are few bytes and much work, so their number of partitions is given
+    return both.drop("anchor_blocks", "row_blocks").repartition(width, *keys, "ab", "rb")
 
 
 def _scored(asked: pa.Table, rows: pa.Table, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
