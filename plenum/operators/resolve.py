@@ -41,12 +41,28 @@ def fuzzy(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name:
 
 
 def overlap(left: DataFrame, right: DataFrame, id_left: str, id_right: str, name: str = "name") -> DataFrame:
-    """(id_left, id_right, score): best by shared words of 3 letters or more, those of 5 or more counting 1.5; 3 points and 2 words needed."""
-    words = lambda d, i: d.select(i, F.explode(F.array_distinct(F.split(name, " "))).alias("w")).filter("length(w) >= 3")
-    j = words(left, id_left).join(words(right, id_right), "w").groupBy(id_left, id_right).agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.length("w") >= 5).alias("long"))
-    j = j.withColumn("score", F.col("shared") + 0.5 * F.col("long")).filter("score >= 3 and shared >= 2")
-    best = Window.partitionBy(id_left).orderBy(F.desc("score"), id_right)
-    return j.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(id_left, id_right, "score")
+    """(id_left, id_right, score): best by shared words of 3 letters or more, those of 5 or more counting 1.5; 3 points and 2 words needed.
+
+    Exact by prefixes: two names that share two words share one that is not the
+    most frequent of either. So each name is indexed by all its words but that
+    one, and no pair meets at a word that is the commonest of both; pairs that
+    meet are compared on all words. Ids are unique.
+    """
+    words = lambda d, i: d.select(F.col(i).alias("id"), F.filter(F.array_distinct(F.split(name, " ")), lambda w: F.length(w) >= 3).alias("words"))
+    sides = [stored(words(d, i)) for d, i in ((left, id_left), (right, id_right))]
+    each = [d.select("id", F.explode("words").alias("w")) for d in sides]
+    often = each[0].select("w").unionAll(each[1].select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(d: DataFrame, into: str) -> DataFrame:
+        ranked = d.join(often, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("by"))
+        return ranked.select(F.col("id").alias(into), F.explode(F.slice("by", F.lit(1), F.size("by") - 1)).alias("x")).select(into, F.col("x.w").alias("w"))
+
+    met = prefixes(each[0], "l").join(prefixes(each[1], "r"), "w").select("l", "r").distinct()
+    both = met.join(sides[0].toDF("l", "wl"), "l").join(sides[1].toDF("r", "wr"), "r")
+    same = F.array_intersect("wl", "wr")
+    j = both.select("l", "r", F.size(same).alias("shared"), (F.size(same) + 0.5 * F.size(F.filter(same, lambda w: F.length(w) >= 5))).alias("score")).filter("score >= 3 and shared >= 2")
+    best = j.groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct((-F.col("score")).alias("s"), "r")).alias("m"))
+    return best.select(F.col("l").alias(id_left), F.col("m.r").alias(id_right), "m.score")
 
 
 def as_of(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:

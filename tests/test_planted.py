@@ -383,3 +383,19 @@ def test_as_of_by_brute_force(spark):
         near = [(abs((x[1] - at).days), x[3]) for x in own]
         assert got[i] == ((min(holds)[1], "inside") if holds else (min(near)[1], "nearest") if near else (None, "none")), (who, at)
     assert len(got) == len(points)
+
+
+def test_word_overlap_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    stock = ["ana", "de", "maria", "lopez", "garcia", "perez", "ruiz", "gil", "hernandez", "del", "cruz", "eva"]
+    name = lambda: " ".join(["maria"] * (rng.random() < 0.8) + list(rng.choice(stock, rng.integers(1, 5))))
+    left, right = [(i, name()) for i in range(40)] + [(40, None), (41, "")], [(100 + i, name()) for i in range(30)]
+    words = lambda t: {w for w in (t or "").split(" ") if len(w) >= 3}
+    want = {}
+    for i, a in left:
+        fits = [(-(len(s) + 0.5 * sum(len(w) >= 5 for w in s)), k) for k, b in right if len(s := words(a) & words(b)) >= 2]
+        fits = [x for x in fits if -x[0] >= 3]
+        if fits:
+            want[i] = (min(fits)[1], -min(fits)[0])
+    got = {r["l"]: (r["r"], r["score"]) for r in resolve.overlap(spark.createDataFrame(left, "l long, name string"), spark.createDataFrame(right, "r long, name string"), "l", "r").collect()}
+    assert got == want and len(want) > 10
