@@ -1,8 +1,7 @@
 """Windows over events: by term, by two years, by count with overlap, and merging of small ones.
 
 Windows are a small table (one row per window) and a bridge (window, event);
-analyses carry the window id as a grouping key. Only the window table, whose
-size is the number of windows, is folded on the driver when merging.
+analyses carry the window id as a grouping key.
 """
 
 from __future__ import annotations
@@ -10,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import numbered_rows
+from .graph import forget, stored
+from .order import neighbours, numbered_rows, sum_before
 
 
 def events(votes: DataFrame) -> DataFrame:
@@ -51,20 +51,34 @@ def build(ev: DataFrame, kind: str, chamber: str | None = None, exclude: tuple[i
 
 
 def merge_small(bridge: DataFrame, least: int) -> DataFrame:
-    """Bridge in which windows of fewer than `least` events join the next one, a small last one the one before."""
-    order = [(r["window_id"], r["n_events"]) for r in _windows(bridge).orderBy("first", "window_id").collect()]
-    groups, held, n = [], [], 0
-    for w, k in order:
-        held.append(w)
-        n += k
-        if n >= least:
-            groups.append(held)
-            held, n = [], 0
-    if held:
-        groups[-1:] = [groups[-1] + held] if groups else [held]
-    spark = bridge.sparkSession
-    names = spark.createDataFrame([(w, "+".join(map(str, g))[:80]) for g in groups for w in g], bridge.select("window_id").schema.add("merged", "string"))
-    return bridge.join(F.broadcast(names), "window_id").select("vote_event_id", "leg", "start_date", "chamber", F.col("merged").alias("window_id")).distinct()  # one name per window
+    """Bridge in which windows of fewer than `least` events join the next one, a small last one the one before.
+
+    From each window the sums of events tell where a group that began there
+    would end, and so where the next begins. The groups that do begin are those
+    reached from the first window; hops of doubled length find them in as many
+    rounds as the number of windows has binary digits.
+    """
+    w = stored(numbered_rows(sum_before(_windows(bridge).select("window_id", "first", "n_events"), ["first", "window_id"], "n_events", "s0"), ["first", "window_id"], "i"))
+    ends = w.select((F.col("s0") + F.col("n_events")).alias("x"), F.lit(1).alias("kind"), "i", F.col("i").alias("end"))
+    wanted = w.select((F.col("s0") + least).alias("x"), F.lit(0).alias("kind"), "i", F.lit(None).cast("long").alias("end"))
+    hop = stored(neighbours(ends.unionByName(wanted), ["x", "kind", "i"], "end", "last", "end_at", "x", "most").filter("kind = 0 and end_at is not null").select("i", (F.col("end_at") + 1).alias("to")))
+    closed = hop
+    begun = stored(w.filter("i = 1").select("i"))
+    while True:
+        more = stored(begun.unionByName(begun.join(hop, "i").select(F.col("to").alias("i"))).distinct())
+        grown = more.count() > begun.count()
+        forget(begun)
+        begun = more
+        if not grown:
+            break
+        hop = stored(hop.join(hop.select(F.col("i").alias("to"), F.col("to").alias("further")), "to").select("i", F.col("further").alias("to")))
+    # a last group that never fills goes to the one before, if there is one
+    filled = begun.join(closed.select("i"), "i", "left_semi")
+    starts = filled.unionByName(begun.filter("i = 1")).distinct()
+    groups = neighbours(w.join(starts.withColumn("start", F.col("i")), "i", "left"), ["i"], "start", "group", "next", "i", "most").select("window_id", "i", "group")
+    names = groups.groupBy("group").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("window_id").cast("string").alias("w")))), lambda x: x["w"]), "+"), 1, 80).alias("merged"))
+    named = groups.join(names, "group").select("window_id", "merged")
+    return bridge.join(named, "window_id").select("vote_event_id", "leg", "start_date", "chamber", F.col("merged").alias("window_id")).distinct()  # one name per window
 
 
 windows_of = _windows

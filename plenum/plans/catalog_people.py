@@ -12,7 +12,7 @@ from plenum.operators import windows as wi
 
 from .base import query
 from .catalog import EMPIRICAL_BY_TERM, SEATS, TALLY
-from .views import table, votes
+from .views import VOTES_SQL, table, votes
 
 
 def attributes(s, d):
@@ -122,5 +122,12 @@ EV = "# ev as (select vote_event_id, min(leg) as leg, min(start_date) as start_d
 query("windows_by_term", EV + " select leg as window_id, min(start_date) as first, max(start_date) as last, count(*) as n_events from ev group by 1")(lambda s, d: wi.windows_of(wi.build(wi.events(votes(s, d)), "legislatura")))
 query("windows_by_biennium", EV + " select cast(year(start_date)-year(start_date)%2 as bigint) as window_id, min(start_date) as first, max(start_date) as last, count(*) as n_events from ev where chamber='D' and leg not in (6) group by 1")(lambda s, d: wi.windows_of(wi.build(wi.events(votes(s, d)), "biennium", "D", (6,))))
 query("sliding_windows", EV + ", i as (select *, row_number() over (partition by leg order by start_date, vote_event_id)-1 as i from ev), k as (select *, unnest(range(cast(greatest(ceil((i-20+1)/15),0) as bigint), i//15+1)) as k from i) select leg||'/'||k as window_id, min(start_date) as first, max(start_date) as last, count(*) as n_events from k group by 1")(lambda s, d: wi.windows_of(wi.build(wi.events(votes(s, d)), "sliding", size=20, overlap=5)))
-query("merged_windows")(lambda s, d: wi.windows_of(wi.merge_small(wi.build(wi.events(votes(s, d)), "sliding", size=20, overlap=5), 30)))
+MERGED = VOTES_SQL.replace("with v0", "with recursive v0", 1) + """, ev as (select vote_event_id, min(leg) as leg, min(start_date) as start_date from votes group by 1),
+i as (select *, row_number() over (partition by leg order by start_date, vote_event_id)-1 as i from ev), k as (select *, unnest(range(cast(greatest(ceil((i-20+1)/15),0) as bigint), i//15+1)) as k from i), b as (select leg||'/'||k as window_id, * from k),
+o as (select window_id, count(*) as n, row_number() over (order by min(start_date), window_id) as j from b group by 1),
+r as (select j, n as acc, 1 as g from o where j=1 union all select o.j, case when r.acc>=30 then o.n else r.acc+o.n end, case when r.acc>=30 then r.g+1 else r.g end from r join o on o.j=r.j+1),
+t as (select max(g) as top, arg_max(acc, j) as rest from r), m as (select j, case when g=top and rest<30 and top>1 then g-1 else g end as g from r, t),
+l as (select g, left(string_agg(window_id, '+' order by j), 80) as merged from m join o using (j) group by 1), n as (select window_id, merged from m join o using (j) join l using (g))
+select merged as window_id, min(start_date) as first, max(start_date) as last, count(distinct vote_event_id) as n_events from b join n using (window_id) group by 1"""
+query("merged_windows", MERGED, view=False)(lambda s, d: wi.windows_of(wi.merge_small(wi.build(wi.events(votes(s, d)), "sliding", size=20, overlap=5), 30)))
 query("merged_terms", EV + " select cast(year(start_date)-year(start_date)%2 as bigint) as window_id, array_to_string(list_sort(list(distinct leg)),'+') as terms from ev group by 1")(lambda s, d: wi.by_biennium(wi.events(votes(s, d))).groupBy("window_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("leg")), lambda x: x.cast("string")), "+").alias("terms")))
