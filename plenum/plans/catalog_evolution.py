@@ -42,18 +42,12 @@ bundle as (select wo.window_id, leg, first, last, n_events, n_voters, coalesce(n
  from wo left join nv using (window_id) left join sz using (window_id) left join mo using (window_id) left join np using (window_id) left join fr using (window_id) left join ar using (window_id))"""
 
 
-def _bundle(s, d, given: bool = True):
+def _bundle(s, d):
     v = votes(s, d)
     bridge = wi.sliding(wi.events(v), SIZE, OVERLAP).select("window_id", "vote_event_id", "leg", "start_date")
     parties = ag.primary_party(v.join(bridge.select("window_id", "vote_event_id"), "vote_event_id"), ("window_id",)).withColumnRenamed("party", "part")
-    return ev.bundle(v, bridge, parties if given else None)
+    return ev.bundle(v, bridge, parties)
 
 
 query("evolution", EVOLUTION + " select * from bundle")(lambda s, d: _bundle(s, d))
 query("last_window_modularity", EVOLUTION + " select leg, arg_max(window_id, (first, window_id)) as window_id, arg_max(modularity, (first, window_id)) as modularity from bundle group by 1")(lambda s, d: ev.last_of_term(_bundle(s, d)))
-
-
-@query("evolution_communities")
-def evolution_communities(s, d):
-    """The same measures for the communities found in each window in place of the parties."""
-    return _bundle(s, d, given=False)
