@@ -11,17 +11,16 @@ starts in a document with a smaller id.
    repeated minimizer) to the minimizer's bucket, with the smallest id. A
    minimizer with more than `HOT` passages sends its strings one by one to the
    buckets of their own hashes, so that no bucket grows with a frequent line.
-3. A bucket builds the transform of each shard (group of chunks): its suffixes
-   in the order of their first 50 bytes. The interleave of the shards starts
-   as a merge of these orders by contexts of 8 bytes. Each round refines only
-   intervals that hold several suffixes still: in the order of their shards,
-   their keys (own interval, interval of the suffix 8, 16, 18 bytes on) are
-   sorted runs already, and merging the runs takes the interleave to a depth of
-   16, 32 and 50. A new interval begins where a key changes, so the common
-   prefix of neighbours is known by the round that parts them. Suffixes alone
-   in their interval are settled. The intervals of the last round are the
-   repeated strings, and the smallest id of an interval is that of its members'
-   passages.
+3. A bucket builds the Burrows-Wheeler transform of each shard (group of
+   chunks): the symbols before its suffixes, these in the order of their first
+   50 bytes. The transforms are merged by refining an interleave vector, which
+   names the shard of each suffix in the common order: it starts in the order
+   of first bytes, and each round deals it by the symbols that the transforms
+   hold, which takes it a symbol deeper. No suffixes of different shards are
+   compared or sorted together. A boundary between neighbours appears in the
+   round after their common prefix; suffixes alone between two boundaries are
+   settled and leave. The intervals at depth 50 are the repeated strings, and
+   the smallest id of an interval is that of its members' passages.
 4. The smallest ids return to the chunks, which mark the covered bytes.
 
 Nulls: a null text is empty. A row with a null doc_id comes after all others:
@@ -204,18 +203,22 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return data[skip + np.arange(total)]
 
 
-#: Bytes of context that the shards' transforms are merged by at first.
+#: Bytes of context that a shard's suffixes are sorted by at first.
 CONTEXT = 8
-#: Of each round, the depth that it takes the interleave to, and how many bytes on the suffix lies whose interval it joins.
-ROUNDS = ((16, 8), (32, 16), (LENGTH, LENGTH - 32))
+#: Of each round of that sort, how many bytes on the suffix lies whose interval it joins; after them LENGTH bytes are in order.
+STEPS = (8, 16, LENGTH - 32)
 
 
-def contexts(text: np.ndarray) -> np.ndarray:
-    """The CONTEXT bytes at each position as a number that sorts like them."""
+def contexts(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The CONTEXT bytes at each position as a number that sorts like them; zeros beyond the end of a passage."""
     padded = np.append(text, np.zeros(CONTEXT, np.uint8)).astype(np.uint64)
     key = padded[:-1] << np.uint64(8) | padded[1:]
     key = key[:-2] << np.uint64(16) | key[2:]
-    return (key[:-4] << np.uint64(32) | key[4:])[: len(text)]
+    key = (key[:-4] << np.uint64(32) | key[4:])[: len(text)]
+    short = np.flatnonzero(left < CONTEXT)
+    bits = (8 * (CONTEXT - left[short])).astype(np.uint64)
+    key[short] = key[short] >> bits << bits
+    return key
 
 
 def _begins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,26 +228,21 @@ def _begins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new[:-1], ~(new[:-1] & new[1:])
 
 
-def _keys(interval: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    return interval[rows] << 32 | interval[rows + step]
-
-
-def transform(key: np.ndarray, left: np.ndarray, lo: int, hi: int, interval: np.ndarray) -> np.ndarray:
-    """The suffixes of the shard at lo..hi in the order of their first LENGTH bytes, or of as many as their passages have left.
+def suffix_order(key: np.ndarray, left: np.ndarray, lo: int, hi: int, interval: np.ndarray) -> np.ndarray:
+    """The suffixes of the shard at lo..hi in the order of their first LENGTH bytes; passages end with a mark below all bytes.
 
     interval is scratch space of the length of the text.
     """
-    order = lo + np.flatnonzero(left[lo:hi] >= CONTEXT)
-    order = order[np.argsort(key[order])]
+    order = lo + np.argsort(key[lo:hi])
     new, shared = _begins(key[order])
     interval[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     slots = np.flatnonzero(shared)
-    for depth, step in ROUNDS:
-        slots = slots[left[order[slots]] >= depth]
+    for step in STEPS:
         if not len(slots):
             break
         rows = order[slots]
-        k = _keys(interval, rows, step)
+        ahead = np.where(left[rows] > step, interval[np.minimum(rows + step, hi - 1)] + 1, 0)
+        k = interval[rows] << 32 | ahead
         dealt = np.argsort(k)
         rows = order[slots] = rows[dealt]
         new, shared = _begins(k[dealt])
@@ -253,32 +251,107 @@ def transform(key: np.ndarray, left: np.ndarray, lo: int, hi: int, interval: np.
     return order
 
 
+class Transform:
+    """The Burrows-Wheeler transform of a shard of passages: the symbol before each suffix, in the order of the suffixes.
+
+    first and last bound the depths at which a suffix counts: a string at p is
+    reached, symbol by symbol, from the suffix LENGTH - k bytes on at depth k.
+    """
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, offset: np.ndarray, left: np.ndarray):
+        self.rows = order
+        self.symbol = text[order - 1]  # of a passage's first suffix it is never asked
+        at = offset[order]
+        self.first = np.maximum(LENGTH - at, 1).astype(np.uint8)
+        # the last of n strings starts at n - 1, and n = at + left - LENGTH + 1
+        self.last = np.minimum(left[order], LENGTH).astype(np.uint8)
+
+
+class Interleave:
+    """The merge of transforms: of which shard each suffix of the common order is, at a depth that grows by a symbol a round.
+
+    The next suffix of a shard is always the next in its own transform, so the
+    vector of shards says it all. A round deals the vector, stably, by the
+    symbols before the suffixes; a boundary between neighbours appears in the
+    first round in which they differ, one symbol beyond their common prefix.
+    A suffix alone in its interval is settled, and so are all that lead on
+    from it: they leave the vector.
+    """
+
+    def __init__(self, shards: list[Transform], n: int):
+        self.rows = np.concatenate([t.rows for t in shards])
+        self.symbol = np.concatenate([t.symbol for t in shards])
+        self.first = np.concatenate([t.first for t in shards])
+        self.last = np.concatenate([t.last for t in shards])
+        self.shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t.rows) for t in shards])
+        #: Of each position at which a string starts: may it be repeated still?
+        self.open = np.ones(n, bool)
+        self.depth = 0
+
+    def start(self, text: np.ndarray) -> None:
+        """The common order by the first byte."""
+        self.depth = 1
+        live = self.live()
+        byte = text[self.rows[live]]
+        dealt = np.argsort(byte, kind="stable")
+        self.vector, self.begins = self.shard[live][dealt], _begins(byte[dealt])[0]
+
+    def live(self) -> np.ndarray:
+        """What counts at this depth, shard by shard in the order of the transforms."""
+        at = np.flatnonzero((self.first <= self.depth) & (self.depth <= self.last))
+        return at[self.open[self.rows[at] - (LENGTH - self.depth)]]
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """Drop what is alone in its interval; what stays, and its place in the vector."""
+        live, place = self.live(), np.argsort(self.vector, kind="stable")
+        shared = ~(self.begins & np.append(self.begins[1:], True))
+        here = shared[place]
+        if not here.all():
+            self.open[self.rows[live[~here]] - (LENGTH - self.depth)] = False
+            live, place = live[here], (np.cumsum(shared) - 1)[place[here]]
+            self.vector, self.begins = self.vector[shared], self.begins[shared]
+        return live, place
+
+    def refine(self) -> None:
+        """From a depth to the next."""
+        live, place = self.settle()
+        symbol = np.empty(len(live), np.uint8)
+        symbol[place] = self.symbol[live]
+        dealt = np.argsort(symbol, kind="stable")
+        interval = np.cumsum(self.begins, dtype=np.int32)[dealt]
+        symbol = symbol[dealt]
+        self.vector = self.vector[dealt]
+        self.begins = np.ones(len(dealt), bool)
+        self.begins[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        self.depth += 1
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix, interval), by interval, of all that share theirs."""
+        live, place = self.settle()
+        rows = np.empty(len(live), np.int64)
+        rows[place] = self.rows[live]
+        return rows, np.cumsum(self.begins)
+
+
+def transforms(text: np.ndarray, length: np.ndarray, shard: np.ndarray) -> list[Transform]:
+    """The transform of each shard of passages of the given lengths; shard: of each passage, ascending."""
+    key_of = np.arange(len(text))
+    start = np.cumsum(length) - length
+    left = np.repeat(start + length, length) - key_of
+    offset = key_of - np.repeat(start, length)
+    key, interval = contexts(text, left), np.empty(len(text), np.int64)
+    size = np.bincount(shard, length, minlength=int(shard.max()) + 1).astype(np.int64)
+    ends = np.cumsum(size)
+    return [Transform(text, suffix_order(key, left, lo, hi, interval), offset, left) for lo, hi in zip(ends - size, ends, strict=True)]
+
+
 def repeated_intervals(text: np.ndarray, length: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, interval), by interval, of the strings of LENGTH bytes that occur twice or more in passages of the given lengths."""
-    n = len(text)
-    key, interval = contexts(text), np.empty(n, np.int64)
-    left = np.repeat(np.cumsum(length), length) - np.arange(n)
-    ends = np.cumsum(np.bincount(shard, length, minlength=int(shard.max()) + 1).astype(np.int64))
-    merged = np.concatenate([transform(key, left, lo, hi, interval) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)])
-    rows = merged[np.argsort(key[merged], kind="stable")]  # merges the sorted runs of the shards
-    new, shared = _begins(key[rows])
-    interval[rows] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    open_ = np.zeros(n, bool)
-    open_[rows] = shared
-    for depth, step in ROUNDS:
-        live = merged = merged[open_[merged] & (left[merged] >= depth)]
-        if not len(live):
-            return live, live
-        k = _keys(interval, live, step)
-        dealt = np.argsort(k, kind="stable")
-        rows, k = live[dealt], k[dealt]
-        new, shared = _begins(k)
-        old = _begins(k >> 32)[0]
-        # an interval keeps its place among the others: its parts are numbered on from it
-        at = np.flatnonzero(new)[np.cumsum(new) - 1] - np.flatnonzero(old)[np.cumsum(old) - 1]
-        interval[rows] = (k >> 32) + at
-        open_[rows] = shared
-    return rows[shared], interval[rows[shared]]
+    merge = Interleave(transforms(text, length, shard), len(text))
+    merge.start(text)
+    while merge.depth < LENGTH and len(merge.vector):
+        merge.refine()
+    return merge.repeated()
 
 
 def smallest_ids(text: np.ndarray, length: np.ndarray, low: np.ndarray, shard: np.ndarray) -> np.ndarray:
