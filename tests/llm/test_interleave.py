@@ -54,22 +54,32 @@ def test_boundaries_tell_common_prefixes():
         merge.refine()
 
 
-@pytest.mark.parametrize("what", ["symbol", "rows"])
-def test_a_wrong_transform_gives_wrong_intervals(what, monkeypatch):
+def test_wrong_symbols_give_wrong_intervals(monkeypatch):
     text, length, low, shard = passages(5, letters=3)
-    right = sd.smallest_ids(text, length, low, shard)
-    built = sd.transforms
+    right, built = sd.smallest_ids(text, length, low, shard), sd.transforms
 
     def spoilt(*args):
         out, rng = built(*args), np.random.default_rng(0)
         for t in out:
-            setattr(t, what, rng.permutation(getattr(t, what)))
+            t.symbol = rng.permutation(t.symbol)
         return out
 
     monkeypatch.setattr(sd, "transforms", spoilt)
     assert (sd.smallest_ids(text, length, low, shard) != right).any()
 
 
+def test_a_wrong_order_of_suffixes_is_not_made_good(monkeypatch):
+    """Nothing sorts the suffixes again: with another order the merge fails or finds other intervals."""
+    text, length, low, shard = passages(5, letters=3)
+    right = sd.smallest_ids(text, length, low, shard).tolist()
+    monkeypatch.setattr(sd, "suffix_order", lambda key, left, lo, hi, interval: np.random.default_rng(lo).permutation(np.arange(lo, hi)))
+    try:
+        got = sd.smallest_ids(text, length, low, shard).tolist()
+    except ValueError:
+        got = None
+    assert got != right
+
+
 def test_no_passages_and_no_documents(spark):
     none = np.empty(0, np.int64)
     assert len(sd.smallest_ids(np.empty(0, np.uint8), none, none, none)) == 0
