@@ -14,11 +14,11 @@ starts in a document with a smaller id.
 3. A bucket builds the Burrows-Wheeler transform of each shard (group of
    chunks): the symbols before its suffixes, these in the order of their first
    50 bytes. The transforms are merged by refining an interleave vector, which
-   names the shard of each suffix in the common order: it starts in the order
-   of first bytes, and each round deals it by the symbols that the transforms
-   hold, which takes it a symbol deeper. No suffixes of different shards are
-   compared or sorted together. A boundary between neighbours appears in the
-   round after their common prefix; suffixes alone between two boundaries are
+   names the shard of each suffix in the common order: it starts as
+   a merge of the shards' runs by contexts of 8 bytes, and each round deals it
+   by the symbols that the transforms hold, which takes it two symbols deeper.
+   Beyond the contexts no suffixes of different shards are compared. A boundary
+   between neighbours appears in the round after their common prefix; suffixes alone between two boundaries are
    settled and leave. The intervals at depth 50 are the repeated strings, and
    the smallest id of an interval is that of its members' passages.
 4. The smallest ids return to the chunks, which mark the covered bytes.
@@ -203,8 +203,10 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return data[skip + np.arange(total)]
 
 
-#: Bytes of context that a shard's suffixes are sorted by at first.
+#: Bytes of context that a shard's suffixes are sorted by at first, and that the interleave starts from.
 CONTEXT = 8
+#: Symbols that a round of the interleave goes deeper.
+DEEPER = 2
 #: Of each round of that sort, how many bytes on the suffix lies whose interval it joins; after them LENGTH bytes are in order.
 STEPS = (8, 16, LENGTH - 32)
 
@@ -252,49 +254,48 @@ def suffix_order(key: np.ndarray, left: np.ndarray, lo: int, hi: int, interval:
 
 
 class Transform:
-    """The Burrows-Wheeler transform of a shard of passages: the symbol before each suffix, in the order of the suffixes.
+    """The Burrows-Wheeler transform of a shard of passages: the DEEPER symbols before each suffix, in the order of the suffixes.
 
     first and last bound the depths at which a suffix counts: a string at p is
-    reached, symbol by symbol, from the suffix LENGTH - k bytes on at depth k.
+    reached, going ahead of the suffix, from the one LENGTH - k bytes on at
+    depth k. Suffixes shorter than the context never count.
     """
 
-    def __init__(self, text: np.ndarray, order: np.ndarray, offset: np.ndarray, left: np.ndarray):
-        self.rows = order
-        self.symbol = text[order - 1]  # of a passage's first suffix it is never asked
-        at = offset[order]
-        self.first = np.maximum(LENGTH - at, 1).astype(np.uint8)
-        # the last of n strings starts at n - 1, and n = at + left - LENGTH + 1
+    def __init__(self, key: np.ndarray, before: np.ndarray, order: np.ndarray, offset: np.ndarray, left: np.ndarray):
+        self.rows = order = order[left[order] >= CONTEXT]
+        self.key = key[order]
+        self.symbol = before[order]  # of a passage's first suffixes it is never asked
+        self.first = np.maximum(LENGTH - offset[order], CONTEXT).astype(np.uint8)
+        # the last of n strings starts at n - 1, and n = offset + left - LENGTH + 1
         self.last = np.minimum(left[order], LENGTH).astype(np.uint8)
 
 
 class Interleave:
-    """The merge of transforms: of which shard each suffix of the common order is, at a depth that grows by a symbol a round.
+    """The merge of transforms: of which shard each suffix of the common order is, at a depth that grows round by round.
 
     The next suffix of a shard is always the next in its own transform, so the
-    vector of shards says it all. A round deals the vector, stably, by the
-    symbols before the suffixes; a boundary between neighbours appears in the
-    first round in which they differ, one symbol beyond their common prefix.
+    vector of shards says it all. It starts as a merge of the shards' runs of
+    contexts. A round deals it, stably, by the symbols before the suffixes; a
+    boundary between neighbours appears in the first round in which they
+    differ, so that it tells their common prefix, to DEEPER symbols.
     A suffix alone in its interval is settled, and so are all that lead on
     from it: they leave the vector.
     """
 
     def __init__(self, shards: list[Transform], n: int):
         self.rows = np.concatenate([t.rows for t in shards])
+        self.key = np.concatenate([t.key for t in shards])
         self.symbol = np.concatenate([t.symbol for t in shards])
         self.first = np.concatenate([t.first for t in shards])
         self.last = np.concatenate([t.last for t in shards])
         self.shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t.rows) for t in shards])
         #: Of each position at which a string starts: may it be repeated still?
         self.open = np.ones(n, bool)
-        self.depth = 0
-
-    def start(self, text: np.ndarray) -> None:
-        """The common order by the first byte."""
-        self.depth = 1
+        self.depth = CONTEXT
         live = self.live()
-        byte = text[self.rows[live]]
-        dealt = np.argsort(byte, kind="stable")
-        self.vector, self.begins = self.shard[live][dealt], _begins(byte[dealt])[0]
+        key = self.key[live]
+        dealt = np.argsort(key, kind="stable")  # merges sorted runs
+        self.vector, self.begins = self.shard[live][dealt], _begins(key[dealt])[0]
 
     def live(self) -> np.ndarray:
         """What counts at this depth, shard by shard in the order of the transforms."""
@@ -313,9 +314,9 @@ class Interleave:
         return live, place
 
     def refine(self) -> None:
-        """From a depth to the next."""
+        """DEEPER symbols on."""
         live, place = self.settle()
-        symbol = np.empty(len(live), np.uint8)
+        symbol = np.empty(len(live), self.symbol.dtype)
         symbol[place] = self.symbol[live]
         dealt = np.argsort(symbol, kind="stable")
         interval = np.cumsum(self.begins, dtype=np.int32)[dealt]
@@ -323,7 +324,7 @@ class Interleave:
         self.vector = self.vector[dealt]
         self.begins = np.ones(len(dealt), bool)
         self.begins[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        self.depth += 1
+        self.depth += DEEPER
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffix, interval), by interval, of all that share theirs."""
@@ -340,15 +341,16 @@ def transforms(text: np.ndarray, length: np.ndarray, shard: np.ndarray) -> list[
     left = np.repeat(start + length, length) - key_of
     offset = key_of - np.repeat(start, length)
     key, interval = contexts(text, left), np.empty(len(text), np.int64)
+    before = np.zeros(len(text), np.uint16)
+    before[DEEPER:] = text[:-DEEPER].astype(np.uint16) << 8 | text[1 : 1 - DEEPER]
     size = np.bincount(shard, length, minlength=int(shard.max()) + 1).astype(np.int64)
     ends = np.cumsum(size)
-    return [Transform(text, suffix_order(key, left, lo, hi, interval), offset, left) for lo, hi in zip(ends - size, ends, strict=True)]
+    return [Transform(key, before, suffix_order(key, left, lo, hi, interval), offset, left) for lo, hi in zip(ends - size, ends, strict=True)]
 
 
 def repeated_intervals(text: np.ndarray, length: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, interval), by interval, of the strings of LENGTH bytes that occur twice or more in passages of the given lengths."""
     merge = Interleave(transforms(text, length, shard), len(text))
-    merge.start(text)
     while merge.depth < LENGTH and len(merge.vector):
         merge.refine()
     return merge.repeated()

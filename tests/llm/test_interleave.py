@@ -42,7 +42,6 @@ def test_boundaries_tell_common_prefixes():
     text, length, _, shard = passages(3, letters=3)
     start = np.cumsum(length) - length
     merge = sd.Interleave(sd.transforms(text, length, shard), len(text))
-    merge.start(text)
     while merge.depth < sd.LENGTH:
         k = merge.depth
         # the suffixes of this depth are those that lie LENGTH - k bytes beyond the start of an open string
