@@ -399,3 +399,16 @@ def test_word_overlap_by_brute_force(spark):
             want[i] = (min(fits)[1], -min(fits)[0])
     got = {r["l"]: (r["r"], r["score"]) for r in resolve.overlap(spark.createDataFrame(left, "l long, name string"), spark.createDataFrame(right, "r long, name string"), "l", "r").collect()}
     assert got == want and len(want) > 10
+
+
+def test_neighbours_in_one_pass(spark):
+    """No frame that shrinks from row to row, as each row would go through all rows after it; values as by hand."""
+    from plenum.operators import order
+
+    rng = np.random.default_rng(4)
+    rows = [(i, int(v) if v > 3 else None) for i, v in enumerate(rng.integers(0, 9, 300))]
+    got = order.neighbours(spark.createDataFrame(rows, "i long, v long").repartition(5), ["i"], "v", "prev", "next", "v", "most")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    for r in got.collect():
+        past, rest = [v for i, v in rows if i <= r["i"] and v is not None], [v for i, v in rows if i > r["i"] and v is not None]
+        assert (r["prev"], r["next"], r["most"]) == (past[-1] if past else None, rest[0] if rest else None, max(past, default=None))
