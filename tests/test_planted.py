@@ -412,3 +412,10 @@ def test_neighbours_in_one_pass(spark):
     for r in got.collect():
         past, rest = [v for i, v in rows if i <= r["i"] and v is not None], [v for i, v in rows if i > r["i"] and v is not None]
         assert (r["prev"], r["next"], r["most"]) == (past[-1] if past else None, rest[0] if rest else None, max(past, default=None))
+
+
+def test_profile_pages_are_dealt_out(spark, tiny):
+    """One small file of customers makes many pages; more than one task reads them."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("senator_profiles", "deputy_profiles", "labelled_cells"):
+        assert catalog.QUERIES[name](spark, tiny).rdd.getNumPartitions() == width > 1
