@@ -419,3 +419,23 @@ def test_profile_pages_are_dealt_out(spark, tiny):
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("senator_profiles", "deputy_profiles", "labelled_cells"):
         assert catalog.QUERIES[name](spark, tiny).rdd.getNumPartitions() == width > 1
+
+
+@pytest.mark.parametrize("most", [3, 500])
+def test_agreement_of_lists(spark, monkeypatch, most):
+    """Pairs of large events go on over several lists; what is shuffled has no row per pair."""
+    monkeypatch.setattr(agreement, "LIST", most)
+    rng = np.random.default_rng(6)
+    rows = [(g, e, v, ["a_favor", "en_contra", "abstencion", "ausente"][rng.integers(4)], bool(rng.random() < 0.3)) for g in (0, 1) for e in range(5) for v in range(e, 11) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "leg long, vote_event_id long, voter_id long, option string, late boolean").repartition(3)
+    for fresh in (None, "late"):
+        want = {}
+        for g, e, a, x, f in rows:
+            for h, i, b, y, k in rows:
+                if (g, e) == (h, i) and a < b and "ausente" not in (x, y) and (not fresh or f or k):
+                    n = want.get((g, a, b), (0, 0))
+                    want[g, a, b] = (n[0] + 1, n[1] + (x == y))
+        pairs = agreement.agreement(df, ("leg",), fresh)
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in pairs.collect()} == want
+    plan = agreement.agreement(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and not any("hashpartitioning(a#" in s and ", b#" in s.split("hashpartitioning(a#")[1].split(")")[0] for s in plan.splitlines())
