@@ -439,3 +439,18 @@ def test_agreement_of_lists(spark, monkeypatch, most):
         assert {tuple(r)[:3]: tuple(r)[3:] for r in pairs.collect()} == want
     plan = agreement.agreement(df)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" in plan and not any("hashpartitioning(a#" in s and ", b#" in s.split("hashpartitioning(a#")[1].split(")")[0] for s in plan.splitlines())
+
+
+def test_betweenness_of_many_components(spark, monkeypatch):
+    """Cliques that lack an edge: what other cliques hold does not make a source go through its own clique's edges once more."""
+    pairs = {(20 * c + i, 20 * c + j) for c in range(6) for i in range(9) for j in range(i + 1, 9) if (i, j) != (0, 1)}
+    plans, keep = [], graph.stored
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "stored", stored)
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert got == pytest.approx(all_betweenness(pairs), abs=2e-6)
+    assert any("explode" in p and "LeftAnti" in p for p in plans) and not any("Cross" in p for p in plans)
