@@ -454,3 +454,20 @@ def test_betweenness_of_many_components(spark, monkeypatch):
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
     assert got == pytest.approx(all_betweenness(pairs), abs=2e-6)
     assert any("explode" in p and "LeftAnti" in p for p in plans) and not any("Cross" in p for p in plans)
+
+
+def test_communities_of_noise_take_few_rounds(spark, monkeypatch):
+    """All nodes linked with weights that hold no communities: blocks move as wholes, so rounds stay few, and no node gains by moving in the end."""
+    n, made, stored = 120, [], graph.stored
+    rng = np.random.default_rng(3)
+    weight = np.triu(rng.random((n, n)), 1)
+    e = spark.createDataFrame([(i, k, float(weight[i, k])) for i in range(n) for k in range(i + 1, n)], "a long, b long, weight double")
+    monkeypatch.setattr(graph, "stored", lambda df: made.append(1) or stored(df))
+    at = {r["node"]: r["community"] for r in graph.communities(e).collect()}
+    assert len(made) < 100
+    weight = weight + weight.T
+    label, k = np.array([at[i] for i in range(n)]), weight.sum(1)
+    for v in range(n):
+        others = np.arange(n) != v
+        gain = {c: weight[v, label == c].sum() - k[label == c][others[label == c]].sum() * k[v] / k.sum() for c in set(label)}
+        assert gain[label[v]] >= max(gain.values()) - 1e-6
