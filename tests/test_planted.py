@@ -471,3 +471,19 @@ def test_communities_of_noise_take_few_rounds(spark, monkeypatch):
         others = np.arange(n) != v
         gain = {c: weight[v, label == c].sum() - k[label == c][others[label == c]].sum() * k[v] / k.sum() for c in set(label)}
         assert gain[label[v]] >= max(gain.values()) - 1e-6
+
+
+def test_agreement_of_ids_near_and_far(spark):
+    """Lists hold distances in a narrow type, and ids that lie too far apart as they are."""
+    ids = [-(2**63), -5, 0, 3, 4097, 4098, 2**28 + 2, 2**28 + 3, 2**62, 2**63 - 1]
+    options = ["a_favor", "en_contra", "abstencion"]
+    rows = [(e, v, options[(e * i + i * i) % 3], i % 2 == 0) for e in range(4) for i, v in enumerate(ids) if (e + i) % 4]
+    for fresh in (None, "fresh"):
+        want = {}
+        for e, v, o, f in rows:
+            for d, u, p, g in rows:
+                if e == d and v < u and (not fresh or f or g):
+                    shared, agree = want.get((v, u), (0, 0))
+                    want[v, u] = (shared + 1, agree + (o == p))
+        got = agreement.agreement(spark.createDataFrame(rows, "vote_event_id long, voter_id long, option string, fresh boolean"), fresh=fresh).collect()
+        assert {(r["a"], r["b"]): (r["n_shared"], r["n_agree"]) for r in got} == want and len(got) == len(want)
