@@ -487,3 +487,19 @@ def test_agreement_of_ids_near_and_far(spark):
                     want[v, u] = (shared + 1, agree + (o == p))
         got = agreement.agreement(spark.createDataFrame(rows, "vote_event_id long, voter_id long, option string, fresh boolean"), fresh=fresh).collect()
         assert {(r["a"], r["b"]): (r["n_shared"], r["n_agree"]) for r in got} == want and len(got) == len(want)
+
+
+def test_settled_groups_climb_no_further(monkeypatch):
+    """A group whose steps gain nothing any more costs no further passes over its votes, and ends where it is best."""
+    rng = np.random.default_rng(5)
+    group, y = np.repeat(np.arange(50), 30), (rng.random(1500) < 0.5).astype(int)
+    other, own, at = rng.normal(size=(1500, 4)) * 0.3, np.zeros((50, 2)), (np.full(50, 8.0), np.full(50, 0.5))
+    best = scaling.climb("voter", own, group, other, y, *at, steps=60)
+    passed, sums = [], scaling._sums
+    monkeypatch.setattr(scaling, "_sums", lambda side, own, group, other, y, *rest: passed.append(len(y)) or sums(side, own, group, other, y, *rest))
+    again = scaling.climb("voter", best, group, other, y, *at)
+    assert sum(passed) < 5 * len(y)
+    value = [sums("voter", v, group, other, y, *at)[0] + scaling._bounds("voter", v)[0] for v in (best, again)]
+    assert (value[1] >= value[0]).all() and np.allclose(value[0], value[1], rtol=1e-4)
+    z = np.linspace(-12, 12, 4001)
+    assert np.allclose(scaling.normal_cdf(z), [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], atol=1e-8)
