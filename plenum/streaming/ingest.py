@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions.rules import OPTIONS, outcome
+from plenum.operators.agreement import agreement
 
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -53,10 +54,15 @@ VOTE = "vote_event_id long, voter_id long, option string"
 EDGE = "a long, b long, n_shared long, n_agree long"
 
 
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows; they come from no Python task."""
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
+
+
 def _earlier(spark: SparkSession, path: str, schema: str, number: int | None) -> DataFrame:
     """What batches before the number have left in a folder; all of them for None."""
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return _none(spark, schema)
     rows = spark.read.schema(f"{schema}, batch long").parquet(path)
     return (rows if number is None else rows.filter(F.col("batch") < number)).drop("batch")
 
@@ -78,11 +84,8 @@ def merge_agreement(batch: DataFrame, number: int, folder: str) -> None:
     fresh.join(before.select("vote_event_id", "voter_id"), ["vote_event_id", "voter_id"], "left_anti").select("vote_event_id", "voter_id", "option").write.mode("overwrite").parquet(f"{votes}/batch={number}")
     new = spark.read.schema(VOTE).parquet(f"{votes}/batch={number}")
     old = before.join(new.select("vote_event_id").distinct(), "vote_event_id", "left_semi")
-    x = new.select("vote_event_id", F.col("voter_id").alias("u"), F.col("option").alias("o"))
-    among = x.join(new, "vote_event_id").filter("u < voter_id")
-    across = x.join(old, "vote_event_id")
-    pairs = among.unionByName(across).select(F.least("u", "voter_id").alias("a"), F.greatest("u", "voter_id").alias("b"), (F.col("o") == F.col("option")).cast("long").alias("same"))
-    pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"), F.sum("same").alias("n_agree")).write.mode("overwrite").parquet(f"{folder}/edges/batch={number}")
+    both = new.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False)))
+    agreement(both, fresh="fresh").write.mode("overwrite").parquet(f"{folder}/edges/batch={number}")
 
 
 def agreement_stream(stream: DataFrame, folder: str, checkpoint: str):
@@ -92,7 +95,7 @@ def agreement_stream(stream: DataFrame, folder: str, checkpoint: str):
 
 def agreement_so_far(spark: SparkSession, folder: str) -> DataFrame:
     """(a, b, n_shared, n_agree) over all batches."""
-    return add_counts(_earlier(spark, f"{folder}/edges", EDGE, None), spark.createDataFrame([], EDGE), ["a", "b"], ["n_shared", "n_agree"])
+    return add_counts(_earlier(spark, f"{folder}/edges", EDGE, None), _none(spark, EDGE), ["a", "b"], ["n_shared", "n_agree"])
 
 
 def add_counts(old: DataFrame, new: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
