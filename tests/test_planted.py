@@ -503,3 +503,24 @@ def test_settled_groups_climb_no_further(monkeypatch):
     assert (value[1] >= value[0]).all() and np.allclose(value[0], value[1], rtol=1e-4)
     z = np.linspace(-12, 12, 4001)
     assert np.allclose(scaling.normal_cdf(z), [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], atol=1e-8)
+
+
+def _tasks(df):
+    return df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+
+
+def test_tasks_of_agreement_follow_the_pairs(spark, monkeypatch):
+    """120 voters in each of 10 events: their 71,400 pairs are counted in more tasks than a shuffle has, also where an event has several lists."""
+    rows = [(e, 3 * u, "a_favor" if (e + u) % 3 else "en_contra") for e in range(10) for u in range(120)]
+    votes = spark.createDataFrame(rows, "vote_event_id long, voter_id long, option string").cache()
+    want = {(3 * a, 3 * b): (10, sum(((e + a) % 3 == 0) == ((e + b) % 3 == 0) for e in range(10))) for a in range(120) for b in range(a + 1, 120)}
+    monkeypatch.setattr(agreement, "PAIRS", 1000, raising=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for size in (500, 50):
+            monkeypatch.setattr(agreement, "LIST", size)
+            got = agreement.agreement(votes)
+            assert _tasks(got) == 72
+            assert {(r["a"], r["b"]): (r["n_shared"], r["n_agree"]) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
