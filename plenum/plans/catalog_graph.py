@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -114,12 +115,16 @@ query("stream_sessions", """with e as (select user_id % 50 as who, ts, lag(ts) o
 
 
 def _arriving(s, d, copies: int = 1):
-    """The votes as a stream of three files, voters of an event in each; further copies of them come after."""
+    """The votes as a stream of three batches, voters of an event in each; further copies of them come after.
+
+    A batch has one file, or as many of them as its votes ask for: a file is written and read by one task.
+    """
     path = f"{gr.shared_folder(s)}/plenum/arriving-{uuid.uuid4().hex}"
-    v = votes(s, d).select("vote_event_id", "voter_id", "option")
+    v = gr.stored(votes(s, d).select("vote_event_id", "voter_id", "option"))
+    files = max(1, math.ceil(v.count() / 3 / ag.VOTES))
     for k in range(copies):
-        v.repartition(3, "voter_id").write.mode("append").parquet(path)
-    return ing.read(s, path, v.schema), path
+        v.repartition(3 * files, "voter_id").write.mode("append").parquet(path)
+    return ing.read(s, path, v.schema, files), path
 
 
 @query("stream_agreement", "select x.voter_id as a, y.voter_id as b, count(*) as n_shared, cast(sum(case when x.option=y.option then 1 else 0 end) as bigint) as n_agree from votes x join votes y on x.vote_event_id=y.vote_event_id and x.voter_id<y.voter_id where x.option<>'ausente' and y.option<>'ausente' group by 1, 2")

@@ -524,3 +524,16 @@ def test_tasks_of_agreement_follow_the_pairs(spark, monkeypatch):
             assert {(r["a"], r["b"]): (r["n_shared"], r["n_agree"]) for r in got.collect()} == want
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_batches_have_files_for_tasks(spark, tiny, monkeypatch):
+    """A batch of the stream of votes is not one file that one task writes and reads; nothing is lost or doubled."""
+    from plenum.plans import catalog_graph
+
+    monkeypatch.setattr(agreement, "VOTES", 500, raising=False)
+    stream, path = catalog_graph._arriving(spark, tiny, copies=2)
+    n = spark.read.parquet(path).count() // 2
+    files = -(-n // 1500)
+    assert files > 1 and len(spark.read.parquet(path).inputFiles()) > 6
+    got = catalog_graph.stream_votes(spark, tiny)
+    assert got.count() == n == got.select("vote_event_id", "voter_id").distinct().count()
