@@ -526,6 +526,30 @@ def test_tasks_of_agreement_follow_the_pairs(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_edges_are_not_shuffled_for_parties(spark, monkeypatch):
+    """Parties come along in the voters' numbers; without room for them edges are joined. A voter without party stays."""
+    rows = [(1, u, "a_favor", g) for u, g in ((-7, 20), (2, None), (5, 30), (2**40, 20))] + [(2, u, "en_contra", g) for u, g in ((-7, 20), (5, 30))] + [(3, 9, "ausente", 30)]
+    far = [(1, -(2**63), "a_favor", 20), (1, 2**63 - 1, "a_favor", 30)]
+    schema = "vote_event_id long, voter_id long, option string, grp long"
+    show = lambda df: {tuple(r) for r in df.select("a", "b", "party_a", "party_b", "n_shared").collect()}
+    ends = {-7: 20, 2: None, 5: 30, 2**40: 20}
+    want = {(a, b, ends[a], ends[b], 2 if (a, b) == (-7, 5) else 1) for a in ends for b in ends if a < b}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        e = agreement._between_parties(spark.createDataFrame(rows, schema))
+        plan = e._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan[: plan.index("posexplode")]
+        assert show(e) == want
+        assert show(agreement._between_parties(spark.createDataFrame(far, schema))) == {(-(2**63), 2**63 - 1, 20, 30, 1)}
+        monkeypatch.setattr(agreement, "PARTIES", 1)
+        assert show(agreement._between_parties(spark.createDataFrame(rows, schema))) == want
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_batches_have_files_for_tasks(spark, tiny, monkeypatch):
     """A batch of the stream of votes is not one file that one task writes and reads; nothing is lost or doubled."""
     from plenum.plans import catalog_graph
