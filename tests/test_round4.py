@@ -84,3 +84,28 @@ def test_communities_of_components_take_one_job(spark, monkeypatch, held):
     assert all((x < 100) == (c < 100) and (x < 9000) == (c < 9000) for x, c in at.items())
     assert gains(pairs, at) < 1e-6
     assert held < 2_000_000 or len(made) < 20
+
+
+@pytest.mark.parametrize("sampled", [False, True])
+def test_betweenness_by_blocks(spark, monkeypatch, sampled):
+    """Dense components, one of them over several blocks and with a tail, beside a thin one: as by rows, and no rows of pairs are made."""
+    rng = np.random.default_rng(6)
+    pairs = {(c * 100 + i, c * 100 + k) for c, n in ((0, 40), (1, 23)) for i in range(n) for k in range(i + 1, n) if rng.random() < 0.5} | {(39, 40), (40, 41), (41, 42), (500, 501), (501, 502), (7, 7)}
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    sources = spark.createDataFrame([(0,), (5,), (41,), (100,), (501,)], "node long") if sampled else None
+    monkeypatch.setattr(graph, "THICK", 1000, raising=False)
+    want = {r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources).collect()}
+    thin, keep = [], getattr(graph, "_by_rows", None)
+    monkeypatch.setattr(graph, "THICK", 10, raising=False)
+    monkeypatch.setattr(graph, "SIDE", 16, raising=False)
+    monkeypatch.setattr(graph, "_by_rows", lambda both, *rest: thin.append({r["x"] for r in both.collect()}) or keep(both, *rest), raising=False)
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(edges, sources).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and max(want.values()) > 0 and thin == [{500, 501, 502}]
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_products_of_blocks(share):
+    rng = np.random.default_rng(1)
+    left, right = rng.random((24, 24)) * (rng.random((24, 24)) < share), rng.random((24, 24)) < share
+    at, links = np.flatnonzero(left).astype(np.int32), np.flatnonzero(right).astype(np.int32)
+    assert graph._times(at, left.ravel()[at], links, 24) == pytest.approx((left @ right).ravel())
