@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plenum.operators import agreement as ag
 from plenum.operators import evolution as ev
 from plenum.operators import windows as wi
+from plenum.operators.graph import stored
 
 from .base import query
 from .views import votes
@@ -43,10 +44,9 @@ bundle as (select wo.window_id, leg, first, last, n_events, n_voters, coalesce(n
 
 
 def _bundle(s, d):
-    v = votes(s, d)
-    bridge = wi.sliding(wi.events(v), SIZE, OVERLAP).select("window_id", "vote_event_id", "leg", "start_date")
-    parties = ag.primary_party(v.join(bridge.select("window_id", "vote_event_id"), "vote_event_id"), ("window_id",)).withColumnRenamed("party", "part")
-    return ev.bundle(v, bridge, parties)
+    v = stored(votes(s, d).select("vote_event_id", "voter_id", "option", "grp", "leg", "start_date", "chamber"))
+    bridge = stored(wi.sliding(wi.events(v), SIZE, OVERLAP).select("window_id", "vote_event_id", "leg", "start_date"))
+    return ev.bundle(v, bridge, lambda v: ag.primary_party(v, ("window_id",)).withColumnRenamed("party", "part"))
 
 
 query("evolution", EVOLUTION + " select * from bundle")(lambda s, d: _bundle(s, d))

@@ -1,9 +1,12 @@
 """Queries that did not end, or filled the disk, over larger tables."""
 
+import datetime
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plenum.operators import graph, scaling
+from plenum.operators import agreement, evolution, graph, scaling, windows
 
 
 def test_pruning_goes_through_stored_votes(spark, monkeypatch):
@@ -109,3 +112,32 @@ def test_products_of_blocks(share):
     left, right = rng.random((24, 24)) * (rng.random((24, 24)) < share), rng.random((24, 24)) < share
     at, links = np.flatnonzero(left).astype(np.int32), np.flatnonzero(right).astype(np.int32)
     assert graph._times(at, left.ravel()[at], links, 24) == pytest.approx((left @ right).ravel())
+
+
+@pytest.mark.parametrize("most", [2**25, 10])
+def test_edges_of_windows_are_not_stored(spark, monkeypatch, most):
+    """Measures of windows are those of their edges, by themselves or where a window's pairs are too many for a task; no table holds an edge."""
+    rng = np.random.default_rng(8)
+    day = datetime.date(2020, 1, 1)
+    rows = [(e, v, str(rng.choice(["a_favor", "en_contra", "abstencion", "ausente"])), int(v % 3 if e < 12 else v % 2), e // 20, day + datetime.timedelta(e)) for e in range(40) for v in range(9) if rng.random() < 0.6]
+    votes = spark.createDataFrame(rows, "vote_event_id long, voter_id long, option string, grp long, leg long, start_date date").cache()
+    bridge = windows.sliding(votes.withColumn("chamber", F.lit("D")).transform(windows.events), 8, 2).select("window_id", "vote_event_id", "leg", "start_date")
+    # voter 8 has no part
+    parties = lambda v: agreement.primary_party(v, ("window_id",)).withColumnRenamed("party", "part").filter("voter_id <> 8")
+    made, keep = [], evolution.stored
+    monkeypatch.setattr(evolution, "stored", lambda df: made.append(df.columns) or keep(df))
+    monkeypatch.setattr(evolution, "WINDOW", most, raising=False)
+    got = {r["window_id"]: r for r in evolution.bundle(votes, bridge, parties).collect()}
+    assert not any({"a", "b"} <= set(columns) for columns in made)
+    v = votes.join(bridge.select("window_id", "vote_event_id"), "vote_event_id")
+    edges, parts = agreement.edges(v, ("window_id",)).cache(), parties(v).cache()
+    size = {r["window_id"]: (r["n"], r["w"]) for r in edges.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("w")).collect()}
+    heights = {r["window_id"]: r["modularity"] for r in evolution.modularity(edges, parts).collect()}
+    fronts = {r["window_id"]: r["frontier"] for r in evolution.frontier(edges, parts).collect()}
+    assert len(got) == 8 and {w: (r["n_edges"], r["mean_weight"]) for w, r in got.items()} == pytest.approx({w: pytest.approx(x, abs=2e-6) for w, x in size.items()})
+    assert {w: r["modularity"] for w, r in got.items()} == pytest.approx(heights, abs=2e-6) and {w: r["frontier"] for w, r in got.items()} == pytest.approx(fronts, abs=2e-6)
+    order = sorted(got.values(), key=lambda r: (r["first"], r["window_id"]))
+    assert order[0]["ari"] is None
+    for before, now in zip(order, order[1:]):
+        x, y = (parts.filter(F.col("window_id") == r["window_id"]) for r in (now, before))
+        assert agreement.adjusted_rand(x, y).first()["ari"] == now["ari"]
