@@ -141,3 +141,18 @@ def test_edges_of_windows_are_not_stored(spark, monkeypatch, most):
     for before, now in zip(order, order[1:]):
         x, y = (parts.filter(F.col("window_id") == r["window_id"]) for r in (now, before))
         assert agreement.adjusted_rand(x, y).first()["ari"] == now["ari"]
+
+
+def test_climbing_again_gets_higher():
+    """Of noise, on which a first climb ends early; no node gains by moving in the end, and communities are named by their smallest nodes."""
+    rng = np.random.default_rng(9)
+    pairs = [(i, k, float(rng.random())) for i in range(90) for k in range(i + 1, 90)]
+    a, b, w = (np.array(c) for c in zip(*pairs))
+    label = lambda again: dict(zip(*(x.tolist() for x in graph._parted(a, b, w, 1.0, w.sum(), again))))
+
+    def modularity(at):
+        k = {c: sum(w for x, y, w in pairs for v in (x, y) if at[v] == c) for c in set(at.values())}
+        return sum(w for x, y, w in pairs if at[x] == at[y]) / w.sum() - sum(v * v for v in k.values()) / (4 * w.sum() ** 2)
+
+    once, more = label(0), label(8)
+    assert modularity(more) > modularity(once) and gains(pairs, more) < 1e-6 and all(more[more[x]] == more[x] <= x for x in more)
